@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_files
+from . import bpe, decontaminate, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op1_token_files": token_files.op1_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_decontaminate": decontaminate.OP7_SQL,
+}
