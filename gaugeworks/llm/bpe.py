@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Bounds the distinct pieces a worker remembers.
-MEMO = 400_000
+MEMO = 800_000
 #: Later than every rank.
 NONE = 1 << 60
 #: Words of more bytes are merged one by one, with a heap.
@@ -323,9 +324,15 @@ class SpeculativeBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.cache
+def _coder(path: str) -> SpeculativeBpe:
+    """One a worker process: later tasks of the worker find its memory of pieces."""
+    return SpeculativeBpe(path)
+
+
 def _each(path: str, columns: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = SpeculativeBpe(path)
+        coder = _coder(path)
         for batch in batches:
             offsets = common.text_buffers(batch.column("text"))[1]
             for i, j in common.row_chunks(offsets):
