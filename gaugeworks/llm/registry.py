@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, token_files
+from . import bpe, decontaminate, jaccard, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op1_token_files": token_files.op1_token_files,
 }
 
 SQL: dict[str, str] = {
+    "op4_jaccard": jaccard.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
