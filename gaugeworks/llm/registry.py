@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, suffix_dedup, token_files, toxicity
+from . import bpe, decontaminate, jaccard, order_minhash, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
+    "op9_order_minhash": order_minhash.op9_order_minhash,
     "op6_toxicity": toxicity.op6_toxicity,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_jaccard": jaccard.op4_jaccard,
