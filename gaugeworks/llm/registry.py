@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, order_minhash, suffix_dedup, token_files, toxicity
+from . import bpe, chat, decontaminate, jaccard, order_minhash, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
+    "op8_chat": chat.op8_chat,
     "op9_order_minhash": order_minhash.op9_order_minhash,
     "op6_toxicity": toxicity.op6_toxicity,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op8_chat": chat.OP8_SQL,
     "op4_jaccard": jaccard.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
