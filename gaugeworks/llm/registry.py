@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, order_minhash, suffix_dedup, token_counts, token_files, toxicity
+from . import bpe, chat, decontaminate, jaccard, order_minhash, quality, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
+    "op5_quality": quality.op5_quality,
     "op2_token_counts": token_counts.op2_token_counts,
     "op8_chat": chat.op8_chat,
     "op9_order_minhash": order_minhash.op9_order_minhash,
