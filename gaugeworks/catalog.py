@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "accuracy"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans import evaluation
+
+PLANS = (evaluation,)
+FLAGSHIP = "slice_metrics"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PLANS for k, v in p.QUERIES.items()}
+SQL: dict[str, str] = {k: v for p in PLANS for k, v in p.SQL.items()}
