@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,14 +14,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import byte_alphabet
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>, shard int"
 #: Bounds the distinct pieces a worker remembers.
-MEMO = 300_000
+MEMO = 600_000
 #: Bytes of text in a file, roughly; sets the number of range partitions.
 SHARD_BYTES = 64 << 20
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece between single spaces once.
 
@@ -37,16 +45,42 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.shown = dict(enumerate(byte_alphabet()))
+        self.space, self.ends = self.shown[32], {}
+        self.line = pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.unsafe = regex.compile(r"(?:\s|^) (?:\s|$)")
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
+    def plain(self, memo: dict[str, bytes], before: str, piece: str) -> bytes | None:
+        """Ids of letters with full stops and commas behind them: one word of the pre-tokenizer, with the
+        space before it, and another. None for all else."""
+        word = piece.rstrip(".,")
+        if not word.isalpha():
+            return None
+        if (ids := memo.get(word)) is None:
+            shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.shown)
+            memo[word] = ids = pack([t.id for t in self.tokenizer.model.tokenize(self.space + shown if before else shown)])
+        if len(word) < len(piece):
+            if (tail := self.ends.get(end := piece[len(word) :])) is None:
+                tail = self.ends[end] = pack(self.tokenizer.encode(end, add_special_tokens=False).ids)
+            memo[piece] = ids = ids + tail
+        return ids
+
     def learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in memo]
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch([before + p for p in some], add_special_tokens=False)):
-                memo[piece] = np.array(e.ids, "<u4").tobytes()
+        new = pieces.difference(memo)
+        plain, line = self.plain, self.line
+        for piece in new:
+            if "\n" in piece:
+                head, *tails = piece.split("\n")
+                parts = [plain(memo, before, head), *(plain(self.first, "", t) for t in tails)]
+                if None not in parts:
+                    memo[piece] = line.join(parts)
+            else:
+                plain(memo, before, piece)
+        rest = [p for p in new if p not in memo]
+        for piece, e in zip(rest, self.tokenizer.encode_batch([before + p for p in rest], add_special_tokens=False)):
+            memo[piece] = pack(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -59,22 +93,29 @@ class PieceEncoder:
                 split.append((i, t.split(" ")))
         if len(self.rest) + len(self.first) > MEMO:
             self.first, self.rest = {}, {}
-        self.learn(self.first, {p[0] for _, p in split}, "")
-        self.learn(self.rest, {x for _, p in split for x in p[1:]}, " ")
+        firsts = [p.pop(0) for _, p in split]
+        self.learn(self.first, set(firsts), "")
+        self.learn(self.rest, set().union(*(p for _, p in split)), " ")
         get = self.rest.__getitem__
-        for i, p in split:
-            out[i] = self.first[p[0]] + b"".join(map(get, p[1:]))
+        for f, (i, p) in zip(firsts, split):
+            out[i] = self.first[f] + b"".join(map(get, p))
         for i in whole:
             e = self.tokenizer.encode(texts[i], add_special_tokens=False)
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
+@functools.cache
+def _encoder(path: str) -> PieceEncoder:
+    """One a worker process: later tasks of the worker find its memory of pieces."""
+    return PieceEncoder(path)
+
+
 def _write_rows(path: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, at, shard = PieceEncoder(path), 0, TaskContext.get().partitionId()
+        encoder, at, shard = _encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id")
