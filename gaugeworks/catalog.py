@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, inference, quality, shift, slicing, stress
+from .plans import evaluation, evidence, inference, quality, shift, slicing, storage, stream, stress
 
-PLANS = (evaluation, inference, shift, quality, slicing, stress)
+PLANS = (evaluation, inference, shift, quality, slicing, stress, evidence, storage, stream)
 FLAGSHIP = "slice_metrics"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 SQL: dict[str, str] = {k: v for p in PLANS for k, v in p.SQL.items()}
