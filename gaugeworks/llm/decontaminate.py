@@ -129,7 +129,8 @@ def pack(ranks: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
             inside = (k < lengths) & (k < depth)
             key = (key << 21) | np.where(inside, ranks[:, k] if k < ranks.shape[1] else 0, 0)
             free += ~inside
-        levels.append(np.stack([key, key + (np.int64(1) << (21 * free))], 1))
+        above = np.where(free < SuffixArray.STEP, key + (np.int64(1) << (21 * (free % SuffixArray.STEP))), np.iinfo(np.int64).max)
+        levels.append(np.stack([key, above], 1))
     return np.stack(levels, 1)
 
 
