@@ -17,9 +17,9 @@ from . import common
 #: Bytes whose fingerprint orders the suffixes.
 GRAM = 32
 #: Suffixes that a task gathers before it sorts and sends them.
-FLUSH = 600_000
+FLUSH = 250_000
 #: Bytes of suffix entries under one reducer.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Batches in which a table is ingested.
 BATCHES = 4
 
@@ -90,7 +90,8 @@ class Sampler:
         shape = (at - start) * 128 + (ends - start)
         context = common.mix64(context ^ common.mix64(shape.astype(np.uint64)))
         text = np.searchsorted(offsets, start, "right") - 1
-        return gram[at], context, text, start - offsets[text], shape
+        # anchors are small fingerprints; mixed again, their keys fill the whole range evenly
+        return common.mix64(gram[at] + np.uint64(0x632BE59BD9B4E019)), context, text, start - offsets[text], shape
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -266,40 +267,58 @@ class SuffixFamily:
         return read.parquet(*paths) if paths else self.spark.createDataFrame([], BLOB_SCHEMA)
 
 
-SPAN_SCHEMA = "doc_id long, spans binary"
+DEALT_SCHEMA = "bucket int, doc binary, a binary, b binary, c binary"
+DEALT_NAMES = ["bucket", "doc", "a", "b", "c"]
+DEALT_TYPES = [pa.int32(), *[pa.binary()] * 4]
 
 
-def _spans_out(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    """One row a document: its (start, stop) pairs as 64-bit integers."""
-    by = np.lexsort((start, doc))
-    doc, pairs = doc[by], np.stack([start[by], stop[by]], 1)
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    parts = [pairs[a:b].tobytes() for a, b in zip(at, [*at[1:], len(doc)])]
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(parts, pa.binary())], names=["doc_id", "spans"])
+def _deal(doc: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows of 64-bit integers by bucket of their document, packed: one row a bucket, however many documents it has."""
+    columns = [*columns, *[np.zeros(0, np.int64)] * (3 - len(columns))]
+    to = (common.mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    at = np.searchsorted(to[by], np.arange(buckets + 1))
+    rows = []
+    for k in np.flatnonzero(at[1:] > at[:-1]):
+        w = by[at[k] : at[k + 1]]
+        rows.append((int(k), packed(doc[w]), *(packed(c[w]) if len(c) else b"" for c in columns)))
+    parts = [*zip(*rows)] if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, DEALT_TYPES)], names=DEALT_NAMES)
 
 
-def _covers(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _by_document(name: str, width: int) -> Callable[[pa.Table], pa.Table]:
+    """One row for each document of a bucket: its distinct rows of `width` integers, in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, *columns = (unpacked(table.column(c).to_pylist(), np.int64) for c in DEALT_NAMES[1 : 2 + width])
+        by = np.lexsort((*columns[::-1], doc))
+        doc, rows = doc[by], np.column_stack([c[by] for c in columns])
+        if len(doc):
+            new = np.append(True, (doc[1:] != doc[:-1]) | (rows[1:] != rows[:-1]).any(1))
+            doc, rows = doc[new], rows[new]
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        parts = [rows[i:j].tobytes() for i, j in zip(at, [*at[1:], len(doc)])]
+        return pa.table({"doc_id": pa.array(doc[at]), name: pa.array(parts, pa.binary())})
+
+    return run
+
+
+def _covers(length: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 doc, start, shape = (unpacked([batch.column(f)[k].as_py()], np.int64) for f in FIELDS[2:])
-                yield _spans_out(doc, start, start + (shape & 127) + length)
+                yield _deal(doc, [start, start + (shape & 127) + length], buckets)
 
     return run
 
 
-def _open_rows() -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row a document of a blob: its open entries."""
-
+def _open_rows(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                key, doc, start, shape = (unpacked([batch.column(f)[k].as_py()], t) for f, t in zip(("key", "doc", "start", "shape"), (np.int64,) * 4))
-                by = np.argsort(doc, kind="stable")
-                doc, rest = doc[by], np.stack([key[by], start[by], shape[by]], 1)
-                at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-                parts = [rest[a:b].tobytes() for a, b in zip(at, [*at[1:], len(doc)])]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(parts, pa.binary())], names=["doc_id", "entries"])
+                key, doc, start, shape = (unpacked([batch.column(f)[k].as_py()], np.int64) for f in ("key", "doc", "start", "shape"))
+                yield _deal(doc, [key, start, shape], buckets)
 
     return run
 
@@ -317,11 +336,10 @@ def _contexts(length: int, shards: int) -> Callable[[Iterable[pa.RecordBatch]],
             raw, offsets = common.text_buffers(batch.column("text"))
             doc = np.asarray(batch.column("doc_id"))
             for i, j in common.row_chunks(offsets):
-                lists = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 3) for x in batch.column("entries").slice(i, j - i).to_pylist()]
-                sizes = [len(x) for x in lists]
-                rows = np.unique(np.column_stack([np.repeat(np.arange(i, j), sizes), np.concatenate(lists)]), axis=0)
-                for k in range(0, len(rows), 100_000):
-                    r = rows[k : k + 100_000]
+                lists = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in batch.column("entries").slice(i, j - i).to_pylist()]
+                rows = np.column_stack([np.repeat(np.arange(i, j), [len(x) for x in lists]), np.concatenate(lists)])
+                for k in range(0, len(rows), 20_000):
+                    r = rows[k : k + 20_000]
                     key, start, shape = r[:, 1].copy().view(np.uint64), r[:, 2].copy(), r[:, 3].copy()
                     begin = offsets[r[:, 0]] + start
                     size = (shape & 127) + length
@@ -340,7 +358,7 @@ def _contexts(length: int, shards: int) -> Callable[[Iterable[pa.RecordBatch]],
     return run
 
 
-def _compare(length: int) -> Callable[[pa.Table], pa.Table]:
+def _compare(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Strings of open entries that start later than an equal one, for all keys of a shard."""
     width = 2 * length - GRAM
 
@@ -360,8 +378,8 @@ def _compare(length: int) -> Callable[[pa.Table], pa.Table]:
         bounds = np.append(np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])), len(by)) if len(by) else np.zeros(1, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         k = 0
-        while k < len(bounds) - 1:  # whole keys, about 20,000 entries at a time
-            m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 20_000, "right")) - 1)
+        while k < len(bounds) - 1:  # whole keys, about 10,000 entries at a time
+            m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 10_000, "right")) - 1)
             some = by[bounds[k] : bounds[m]]
             k = m
             prints = np.concatenate([window_prints(rows[some[q : q + 4000]], base) for q in range(0, len(some), 4000)])
@@ -380,10 +398,10 @@ def _compare(length: int) -> Callable[[pa.Table], pa.Table]:
         order = np.lexsort((at, which))
         which, at = which[order], at[order]
         if not len(at):
-            return pa.Table.from_batches([_spans_out(which, at, at)])
+            return pa.Table.from_batches([_deal(which, [at, at], buckets)])
         begin = np.append(True, (which[1:] != which[:-1]) | (at[1:] > at[:-1] + 1))
         stop = np.append(begin[1:], True)
-        return pa.Table.from_batches([_spans_out(which[begin], at[begin], at[stop] + length)])
+        return pa.Table.from_batches([_deal(which[begin], [at[begin], at[stop] + length], buckets)])
 
     return run
 
@@ -399,7 +417,7 @@ def _cut(names: list[str], with_text: bool) -> Callable[[Iterable[pa.RecordBatch
                 text = raw[a:b]
                 removed = runs = 0
                 if lists[k]:
-                    pairs = np.frombuffer(b"".join(lists[k]), np.int64).reshape(-1, 2)
+                    pairs = np.frombuffer(lists[k], np.int64).reshape(-1, 2)
                     mark = np.zeros(b - a + 1, np.int32)
                     np.add.at(mark, pairs[:, 0], 1)
                     np.add.at(mark, pairs[:, 1], -1)
@@ -417,8 +435,8 @@ def _cut(names: list[str], with_text: bool) -> Callable[[Iterable[pa.RecordBatch
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of docs(doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of docs(doc_id, text), and columns to carry along.
 
     Every byte of a text (as UTF-8) that is covered by a string of `length` bytes
     that also starts earlier, in a document of smaller id or further left in the
@@ -437,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, w
     own, in order of their texts; ids must then lie within +-2**46. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = common.texts(docs)
+    rows = common.texts(docs, carry=carry)
     facts = rows.agg(
         F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")
     ).first()
@@ -462,16 +480,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, w
         if b is not None:
             part = part.filter(F.col("doc_id") <= b)
         family.ingest(part)
-    covered = family.rows("covered").mapInArrow(_covers(length), SPAN_SCHEMA)
-    opened = family.rows("open").mapInArrow(_open_rows(), "doc_id long, entries binary")
-    listed = opened.groupBy("doc_id").agg(F.collect_list("entries").alias("entries"))
+    opened = family.rows("open").mapInArrow(_open_rows(shards), DEALT_SCHEMA)
+    listed = opened.groupBy("bucket").applyInArrow(_by_document("entries", 3), "doc_id long, entries binary")
     sent = plain.join(listed, "doc_id").mapInArrow(_contexts(length, shards), CONTEXT_SCHEMA)
-    partial = common.stored(sent.groupBy("shard").applyInArrow(_compare(length), SPAN_SCHEMA), "spans")
-    spans = covered.unionByName(partial).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    names = ["own_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
-    kinds = {"own_id": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()}
+    partial = common.stored(sent.groupBy("shard").applyInArrow(_compare(length, shards), DEALT_SCHEMA), "spans")
+    covered = family.rows("covered").mapInArrow(_covers(length, shards), DEALT_SCHEMA)
+    spans = covered.unionByName(partial).groupBy("bucket").applyInArrow(_by_document("spans", 2), "doc_id long, spans binary")
+    names = ["own_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *carry]
+    kinds = {"own_id": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()} | {c: docs.schema[c].dataType for c in carry}
     schema = T.StructType([T.StructField(n, kinds.get(n, T.LongType())) for n in names])
-    joined = keyed.join(spans, "doc_id", "left").select("own_id", "text", "spans")
+    joined = keyed.join(spans, "doc_id", "left").select("own_id", "text", "spans", *carry)
     return joined.mapInArrow(_cut(names, with_text), schema).withColumnRenamed("own_id", "doc_id")
 
 
