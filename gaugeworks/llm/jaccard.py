@@ -14,7 +14,7 @@ from . import common, components
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: Keys that a task gathers before it sorts and sends them.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bytes of keys under one reducer.
 SHARD_BYTES = 32 << 20
 #: Sets under one prefix tree; larger candidate blocks are split and their parts paired.
@@ -50,9 +50,10 @@ class Bands:
     Shingles are ordered by hash. Two sets of sizes a <= b that link have b <=
     100 a / T, so they are in the same band or in neighbouring ones, and differ
     in at most s = (a + b) (100 - T) / (100 + T) shingles. Cut into s + 1 + spare
-    ranges, they hold the same shingles in at least 1 + spare ranges. A range
-    with very few shingles says little; a set with at most `spare` such ranges
-    leaves them out and still meets every partner in another one.
+    ranges, they hold the same shingles in at least 1 + spare ranges. Ranges with
+    few shingles say little. Each set leaves out those with fewer than c, for the
+    largest c that leaves out at most `spare`. Of the two sets' c the larger
+    still leaves one range in which they agree and that neither leaves out.
     """
 
     def __init__(self, threshold: int):
@@ -64,22 +65,21 @@ class Bands:
         self.differ = np.array([2 * (hi - 1) * (100 - t) // (100 + t) for hi in self.low[1:]])
         self.spare = np.ceil(0.25 * (self.differ + 1)).astype(np.int64)
         self.ranges = np.where(self.differ > 0, self.differ + 1 + self.spare, 0)
-        mean = (100 + t) / (2 * (100 - t)) / 1.25 if t < 100 else 1e9
-        self.few, p, total = 0, math.exp(-mean), math.exp(-mean)
-        while total + p * mean / (self.few + 1) <= 0.15:
-            self.few += 1
-            p *= mean / self.few
-            total += p
-
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
 
-def range_keys(sets: list[np.ndarray], ids: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(key, id): a key for each range of each set, in the set's own band and in the next."""
+def range_keys(sets: list[np.ndarray], ids: np.ndarray, bands: Bands, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, id): a key for each range of each set, in the set's own band and in the next.
+
+    usual: sorted shingles to leave out of all sets, which makes no two sets differ more.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
+    if len(usual):
+        rare = usual[np.minimum(np.searchsorted(usual, flat), len(usual) - 1)] != flat
+        flat, owner = flat[rare], owner[rare]
     own = np.searchsorted(bands.edges, sizes, "right") - 1
     mixed = common.mix64(flat + np.uint64(0x632BE59BD9B4E019))
     total = np.zeros(len(flat) + 1, np.uint64)
@@ -93,23 +93,24 @@ def range_keys(sets: list[np.ndarray], ids: np.ndarray, bands: Bands) -> tuple[n
         stop = np.append(begin[1:], len(flat))
         doc, size = owner[begin], stop - begin
         used = ranges[doc] > 0
-        small = np.bincount(doc[(size <= bands.few) & used], minlength=len(sets))
-        here = np.bincount(doc[used], minlength=len(sets))
-        small = small + np.maximum(ranges - here, 0)  # ranges without a shingle
-        every = small > bands.spare[band]
-        keep = used & ((size > bands.few) | every[doc])
+        left = bands.spare[band] - (ranges - np.bincount(doc[used], minlength=len(sets)))
+        empty = left < 0  # more ranges without a shingle than may be left out
+        least = np.ones(len(sets), np.int64)
+        for c in range(1, 8):
+            left = left - np.bincount(doc[used & (size == c)], minlength=len(sets))
+            least += (left >= 0) & (least == c)
+        keep = used & (size >= least[doc])
         place = common.mix64((band[doc].astype(np.uint64) << np.uint64(40)) + k[begin] + np.uint64(1))
         keys.append(common.mix64((total[stop] - total[begin]) ^ place)[keep])
         whose.append(ids[doc[keep]])
-        # both sets may have many small ranges: those without a shingle count as well
-        for d in np.flatnonzero(every & (ranges > here)):
+        for d in np.flatnonzero(empty & (ranges > 0)):
             missing = np.setdiff1d(np.arange(ranges[d], dtype=np.uint64), k[begin[doc == d]])
             keys.append(common.mix64(common.mix64((np.uint64(band[d]) << np.uint64(40)) + missing + np.uint64(1))))
             whose.append(np.full(len(missing), ids[d]))
     return np.concatenate(keys), np.concatenate(whose)
 
 
-def _profiles(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _profiles(n: int, bands: Bands) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
@@ -120,34 +121,48 @@ def _profiles(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Record
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher, n)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())],
-                    names=["doc_id", "n_shingles", "content"],
+                    [
+                        batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([bands.band(len(s)) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "band", "content"],
                 )
 
     return run
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs."""
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components: each node's to the least of its component."""
     if not len(a):
         return a, b
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    return a[new], b[new]
+    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = index[: len(a)], index[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        after = label.copy()
+        np.minimum.at(after, x, low)
+        np.minimum.at(after, y, low)
+        np.minimum.at(after, label[x], low)
+        np.minimum.at(after, label[y], low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
 
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the least id of each, and links from the other ids to it."""
+    """Distinct keys with the least id of each, and links that join the other ids to it."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
     least = ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(keys) else ids
     other = ids != least
-    return (keys[new], ids[new], *_links(ids[other], least[other]))
+    return (keys[new], ids[new], *_forest(ids[other], least[other]))
 
 
-def _send(n: int, bands: Bands, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _send(n: int, bands: Bands, shards: int, usual: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["shard", "linked", "x", "y"]
 
     def flush(keys: list[np.ndarray], ids: list[np.ndarray], count: int) -> pa.RecordBatch:
@@ -168,7 +183,7 @@ def _send(n: int, bands: Bands, shards: int) -> Callable[[Iterable[pa.RecordBatc
             doc = np.asarray(batch.column("doc_id"))
             for i, j in common.row_chunks(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher, n)
-                k, d = range_keys(sets, doc[i:j], bands)
+                k, d = range_keys(sets, doc[i:j], bands, usual)
                 keys.append(k)
                 ids.append(d)
                 held += len(k)
@@ -190,7 +205,7 @@ def _meet(table: pa.Table) -> pa.Table:
     _, _, a, b = _least(keys, ids)
     a = np.concatenate([a, *(np.frombuffer(v, np.int64) for v, on in zip(x, linked) if on)])
     b = np.concatenate([b, *(np.frombuffer(v, np.int64) for v, on in zip(y, linked) if on)])
-    a, b = _links(a, b)
+    a, b = _forest(a, b)
     return pa.table({"a": a, "b": b})
 
 
@@ -342,6 +357,68 @@ def _join(n: int, threshold: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+#: Documents whose shingles are counted to find the usual ones.
+SAMPLE = 5000
+
+
+def _usual(docs: DataFrame, n: int, count: int) -> np.ndarray:
+    """Shingles of more than one document in 500, by a sample of about SAMPLE documents.
+
+    They only help to keep candidates apart: whichever shingles are named here, no link
+    is lost. As a document has few of them, so has the list: at most 500 documents' worth.
+    """
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // SAMPLE))) == 0)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = common.WordHasher(SEPARATORS)
+        for batch in batches:
+            raw, offsets = common.text_buffers(batch.column("text"))
+            for i, j in common.row_chunks(offsets):
+                sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher, n)
+                value, times = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times)], names=["value", "times"])
+
+    counted = sample.mapInArrow(run, "value long, times long").groupBy("value").agg(F.sum("times").alias("times"))
+    found = counted.filter(F.col("times") > max(8, min(count, SAMPLE) / 500)).select("value").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def _parts(inside: DataFrame) -> DataFrame:
+    """(doc_id, component, left, right, part) from inside(node, component, band): under which pairs of parts a set is joined.
+
+    A block of up to BLOCK_SETS sets is one part. A larger one has parts by size
+    band, and within a band at random; a part meets the parts of its own band and
+    of the next, the only ones whose sizes allow a link.
+    """
+    size = inside.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1")
+    whole = inside.join(size, "component").withColumn("band", F.when(F.col("sets") > BLOCK_SETS, F.col("band")).otherwise(0))
+    count = whole.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
+    below = count.select("component", (F.col("band") + 1).alias("band"), F.col("parts").alias("lower"))
+    above = count.select("component", (F.col("band") - 1).alias("band"), F.col("parts").alias("upper"))
+    placed = whole.join(count, ["component", "band"]).join(below, ["component", "band"], "left").join(above, ["component", "band"], "left")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = placed.select(F.col("node").alias("doc_id"), "component", "band", "parts", "lower", "upper", mine.alias("mine"))
+
+    def name(band, part):
+        return F.struct(band.alias("band"), part.alias("part"))
+
+    def upto(n):
+        return F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def pair(left, right, part: int):
+        return F.struct(left.alias("left"), right.alias("right"), F.lit(part).alias("part"))
+
+    band, mine = F.col("band"), F.col("mine")
+    own = name(band, mine)
+    met = F.concat(
+        F.transform(F.sequence(mine, F.col("parts") - 1), lambda y: pair(own, name(band, y), 0)),
+        F.transform(upto(mine), lambda y: pair(name(band, y), own, 1)),
+        F.transform(upto(F.col("upper")), lambda y: pair(own, name(band + 1, y), 0)),
+        F.transform(upto(F.col("lower")), lambda y: pair(name(band - 1, y), own, 1)),
+    )
+    return placed.select("doc_id", "component", F.explode(met).alias("pair")).select("doc_id", "component", "pair.left", "pair.right", "pair.part")
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id, text).
 
@@ -355,7 +432,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
        sorted and made distinct in each task first, and give links to the least
        document of the key, never all pairs. Components of these links are blocks.
     3. Each block's sets become a prefix tree that every set probes. A block of
-       more than BLOCK_SETS sets is split at random and its parts are joined two by two.
+       more than BLOCK_SETS sets is split, and its parts are joined two by two.
     4. Components of the links found.
 
     A null or empty text and one without words have no shingles and link with
@@ -366,31 +443,21 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     spark = docs.sparkSession
     rows = common.texts(docs)
     known = rows.filter("doc_id is not null")
-    profiles = common.stored(rows.mapInArrow(_profiles(n), "doc_id long, n_shingles long, content binary"), "profiles")
-    sized = profiles.filter("n_shingles > 0 and doc_id is not null")
-    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"))
-    total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bands = Bands(threshold)
+    profiles = common.stored(rows.mapInArrow(_profiles(n, bands), "doc_id long, n_shingles long, band long, content binary"), "profiles")
+    sized = profiles.filter("n_shingles > 0 and doc_id is not null")
+    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"))
+    total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     share = 2.6 * (100 - threshold) / (100 + threshold) * 2  # keys for each shingle, about
-    shards = max(common.partitions(spark), math.ceil(total * share * 16 / SHARD_BYTES))
-    sent = known.mapInArrow(_send(n, bands, shards), "shard int, linked boolean, x binary, y binary")
+    shards = max(common.partitions(spark), math.ceil(total[0] * share * 16 / SHARD_BYTES))
+    sent = known.mapInArrow(_send(n, bands, shards, _usual(known, n, total[1])), "shard int, linked boolean, x binary, y binary")
     met = sent.groupBy("shard").applyInArrow(_meet, "a long, b long")
     blocks = components.connected(met)
     # representatives of blocks with at least two different sets
-    first = least.select(F.col("least").alias("node"))
-    inside = common.stored(blocks.join(first, "node", "left_semi").dropDuplicates(["node"]), "blocks")
-    count = inside.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1")
-    parts = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
-    placed = inside.join(count, "component").select(
-        F.col("node").alias("doc_id"), "component", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int").alias("mine")
-    )
-    # part i meets part j >= i: as the left side under (i, j), as the right side under (j, i)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    pairs = placed.select("doc_id", "component", "mine", other).select(
-        "doc_id", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("part"),
-    )
-    grouped = known.join(pairs, "doc_id").groupBy("component", "i", "j")
+    first = least.select(F.col("least").alias("node"), "band")
+    inside = common.stored(blocks.dropDuplicates(["node"]).join(first, "node"), "blocks")
+    pairs = _parts(inside)
+    grouped = known.join(pairs, "doc_id").groupBy("component", "left", "right")
     links = components.connected(grouped.applyInArrow(_join(n, threshold), "a long, b long"))
     members = profiles.join(least, "content", "left")
     sole = F.when(F.col("n_shingles") > 0, F.col("least"))
