@@ -338,16 +338,18 @@ def _each(path: str, columns: str) -> Callable[[Iterable[pa.RecordBatch]], Itera
             for i, j in common.row_chunks(offsets):
                 part = batch.slice(i, j - i)
                 ids = coder.encode(part.column("text").to_pylist())
-                if columns == "digest":
+                bounds = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x in ids], out=bounds[1:])
+                if columns != "digest":
+                    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32)))
+                if columns != "ids":
                     sha = [hashlib.sha256(x).hexdigest() for x in ids]
                     decoded = [hashlib.sha256(coder.decode(x).encode("utf-8")).hexdigest() for x in ids]
                     arrays = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha), pa.array(decoded)]
                     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    if columns == "both":
+                        arrays, names = [*arrays, lists], [*names, "ids"]
                 else:
-                    bounds = np.zeros(len(ids) + 1, np.int32)
-                    np.cumsum([len(x) // 4 for x in ids], out=bounds[1:])
-                    flat = np.frombuffer(b"".join(ids), "<u4").view(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
                     arrays = [part.column("doc_id"), lists, pa.array([coder.decode(x) for x in ids], pa.string())]
                     names = ["doc_id", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -365,10 +367,10 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     return common.texts(docs).mapInArrow(_each(vocabulary, "ids"), "doc_id long, ids array<int>, decoded string")
 
 
-def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() by its hashes."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return common.texts(docs).mapInArrow(_each(vocabulary, "digest"), schema)
+def digest(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encode() by its hashes."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return common.texts(docs).mapInArrow(_each(vocabulary, "both" if with_ids else "digest"), schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

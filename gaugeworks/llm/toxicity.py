@@ -172,6 +172,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below the threshold; no shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance, b = Distance(model.ordinary, model.toxic), np.array(model.coefficients)
+        for batch in batches:
+            x = np.array([features(distance.saved(t or ""), model.threshold) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            yield batch.filter(pa.array(learn.probability(x, b) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, common.read(spark, sf_dir, "labels")))
