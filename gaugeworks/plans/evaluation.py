@@ -31,7 +31,11 @@ def q4(x: str) -> str:
 
 
 B = frames.pred_bin
-POS = F.col("y_true") == 1
+
+
+def pos():
+    return F.col("y_true") == 1
+
 
 QUERIES = {
     "accuracy": lambda s, d: M.accuracy(B(s, d)),
@@ -39,10 +43,10 @@ QUERIES = {
     "confusion_matrix": lambda s, d: M.confusion(frames.pred_multi(s, d)),
     "per_class_metrics": lambda s, d: M.per_class(frames.pred_multi(s, d)),
     "macro_metrics": lambda s, d: M.macro(frames.pred_multi(s, d)),
-    "roc_auc": lambda s, d: M.roc_auc(B(s, d), "score", POS),
-    "average_precision": lambda s, d: M.average_precision(B(s, d), "score", POS),
-    "precision_recall_curve": lambda s, d: M.precision_recall_curve(B(s, d), "score", POS),
-    "log_loss": lambda s, d: M.log_loss(B(s, d), F.when(POS, F.col("score")).otherwise(1 - F.col("score"))),
+    "roc_auc": lambda s, d: M.roc_auc(B(s, d), "score", pos()),
+    "average_precision": lambda s, d: M.average_precision(B(s, d), "score", pos()),
+    "precision_recall_curve": lambda s, d: M.precision_recall_curve(B(s, d), "score", pos()),
+    "log_loss": lambda s, d: M.log_loss(B(s, d), F.when(pos(), F.col("score")).otherwise(1 - F.col("score"))),
     "regression_metrics": lambda s, d: M.regression(frames.pred_reg(s, d)),
     "classification_errors": lambda s, d: M.classification_errors(B(s, d)),
     "regression_errors": lambda s, d: M.regression_errors(frames.pred_reg(s, d)),
