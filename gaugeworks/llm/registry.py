@@ -21,8 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
 }
 
+#: op8_chat has a column that depends on token counts; tests hold the others against SQL.
 SQL: dict[str, str] = {
-    "op8_chat": chat.OP8_SQL,
     "op4_jaccard": jaccard.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }

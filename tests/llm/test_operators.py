@@ -30,11 +30,8 @@ def test_sql_queries_agree(spark):
 
     con = helpers.connection(SF)
     for name, sql in registry.SQL.items():
-        query = registry.QUERIES[name]
-        if name == "op8_chat":
-            assert not helpers.difference(lambda s, d, q=query: q(s, d).drop("formatted_chars"), sql, spark, SF, con), name
-        else:
-            assert not helpers.difference(query, sql, spark, SF, con), name
+        assert not helpers.difference(registry.QUERIES[name], sql, spark, SF, con), name
+    assert not helpers.difference(lambda s, d: chat.op8_chat(s, d).drop("formatted_chars"), chat.OP8_SQL, spark, SF, con)
 
 
 def test_token_files_hold_the_library_ids(spark, texts):
