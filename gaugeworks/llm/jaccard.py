@@ -17,6 +17,8 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 FLUSH = 500_000
 #: Bytes of keys under one reducer.
 SHARD_BYTES = 32 << 20
+#: Shards of a small table. Documents that resemble each other meet in most shards, so more of them than memory asks for repeat links.
+LEAST_SHARDS = 8
 #: Sets under one prefix tree; larger candidate blocks are split and their parts paired.
 BLOCK_SETS = 1000
 
@@ -449,7 +451,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     share = 2.6 * (100 - threshold) / (100 + threshold) * 2  # keys for each shingle, about
-    shards = max(common.partitions(spark), math.ceil(total[0] * share * 16 / SHARD_BYTES))
+    shards = max(LEAST_SHARDS, math.ceil(total[0] * share * 16 / SHARD_BYTES))
     sent = known.mapInArrow(_send(n, bands, shards, _usual(known, n, total[1])), "shard int, linked boolean, x binary, y binary")
     met = sent.groupBy("shard").applyInArrow(_meet, "a long, b long")
     blocks = components.connected(met)
@@ -457,7 +459,9 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     first = least.select(F.col("least").alias("node"), "band")
     inside = common.stored(blocks.dropDuplicates(["node"]).join(first, "node"), "blocks")
     pairs = _parts(inside)
-    grouped = known.join(pairs, "doc_id").groupBy("component", "left", "right")
+    # trees are work for the processors, not bytes: as many partitions as asked for, not fewer by size
+    dealt = known.join(pairs, "doc_id").repartition(common.partitions(spark), "component", "left", "right")
+    grouped = dealt.groupBy("component", "left", "right")
     links = components.connected(grouped.applyInArrow(_join(n, threshold), "a long, b long"))
     members = profiles.join(least, "content", "left")
     sole = F.when(F.col("n_shingles") > 0, F.col("least"))
