@@ -57,9 +57,14 @@ def clusters(signals: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
 
 def cluster_measures(signals: DataFrame, by: Sequence[str], run: str, magnitude: str, samples: str, total_runs: int) -> DataFrame:
-    """(by..., signals, runs, prevalence, mean_magnitude, worst, samples)."""
-    a = signals.groupBy(*by).agg(F.count("*").alias("signals"), F.count_distinct(run).alias("runs"), F.avg(magnitude).alias("m"), F.max(magnitude).alias("w"), F.sum(samples).alias("samples"))
-    return a.select(*by, "signals", "runs", q9(F.col("runs") / F.lit(float(total_runs))).alias("prevalence"), q9("m").alias("mean_magnitude"), q9("w").alias("worst"), "samples")
+    """(by..., signals, runs, prevalence, mean_magnitude, worst, samples).
+
+    Magnitudes count in whole units of 1e-9, so that their sum, and with it a mean halfway between two units, is the same in any order.
+    """
+    units = F.round(F.col(magnitude).cast("double") * 1e9).cast("long")
+    a = signals.groupBy(*by).agg(F.count("*").alias("signals"), F.count_distinct(run).alias("runs"), F.sum(units).alias("m"), F.count(magnitude).alias("k"), F.max(magnitude).alias("w"), F.sum(samples).alias("samples"))
+    mean = F.floor(ratio("m", "k") + 0.5) / F.lit(1e9)
+    return a.select(*by, "signals", "runs", q9(F.col("runs") / F.lit(float(total_runs))).alias("prevalence"), mean.alias("mean_magnitude"), q9("w").alias("worst"), "samples")
 
 
 def cooccurrence(signals: DataFrame, mode: str, run: str) -> DataFrame:
