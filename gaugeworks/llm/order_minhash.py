@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words (or pieces of longer ones) in a k-mer, tuples in a fingerprint, k-mers in a tuple.
-K, BUCKETS, TUPLE = 2, 32, 2
-#: k-mers of least hash from which the tuples are chosen, for each tuple wanted.
-DEPTH = 8
+#: Words (or pieces of longer ones) in a k-mer, bits of a bucket's number, k-mers in a tuple.
+K, BUCKET_BITS, TUPLE = 2, 5, 2
+#: Tuples in a fingerprint.
+BUCKETS = 1 << BUCKET_BITS
 #: Longer runs of characters without white space are cut into pieces of this length.
 PIECE = 12
 #: Ranges of doc_id for finding the next document.
@@ -23,15 +23,16 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with column out: the Order MinHash fingerprint of column text.
 
     A text's k-mers are K units in a row, units being runs of up to PIECE
-    characters without white space. The k-mers of least hash are kept and each
-    numbered among its equals in order of place, so that repeats count. A second
-    hash, of k-mer and number, deals them into BUCKETS; each bucket takes its
-    TUPLE least, puts them back in text order and hashes the tuple. The
-    fingerprint is the tuples' hashes in hexadecimal, '-' for a bucket without k-mers.
+    characters without white space. All k-mers of the text are numbered among
+    their equals in order of place, so that repeats count. A second hash, of
+    k-mer and number, deals them into BUCKETS by its upper bits; each bucket
+    takes its TUPLE least of the whole text, puts them back in text order and
+    hashes the tuple. The fingerprint is the tuples' hashes in hexadecimal, '-'
+    for a bucket without k-mers.
 
     All of it stays within the row: no shuffle, and no step gathers more than a text.
     """
-    u, w, h, kept, occ, best = (f"__{out}_{x}" for x in ("u", "w", "h", "kept", "occ", "best"))
+    u, w, h, occ, best, least = (f"__{out}_{x}" for x in ("u", "w", "h", "occ", "best", "least"))
     low = (1 << POSITION_BITS) - 1
     df = df.withColumn(w, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), 0), lambda x: F.xxhash64(x)))
     # hash in the upper bits and place in the lower ones: sorting longs needs no comparison of structures
@@ -39,28 +40,33 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         F.when(F.size(w) >= K, F.sequence(F.lit(1), F.size(w) - (K - 1))).otherwise(F.when(F.size(w) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))),
         lambda i: F.shiftleft(F.xxhash64(*[F.get(F.col(w), i + (k - 1)) for k in range(K)]), POSITION_BITS).bitwiseOR(F.least(i, F.lit(low)).cast("long")),
     )
-    df = df.withColumn(h, kmers)
-    df = df.withColumn(kept, F.slice(F.sort_array(h), 1, BUCKETS * TUPLE * DEPTH))
+    df = df.withColumn(h, F.sort_array(kmers))
     # where a new k-mer begins in the sorted array; within a run the number is the distance from there
-    value = F.transform(F.col(kept), lambda x: F.shiftright(x, POSITION_BITS))
+    value = F.transform(F.col(h), lambda x: F.shiftright(x, POSITION_BITS))
     df = df.withColumn(occ, value)
     starts = F.filter(F.sequence(F.lit(0), F.size(occ) - 1), lambda i: (i == 0) | (F.get(F.col(occ), i) != F.get(F.col(occ), i - 1)))
     df = df.withColumn(u, F.when(F.size(occ) > 0, starts).otherwise(F.array().cast("array<int>")))
     runs = F.transform(F.col(u), lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(F.col(u), j + 1), F.size(occ)) - s - 1))
     df = df.withColumn(u, F.flatten(runs))
     second = F.zip_with(
-        F.col(kept), F.col(u),
+        F.col(h), F.col(u),
         lambda x, o: F.shiftleft(F.xxhash64(F.shiftright(x, POSITION_BITS), o), POSITION_BITS).bitwiseOR(x.bitwiseAND(F.lit(low).cast("long"))),
     )
     df = df.withColumn(best, F.sort_array(second))
 
+    def bucket_of(x: Column) -> Column:
+        return F.shiftrightunsigned(x, 64 - BUCKET_BITS)
+
+    # sorted, each bucket is a run, and its least are those with another bucket's k-mer, or none, TUPLE places before
+    df = df.withColumn(least, F.filter(F.col(best), lambda x, i: (i < TUPLE) | (bucket_of(x) != bucket_of(F.get(F.col(best), i - TUPLE)))))
+
     def bucket(j: Column) -> Column:
-        mine = F.slice(F.filter(F.col(best), lambda x: F.pmod(F.shiftright(x, POSITION_BITS), F.lit(BUCKETS)) == j), 1, TUPLE)
+        mine = F.filter(F.col(least), lambda x: bucket_of(x) == j)
         ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(F.lit(low).cast("long")).alias("at"), F.shiftright(x, POSITION_BITS).alias("h"))))
         return F.when(F.size(mine) == 0, F.lit("-")).otherwise(F.lower(F.hex(F.xxhash64(F.transform(ordered, lambda x: x["h"])))))
 
     df = df.withColumn(out, F.concat_ws(".", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), bucket)))
-    return df.drop(u, w, h, kept, occ, best)
+    return df.drop(u, w, h, occ, best, least)
 
 
 def likeness(a: str, b: str) -> Column:
