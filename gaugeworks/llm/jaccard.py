@@ -28,8 +28,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, hasher: common.WordHasher
     words, _, _, first = hasher.words(raw, offsets)
     value = np.zeros(len(words), np.uint64)
     step = np.uint64(0x9E3779B97F4A7C15)
-    for k in range(n):
-        value[: len(words) - k] = value[: len(words) - k] * step + words[k:] if k < len(words) else value
+    for k in range(min(n, len(words))):
+        value[: len(words) - k] = value[: len(words) - k] * step + words[k:]
     value = common.mix64(value)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
