@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ FLUSH = 250_000
 SHARD_BYTES = 16 << 20
 #: Batches in which a table is ingested.
 BATCHES = 4
+#: Characters of a text that deal the rows of a repeated doc_id.
+RANGE_CHARS = 256
 
 FIELDS = ("key", "context", "doc", "start", "shape")
 
@@ -452,7 +454,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, w
 
     Null and empty texts have no bytes. Rows with a null doc_id count as
     earlier than all others. Rows that share a doc_id are documents of their
-    own, in order of their texts; ids must then lie within +-2**46. Other columns are ignored.
+    own, in order of their texts, however many they are: all rows are then numbered
+    in order of doc_id and text. Rows with one doc_id and equal first RANGE_CHARS
+    characters are sorted in one task. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = common.texts(docs, carry=carry)
@@ -463,10 +467,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, w
     if unique:
         keyed = rows.withColumn("own_id", F.col("doc_id"))
     else:
-        low = -(1 << 46)
-        copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-        keyed = rows.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(low)) * 65536 + copy)
-        keyed = common.stored(keyed, "keyed")
+        ranged = rows.repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS))
+        ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        # ascends within a partition and from one to the next
+        keyed = common.stored(ranged.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
     entries = facts["bytes"] * 2 / (length - GRAM + 2)
     shards = max(common.partitions(spark), math.ceil(entries * 40 / SHARD_BYTES))
     plain = keyed.select("doc_id", "text")
