@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, learn
@@ -18,6 +18,8 @@ from . import common, learn
 TRAINING_ROWS, EXCHANGED = 10_000, 500
 #: Rounds, and how sure a view must be of a pseudo-label.
 ROUNDS, SURE = 3, 0.95
+#: Weight of a pseudo-label in training, and groups in which the surest documents are ranked first.
+PSEUDO_WEIGHT, SALTS = 0.3, 64
 #: Buckets for hashed text pieces, for sources and for languages.
 TEXT_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 48, 24, 8
 
@@ -62,20 +64,52 @@ def _fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def _scored(views: DataFrame, models: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, pa, pb): the probability that each view gives."""
+def _surest(views: DataFrame, models: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[list[float], float]]]:
+    """For each view (vector, pseudo-label) of the documents without a label that the other view is surest of.
+
+    One pass scores every document. Each task keeps the EXCHANGED surest of each
+    view and class with the vector that is passed on, so no join follows; ranks
+    within salted groups and then over all of them pick the surest of the table.
+    """
+    schema = "taker int, label int, sure double, tie long, vector array<float>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            p = [_probability(batch.column(c), m) for c, m in zip("ab", models)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p)], names=["doc_id", "pa", "pb"])
+            ids = np.asarray(batch.column("doc_id").fill_null(0)).view(np.uint64)
+            tie = common.mix64(ids).view(np.int64)
+            x = [_matrix(batch.column(c)) for c in "ab"]
+            for giver in (0, 1):
+                p = learn.probability(x[giver].astype(np.float64), models[giver])
+                for label, sure in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero(sure >= SURE)
+                    found = sure[at], tie[at], x[1 - giver][at]
+                    if (old := best.get((1 - giver, label))) is not None:
+                        found = tuple(np.concatenate(both) for both in zip(old, found))
+                    first = np.lexsort((found[1], -found[0]))[:EXCHANGED]
+                    best[1 - giver, label] = tuple(f[first] for f in found)
+        for (taker, label), (sure, tie, vectors) in best.items():
+            n = len(sure)
+            columns = [pa.array(np.full(n, taker, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(sure), pa.array(tie), pa.array([*vectors], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["taker", "label", "sure", "tie", "vector"])
+
+    pool = views.filter("not labelled").select("doc_id", "a", "b").mapInArrow(run, schema)
+    by = (F.desc("sure"), F.asc("tie"))
+    salted = pool.withColumn("salt", F.pmod(F.col("tie"), F.lit(SALTS)))
+    for group in (("taker", "label", "salt"), ("taker", "label")):
+        salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by, F.asc("vector")))).filter(F.col("rank") <= EXCHANGED)
+    out: list[list[tuple[list[float], float]]] = [[], []]
+    for r in salted.orderBy("taker", "label", "rank").collect():  # at most 4 * EXCHANGED rows
+        out[r["taker"]].append((r["vector"], float(r["label"])))
+    return out
 
-    return views.select("doc_id", "a", "b").mapInArrow(run, "doc_id long, pa double, pb double")
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
 def _probability(column: pa.Array, model: np.ndarray) -> np.ndarray:
-    x = np.asarray(column.flatten()).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, len(model) - 1))
-    return learn.probability(x, model)
+    return learn.probability(_matrix(column).astype(np.float64).reshape(-1, len(model) - 1), model)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -89,16 +123,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     At the end each view is calibrated on fold 4, and so is their combination,
     which scores every document.
 
+    The views are written once, each vector with a mark whether its document has
+    a label; a round is then one scan, without a join.
+
     Null texts count as empty, null languages and sources as '', a null size as
-    unknown. Labels other than 0 and 1 are left out. Without labels of both classes all
-    scores are 0.5. Null ids stay null, repeated rows have repeated results; other columns are ignored.
+    unknown. Labels other than 0 and 1 are left out; of an id's different labels the
+    least counts, of its different texts the least vector trains. Without labels of
+    both classes all scores are 0.5. Null ids stay null and are never held out, repeated rows have repeated results; other columns are ignored.
     """
     rows = common.texts(docs, carry=("lang", "source", "n_chars"))
-    views = common.stored(rows.mapInArrow(_views, "doc_id long, a array<float>, b array<float>"), "views")
-    wanted = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (_fold() != 0))
-    picked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)  # bounded, so it may be broadcast and collected
-    known = views.join(F.broadcast(picked), "doc_id").withColumn("fold", _fold()).collect()
+    keys = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col(label).isin(0, 1), F.col(label)).cast("int").alias("label"))
+    marks = keys.groupBy("doc_id").agg(F.min("label").alias("label"))
+    wanted = marks.filter(F.col("label").isNotNull() & (_fold() != 0))
+    picked = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)  # bounded, so it may be broadcast and collected
+    vectors = rows.mapInArrow(_views, "doc_id long, a array<float>, b array<float>")
+    joined = vectors.join(marks.select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left")
+    views = common.stored(joined.withColumn("labelled", F.coalesce("labelled", F.lit(False))), "views")
+    known = views.filter("labelled").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("x"), F.first("label").alias("label"))
+    known = known.withColumn("fold", _fold()).select("x.a", "x.b", "label", "fold").orderBy("doc_id").collect()  # at most TRAINING_ROWS
     fold = np.array([r["fold"] for r in known])
     y = np.array([r["label"] for r in known], np.float64)
     x = [np.array([r[c] for r in known], np.float64) for c in "ab"]
@@ -107,21 +149,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
         half = F.lit(0.5)
         return views.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), half.alias("text_score"), half.alias("metadata_score"), half.alias("score"), F.lit(1).alias("predicted"))
     sets = [(x[k][train], y[train], np.ones(int(train.sum()))) for k in (0, 1)]
-    unlabelled = views.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).dropDuplicates(), "doc_id", "left_anti")
     for _ in range(ROUNDS):
         models = tuple(learn.logistic(*s, ridge=1.0) for s in sets)
-        scored = _scored(unlabelled, models)
-        passed: list[list] = [[], []]
-        for k, column in enumerate(("pa", "pb")):  # each view's surest documents, for the other view
-            for sure, y_new in ((F.col(column), 1.0), (1 - F.col(column), 0.0)):
-                best = scored.filter(sure >= SURE).orderBy(sure.desc(), F.xxhash64("doc_id")).select("doc_id").limit(EXCHANGED)
-                got = unlabelled.join(F.broadcast(best), "doc_id").select("ba"[k]).collect()
-                passed[1 - k] += [(r[0], y_new) for r in got]
-        for k in (0, 1):
-            if passed[k]:
-                more, y_new = np.array([v for v, _ in passed[k]], np.float64), np.array([v for _, v in passed[k]])
+        for k, passed in enumerate(_surest(views, models)):
+            if passed:
+                more, y_new = np.array([v for v, _ in passed], np.float64), np.array([v for _, v in passed])
                 # pseudo-labels of earlier rounds are replaced
-                sets[k] = (np.concatenate([x[k][train], more]), np.concatenate([y[train], y_new]), np.concatenate([np.ones(int(train.sum())), np.full(len(more), 0.3)]))
+                sets[k] = (np.concatenate([x[k][train], more]), np.concatenate([y[train], y_new]), np.concatenate([np.ones(int(train.sum())), np.full(len(more), PSEUDO_WEIGHT)]))
     models = tuple(learn.logistic(*s, ridge=1.0) for s in sets)
     z = [_logit(learn.probability(x[k][calibrate], models[k])) for k in (0, 1)]
     single = [learn.logistic(v[:, None], y[calibrate], ridge=0.1) for v in z]
@@ -135,7 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_score", "metadata_score", "score", "predicted"])
 
     schema = "doc_id long, text_score double, metadata_score double, score double, predicted int"
-    out = views.mapInArrow(run, schema)
+    out = views.select("doc_id", "a", "b").mapInArrow(run, schema)
     return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "text_score", "metadata_score", "score", "predicted")
 
 
