@@ -8,17 +8,17 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Tokens of a window, and of the earlier turns that it repeats.
 BUDGET, HISTORY = 1024, 256
-#: Turn numbers that are formatted together; a longer conversation is dealt to several tasks.
-CHAPTER_TURNS = 256
-#: Turns before a chapter that its first window may repeat.
-LOOK_BACK = 16
+#: Tokens of a conversation that are cut into windows together; of a longer one, several tasks do a chapter each.
+CHAPTER_TOKENS = 64 * 1024
+#: Characters of a turn that order turns of one number before its hash does.
+TIE_CHARS = 64
 
 # The template: [INST] user [/INST], <s>assistant</s>, [SYS] system [/SYS], and [ROLE] name, line feed, text [/ROLE]
 # for any other role. Inside texts a backslash is doubled, and one is put behind the first character of a control string.
@@ -62,25 +62,28 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def windows(turns: list[tuple[str, int, int, int, bool]], earlier: int, system: tuple[str, int] | None, budget: int, history: int) -> Iterator[tuple[str, int, list[tuple[int, int]], int]]:
+def windows(
+    turns: list[tuple[str, int, int, int, bool]], earlier: int, system: tuple[str, int] | None, budget: int, history: int, opens: bool = True
+) -> Iterator[tuple[str, int, list[tuple[int, int]], int]]:
     """(text, where the new turns begin, loss spans, tokens) of each window.
 
     turns: (formatted, begin, stop, tokens, is assistant); the first `earlier` only serve as history.
-    system: the formatted system turn, which every window retains, and its tokens.
-    Prefix sums of the tokens give by binary search the last turn that fits; a
-    turn that doesn't fit alone has a window to itself.
+    system: the formatted system turn, which every window retains, and its tokens; if `opens`, it is turns[0] too.
+    Prefix sums of the tokens give by binary search the last turn that fits. Where no new turn
+    fits beside the history there is none; a turn that doesn't fit alone has a window to itself,
+    and so has each turn under a system turn that leaves no room: such windows exceed the budget.
     """
     total = np.cumsum([0, *(t[3] for t in turns)])
+    opens = opens and system is not None
     i, n = earlier, len(turns)
     while i < n:
-        kept = system if system is not None and not (i == 0 and turns[0][0] == system[0]) else None
-        room = budget - (kept[1] if kept else 0)
+        kept = None if system is None or (opens and i == 0) else system
+        room = max(0, budget - (kept[1] if kept else 0))
         back = int(np.searchsorted(total, total[i] - min(history, room // 2)))
-        if kept and back == 0 and turns[0][0] == system[0]:
-            back = min(1, i)
+        back = min(i, max(back, int(opens)))  # the system turn isn't repeated twice
         j = int(np.searchsorted(total, total[back] + room, "right")) - 1
-        if j <= i:  # the turn doesn't fit with its history
-            back, j = i, i + 1
+        if j <= i:
+            back, j = i, max(i + 1, int(np.searchsorted(total, total[i] + room, "right")) - 1)
         head = (kept[0] if kept else "") + "".join(t[0] for t in turns[back:i])
         spans, parts, at = [], [head], len(head)
         for text, begin, stop, _, target in turns[i:j]:
@@ -107,24 +110,85 @@ def _grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tup
         yield key, rows
 
 
-def _format(tokenizer: str, budget: int, history: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _mark(tokenizer: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each turn's marked-up form, where its text stands in it, and its tokens."""
     from .token_files import _encoder
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer)
+        for batch in batches:
+            roles = batch.column("role").to_pylist()
+            forms = [format_turn(r, t) for r, t in zip(roles, batch.column("text").to_pylist())]
+            tokens = [len(x) // 4 for x in encoder.encode([f for f, _, _ in forms])]
+            columns = [
+                batch.column("orphan"), batch.column("conv_id"), batch.column("turn"), pa.array([f[0] for f in forms], pa.string()), pa.array([f[1] for f in forms], pa.int32()),
+                pa.array([f[2] for f in forms], pa.int32()), pa.array(tokens, pa.int64()), pa.array([r == "assistant" for r in roles]), pa.array([r == "system" for r in roles]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["orphan", "conv_id", "turn", "form", "begin", "stop", "tokens", "target", "system"])
+
+    return run
+
+
+def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partition's number and, for each turn, the turns and tokens of its conversation before it in the partition."""
+    from pyspark import TaskContext
+
+    part, last, turns, tokens = TaskContext.get().partitionId(), None, 0, 0
+    for batch in batches:
+        place, before = [], []
+        for key, n in zip(zip(batch.column("orphan").to_pylist(), batch.column("conv_id").to_pylist()), batch.column("tokens").to_pylist()):
+            if key != last:
+                last, turns, tokens = key, 0, 0
+            place.append(turns)
+            before.append(tokens)
+            turns, tokens = turns + 1, tokens + n
+        columns = [*batch.columns, pa.array(np.full(len(place), part, np.int32)), pa.array(place, pa.int64()), pa.array(before, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "place", "before"])
+
+
+MARKED = "orphan boolean, conv_id long, turn long, form string, begin int, stop int, tokens long, target boolean, system boolean"
+
+
+def placed(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """MARKED columns, and each turn's place in its conversation and the tokens before it.
+
+    Turns are sorted by ranges of (conversation, turn), so a long conversation
+    covers several partitions. Each counts from its own start; only a partition's
+    first conversation can have begun earlier, and what lies before it is one
+    row a partition, small enough to broadcast.
+    """
+    rows = turns.select(
+        F.col("conv_id").isNull().alias("orphan"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    marked = rows.mapInArrow(_mark(tokenizer), MARKED).withColumn("row", F.monotonically_increasing_id())
+    keys = ["orphan", "conv_id", F.col("turn").asc_nulls_first(), F.substring("form", 1, TIE_CHARS), F.xxhash64("form"), "row"]
+    ordered = marked.repartitionByRange(common.partitions(turns.sparkSession), *keys).sortWithinPartitions(*keys).drop("row", "turn")
+    schema = MARKED.replace("turn long, ", "")
+    stored = common.stored(ordered.mapInArrow(_number, f"{schema}, part int, place long, before long"), "turns")
+    totals = stored.groupBy("orphan", "conv_id", "part").agg(F.count("*").alias("turns"), F.sum("tokens").alias("tokens"))
+    earlier = Window.partitionBy("orphan", "conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = totals.withColumns({"turns_before": F.sum("turns").over(earlier), "tokens_before": F.sum("tokens").over(earlier)}).filter("turns_before > 0")
+    base = base.select("orphan", "conv_id", "part", "turns_before", "tokens_before")
+    joined = stored.join(F.broadcast(base), ["orphan", "conv_id", "part"], "left")
+    return joined.withColumns({"place": F.col("place") + F.coalesce("turns_before", F.lit(0)), "before": F.col("before") + F.coalesce("tokens_before", F.lit(0))}).drop(
+        "part", "turns_before", "tokens_before"
+    )
+
+
+def _format(budget: int, history: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["conv_id", "chapter", "window", "text", "new_at", "spans", "n_tokens"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.struct([("begin", pa.int32()), ("stop", pa.int32())])), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = _encoder(tokenizer), []
-        for (conv, chapter), rows in _grouped(batches, ["conv_id", "chapter"]):
-            marked = [format_turn(r["role"], r["text"]) for r in rows]
-            first = rows[0]["system"]
-            texts = [m[0] for m in marked] + ([format_turn("system", first)[0]] if first is not None else [])
-            tokens = [len(x) // 4 for x in encoder.encode(texts)]
-            turns = [(*m, n, r["role"] == "assistant") for m, n, r in zip(marked, tokens, rows)]
-            system = (texts[-1], tokens[-1]) if first is not None else None
-            earlier = sum(r["repeated"] for r in rows)
-            for k, (text, new_at, spans, n) in enumerate(windows(turns, earlier, system, budget, history)):
-                out.append((conv, chapter, k, text, new_at, [{"begin": a, "stop": b} for a, b in spans], n))
+        out = []
+        for (orphan, conv, chapter), rows in _grouped(batches, ["orphan", "conv_id", "chapter"]):
+            system = (rows[0]["form"], rows[0]["tokens"]) if rows[0]["part"] == SYSTEM else None
+            rows = rows[system is not None :]
+            turns = [(r["form"], r["begin"], r["stop"], r["tokens"], r["target"]) for r in rows]
+            earlier = sum(r["part"] == REPEATED for r in rows)
+            for k, (text, new_at, spans, n) in enumerate(windows(turns, earlier, system, budget, history, rows[0]["place"] == 0)):
+                out.append((None if orphan else conv, chapter, k, text, new_at, [{"begin": a, "stop": b} for a, b in spans], n))
             if len(out) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
                 out = []
@@ -134,10 +198,13 @@ def _format(tokenizer: str, budget: int, history: int) -> Callable[[Iterable[pa.
     return run
 
 
+#: What a row is to its chapter: the retained system turn, a turn of the chapter before that serves as history, a turn of its own.
+SYSTEM, REPEATED, OWN = 0, 1, 2
+
 WINDOW_SCHEMA = "conv_id long, chapter long, window int, text string, new_at int, spans array<struct<begin:int,stop:int>>, n_tokens long"
 
 
-def format_conversations(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY, chapter_tokens: int = CHAPTER_TOKENS) -> DataFrame:
     """Windows (conv_id, chapter, window, text, new_at, spans, n_tokens) of turns(conv_id, turn, role, text).
 
     Each window holds the system turn (a conversation's first turn, if its role is
@@ -146,34 +213,32 @@ def format_conversations(turns: DataFrame, tokenizer: str, budget: int = BUDGET,
     loss: the texts of new assistant turns. Repeated turns are never in spans, so
     each assistant text is a target exactly once.
 
-    Conversations are dealt out by chapters of CHAPTER_TURNS turn numbers, so a
-    very long one isn't one task's work; a chapter knows the last LOOK_BACK turn
-    numbers before it, and windows end with their chapter.
+    Places and prefix sums of tokens are taken over the whole conversation,
+    whatever its turn numbers. A chapter is the turns that begin within the same
+    chapter_tokens of the prefix sum, and the unit that a task formats; its first
+    window repeats as much history as any other. Windows end with their chapter.
 
-    A null text is an empty one, a null role the role ''. Rows with a null turn
-    come first, rows with equal turns by role and text, each a turn of its own. Rows with a null conv_id are
+    A system turn that leaves no room, or a turn beyond the budget, makes windows
+    that exceed the budget: each has the system turn and one new turn, whole and without history.
+    A null text is an empty one, a null role the role ''. Rows with a null turn come first;
+    rows with equal turns are ordered by the beginnings of their marked-up forms, then by hash, each a turn of its own. Rows with a null conv_id are
     one conversation. No rows give no windows; other columns are ignored.
     """
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    chapter = F.coalesce(F.floor(F.col("turn") / CHAPTER_TURNS), F.lit(-(1 << 50)))
-    rows = rows.withColumn("chapter", chapter)
-    late = F.pmod(F.col("turn"), F.lit(CHAPTER_TURNS)) >= CHAPTER_TURNS - LOOK_BACK
-    repeated = rows.filter(late).withColumn("chapter", F.col("chapter") + 1)
-    there = rows.select("conv_id", "chapter").distinct()
-    repeated = repeated.join(there, repeated["conv_id"].eqNullSafe(there["conv_id"]) & (repeated["chapter"] == there["chapter"]), "left_semi")
-    everything = rows.withColumn("repeated", F.lit(False)).unionByName(repeated.withColumn("repeated", F.lit(True)))
-    # the first turn in order, by aggregation: nulls first
-    begins = F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text"))
-    first = rows.groupBy("conv_id").agg(begins.alias("first")).filter("first.role = 'system'")
-    first = first.select(F.col("conv_id").alias("system_of"), F.col("first.text").alias("system"))
-    joined = everything.join(first, F.col("conv_id").eqNullSafe(F.col("system_of")), "left").drop("system_of", "turn_known")
-    ordered = joined.repartition(common.partitions(turns.sparkSession), "conv_id", "chapter").sortWithinPartitions(
-        "conv_id", "chapter", F.desc("repeated"), F.col("turn").asc_nulls_first(), "role", "text"
-    )
-    return ordered.mapInArrow(_format(tokenizer, budget, history), WINDOW_SCHEMA)
+    if chapter_tokens < 2 * max(budget, history):
+        raise ValueError("a chapter must hold two budgets")
+    rows = placed(turns, tokenizer).withColumn("chapter", F.floor(F.col("before") / chapter_tokens).cast("long"))
+    keys = ["orphan", "conv_id", "chapter"]
+    begins = rows.groupBy(*keys).agg(F.min("before").alias("from"))
+    # a turn near its chapter's end also goes to the next one; if that is empty, the turn between is longer than any history
+    late = rows.filter(F.col("before") >= (F.col("chapter") + 1) * chapter_tokens - history).withColumn("chapter", F.col("chapter") + 1)
+    late = late.join(begins, keys).filter(F.col("from") - F.col("before") <= history).drop("from")
+    first = rows.filter("place = 0 and system").drop("chapter")
+    heads = first.join(begins.select(*keys), ["orphan", "conv_id"])
+    columns = [*keys, "part", "place", "form", "begin", "stop", "tokens", "target"]
+    parts = [x.withColumn("part", F.lit(k)).select(*columns) for x, k in ((heads, SYSTEM), (late, REPEATED), (rows, OWN))]
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ordered = everything.repartition(common.partitions(turns.sparkSession), *keys).sortWithinPartitions(*keys, "part", "place")
+    return ordered.mapInArrow(_format(budget, history), WINDOW_SCHEMA)
 
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +276,11 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What a reader of the windows finds, by conversation; texts are hashed as they stream by, never gathered."""
+    """What a reader of the windows finds, by conversation.
+
+    A hash of a whole conversation can only be taken in order, by one task; texts
+    are hashed as they stream by, never gathered.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     n = common.partitions(formatted.sparkSession)
     ordered = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "chapter", "window")
