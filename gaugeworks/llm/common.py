@@ -108,7 +108,32 @@ class WordHasher:
         np.multiply.accumulate(self.inverse, out=self.inverse)
 
     def words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, start, end) of each word, and for each text the index of its first word (one more at the end)."""
+        """(hash, start, end) of each word, and for each text the index of its first word (one more at the end).
+
+        Long blocks are hashed in pieces that end at a separator, so that the steps between need little memory.
+        """
+        cuts = [0]
+        while len(raw) - cuts[-1] > 2 * CHUNK_BYTES:
+            cuts.append(self._separator(raw, cuts[-1] + CHUNK_BYTES))
+        if len(cuts) == 1:
+            return self._words(raw, offsets)
+        parts = []
+        for a, b in zip(cuts, [*cuts[1:], len(raw)]):
+            inner = offsets[(offsets > a) & (offsets < b)] - a
+            value, start, end, _ = self._words(raw[a:b], np.concatenate([[0], inner, [b - a]]))
+            parts.append((value, start + a, end + a))
+        value, start, end = (np.concatenate(x) for x in zip(*parts))
+        return value, start, end, np.searchsorted(start, offsets)
+
+    def _separator(self, raw: np.ndarray, at: int) -> int:
+        while at < len(raw):
+            found = np.flatnonzero(~self.is_word[self.lower[raw[at : at + 65536]]])
+            if len(found):
+                return at + int(found[0])
+            at += 65536
+        return len(raw)
+
+    def _words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(raw)
         if n == 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)

@@ -14,53 +14,57 @@ from . import common
 
 #: Every byte that parts words, after A-Z are lower-cased.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
-#: Benchmark text given to every task at once; a larger benchmark is searched in blocks of this size.
+#: Benchmark text that every task searches at once; a larger benchmark is searched in blocks of this size, one after the other.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text under one suffix array, and words: a longer text is cut into overlapping pieces.
+SHARD_BYTES, SHARD_WORDS = 4 << 20, 1 << 20
 WINDOW = 13
 
 
 class SuffixArray:
-    """Word suffixes of a shard of texts, in order of their first `depth` words.
+    """The word suffixes of a shard of texts, sorted by their first `depth` words, or wholly (None).
 
-    Words are numbered by rank among the shard's distinct words; a suffix ends
-    with its text. Three words are packed into a 64-bit key; suffixes with equal
-    keys are ordered by the key three words on, and so forth.
+    A suffix ends with its text; words are ordered by hash. They are numbered by
+    rank among the shard's distinct words, as many as fit are packed into the
+    63-bit key by which suffixes are sorted first, and ties are sorted by the
+    groups of the suffixes 1, 2, 4, ... keys further on.
     """
 
-    STEP = 3
-
-    def __init__(self, words: np.ndarray, first: np.ndarray, depth: int):
+    def __init__(self, words: np.ndarray, first: np.ndarray, depth: int | None):
+        self.words, self.first, n = words, first, len(words)
         self.vocabulary, rank = np.unique(words, return_inverse=True)
-        if len(self.vocabulary) >= (1 << 21) - 1:
-            raise ValueError("too many distinct words in a shard")
-        self.first, self.depth, n = first, depth, len(words)
+        self.bits = len(self.vocabulary).bit_length() or 1
+        self.step = 63 // self.bits
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         self.left = first[1:][doc] - np.arange(n) if n else np.zeros(0, np.int64)  # words to the end of the text
-        padded = np.zeros(n + self.STEP, np.int64)
+        padded = np.zeros(n + self.step, np.int64)
         padded[:n] = rank + 1
-        key = np.zeros(n, np.int64)
-        for k in range(self.STEP):
-            key = (key << 21) | np.where(self.left > k, padded[k : k + n], 0)
-        self.rank, self.key = padded, np.append(key, 0)
-        self.order = np.argsort(self.key[:n], kind="stable")
-        self.sorted = [self.key[self.order]]
-        group = np.zeros(n, np.int64)
+        self.key = np.zeros(n, np.int64)
+        for k in range(self.step):
+            self.key = (self.key << self.bits) | np.where(self.left > k, padded[k : k + n], 0)
+        self.order = np.argsort(self.key, kind="stable")
         if n:
-            np.cumsum(self.sorted[0][1:] != self.sorted[0][:-1], out=group[1:])
-        for at in range(self.STEP, depth, self.STEP):
-            places = np.minimum(self.order + at, n)
-            next_key = np.where(self.left[self.order] > at, self.key[places], 0)
-            tied = np.zeros(n, bool)
-            if n:
-                same = group[1:] == group[:-1]
-                tied[1:] |= same
-                tied[:-1] |= same
-            t = np.flatnonzero(tied)
-            by = np.lexsort((next_key[t], group[t]))
-            self.order[t], next_key[t] = self.order[t][by], next_key[t][by]
-            self.sorted.append(next_key)
-            if n:
-                np.cumsum((group[1:] != group[:-1]) | (next_key[1:] != next_key[:-1]), out=group[1:])
+            self._refine(depth)
+
+    def _refine(self, depth: int | None) -> None:
+        n, order, done = len(self.order), self.order, self.step
+        begins = np.append(True, self.key[order][1:] != self.key[order][:-1])
+        group, group_of = np.cumsum(begins), np.empty(n, np.int64)
+        while depth is None or done < depth:
+            tied = ~begins
+            tied[:-1] |= ~begins[1:]
+            at = np.flatnonzero(tied)
+            here = order[at]
+            further = self.left[here] > done
+            if not further.any():
+                break
+            group_of[order] = group
+            after = np.where(further, group_of[np.minimum(here + done, n - 1)], 0)
+            by = np.lexsort((after, group[at]))
+            order[at], after = here[by], after[by]
+            begins[at[1:]] |= after[1:] != after[:-1]
+            group = np.cumsum(begins)
+            done *= 2
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """Ranks of a query's words from 1, or -1 where the shard has no such word."""
@@ -69,123 +73,125 @@ class SuffixArray:
         k = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[k] == words, k + 1, -1)
 
-    def search(self, query: np.ndarray) -> tuple[int, int, int]:
-        """(words matched, low, high): the longest prefix of query (word ranks, at most depth) that
-        the shard holds, and the range of suffixes that start with it, by binary search."""
-        low, high, size = 0, len(self.order), min(len(query), self.depth)
-        done = 0
-        while done < size:
-            step = query[done : done + self.STEP][: size - done]
-            keys = self.sorted[done // self.STEP]
-            found = None
-            for take in range(len(step), 0, -1):
-                if (step[:take] < 0).any():
-                    continue
-                value = 0
-                for k in range(self.STEP):
-                    value = (value << 21) | (int(step[k]) if k < take else 0)
-                width = 21 * (self.STEP - take)
-                a = low + int(np.searchsorted(keys[low:high], value))
-                b = low + int(np.searchsorted(keys[low:high], value + (1 << width)))
-                if a < b:
-                    found = take, a, b
-                    break
-            if found is None:
-                break
-            take, low, high = found
-            done += take
-            if take < self.STEP:
-                break
-        return done, low, high
-
-    def window_ranges(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For all full windows at once (a row of packed keys each, from pack()), the range of suffixes that start with it."""
-        n = len(self.order)
-        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), n)
-        for level, (key, to) in enumerate(zip(keys[:, :, 0].T, keys[:, :, 1].T)):
-            column = self.sorted[level]
-            if level == 0:
-                low, high = np.searchsorted(column, key), np.searchsorted(column, to)
-            else:
-                low, high = self.bisect(column, key, low, high), self.bisect(column, to, low, high)
+    def ranges(self, cells: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of word ranks (of `sizes` words, filled up with 0) the range of suffixes that start with it."""
+        low, high = np.zeros(len(cells), np.int64), np.full(len(cells), len(self.order))
+        for at in range(0, cells.shape[1], self.step):
+            value = np.zeros(len(cells), np.int64)
+            for k in range(at, at + self.step):
+                value = (value << self.bits) | (np.where(k < sizes, cells[:, k], 0) if k < cells.shape[1] else 0)
+            free = np.clip(at + self.step - np.minimum(sizes, cells.shape[1]), 0, self.step)
+            live = np.flatnonzero((free < self.step) & (low < high))
+            value, free = value[live], free[live]
+            a = self._bisect(at, value, low[live], high[live])
+            high[live] = self._bisect(at, value + (np.int64(1) << (self.bits * free)), a, high[live])
+            low[live] = a
         return low, high
 
-    @staticmethod
-    def bisect(column: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        low, high = low.copy(), high.copy()
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            less = open_ & (column[np.minimum(mid, max(len(column) - 1, 0))] < value)
-            low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    def _bisect(self, at: int, value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The first suffix of each range whose key `at` words on isn't less than the value."""
+        low, high, n = low.copy(), high.copy(), len(self.order)
+        while (some := np.flatnonzero(low < high)).size:
+            mid = (low[some] + high[some]) // 2
+            suffix = self.order[mid]
+            key = np.where(self.left[suffix] > at, self.key[np.minimum(suffix + at, n - 1)], 0)
+            less = key < value[some]
+            low[some[less]] = mid[less] + 1
+            high[some[~less]] = mid[~less]
         return low
 
 
-def pack(ranks: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
-    """Rows of word ranks (filled up with 0) as the least and the next key of each level: [row, level, 2]."""
-    levels = []
-    for at in range(0, depth, SuffixArray.STEP):
-        key, free = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-        for k in range(at, at + SuffixArray.STEP):
-            inside = (k < lengths) & (k < depth)
-            key = (key << 21) | np.where(inside, ranks[:, k] if k < ranks.shape[1] else 0, 0)
-            free += ~inside
-        above = np.where(free < SuffixArray.STEP, key + (np.int64(1) << (21 * (free % SuffixArray.STEP))), np.iinfo(np.int64).max)
-        levels.append(np.stack([key, above], 1))
-    return np.stack(levels, 1)
-
+class Benchmark:
+    """The words of a block of items, and the suffixes that are searched.
 
-class TestSet:
-    """The words of the benchmark's items and their windows."""
+    Searched are all suffixes of at least `window` words, by their first
+    `window`, and items of fewer words as a whole. Equal ones form a class and
+    are searched once.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        hasher = common.WordHasher(SEPARATORS)
         raw = [text.encode("utf-8") for _, text in items]
-        offsets = np.cumsum([0, *map(len, raw)])
-        self.words, _, _, self.first = hasher.words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        self.ids = [i for i, _ in items]
-        rows, owner, sizes = [], [], []
-        for k in range(len(items)):
-            a, b = int(self.first[k]), int(self.first[k + 1])
-            size = min(window, b - a)
-            if size:
-                at = np.arange(a, b - size + 1)
-                index = at[:, None] + np.arange(window)
-                index[:, size:] = -1
-                rows.append(index)
-                owner.append(np.full(len(at), k))
-                sizes.append(np.full(len(at), size))
-        self.windows = np.concatenate(rows) if rows else np.zeros((0, window), np.int64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-
-
-def _hits(array: SuffixArray, test: TestSet, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word place, words, item) of every occurrence of a window in the shard."""
-    rank = array.number(test.words)
-    cells = np.where(test.windows >= 0, rank[test.windows], 0)
-    known = np.flatnonzero((cells >= 0).all(1))
-    low, high = array.window_ranges(pack(cells[known], test.sizes[known], window))
-    count = high - low
-    which = np.repeat(known, count)
-    inner = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    return array.order[np.repeat(low, count) + inner], test.sizes[which], test.owner[which]
+        hasher = common.WordHasher(SEPARATORS)
+        self.words, _, _, self.first = hasher.words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        self.ids, self.window = [i for i, _ in items], window
+        count = np.diff(self.first)
+        size, starts = np.minimum(count, window), np.where(count > 0, count - np.minimum(count, window) + 1, 0)
+        self.owner = np.repeat(np.arange(len(items)), starts)
+        self.suffix = np.arange(len(self.owner)) - np.repeat(np.cumsum(starts) - starts, starts) + self.first[:-1][self.owner]
+        sizes = size[self.owner]
+        self.prints = Prints(self.words)
+        content = common.mix64(self.prints.of(self.suffix, sizes) + sizes.astype(np.uint64))
+        _, where, self.class_of = np.unique(content, return_index=True, return_inverse=True)
+        self.at, self.sizes = self.suffix[where], sizes[where]
+        pairs = np.unique(np.stack([self.class_of, self.owner], 1), axis=0) if len(where) else np.zeros((0, 2), np.int64)
+        self.items_at, self.items = np.searchsorted(pairs[:, 0], np.arange(len(where) + 1)), pairs[:, 1]
+
+    def ranges(self, array: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """For each class, the range of the shard's suffixes that start with it."""
+        rank = array.number(self.words)
+        unknown = np.append(0, np.cumsum(rank < 0))
+        known = np.flatnonzero(unknown[self.at + self.sizes] == unknown[self.at])
+        index = np.minimum(self.at[known][:, None] + np.arange(self.window), max(len(rank) - 1, 0))
+        low, high = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        low[known], high[known] = array.ranges(rank[index] if len(rank) else index, self.sizes[known])
+        return low, high
+
+
+class Prints:
+    """Fingerprints of any runs of words, from prefix sums of a polynomial modulo 2**64."""
+
+    def __init__(self, words: np.ndarray):
+        power, inverse = np.full(len(words) + 1, common.WordHasher.BASE, np.uint64), np.full(len(words) + 1, pow(common.WordHasher.BASE, -1, 1 << 64), np.uint64)
+        power[0] = inverse[0] = 1
+        np.multiply.accumulate(power, out=power)
+        self.inverse = np.multiply.accumulate(inverse, out=inverse)
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * power[: len(words)], out=self.total[1:])
+
+    def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.total[at + size] - self.total[at]) * self.inverse[at]
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of every place in the ranges."""
+    count = np.maximum(high - low, 0)
+    row = np.repeat(np.arange(len(low)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+
+
+def _hits(words: np.ndarray, first: np.ndarray, test: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """(word place, class) of every occurrence in a shard. A text beyond SHARD_WORDS is searched in pieces that overlap by a window."""
+    places, classes = [], []
+    cuts = [(0, len(words))] if len(first) != 2 else [(a, a + SHARD_WORDS) for a in range(0, max(len(words), 1), SHARD_WORDS)]
+    for a, b in cuts:
+        piece = words[a : b + test.window - 1]
+        array = SuffixArray(piece, first if len(cuts) == 1 else np.array([0, len(piece)]), test.window)
+        which, at = _spread(*test.ranges(array))
+        place = array.order[at] + a
+        own = place < b
+        places.append(place[own])
+        classes.append(which[own])
+    return np.concatenate(places), np.concatenate(classes)
 
 
 def _scan(items: list[tuple[str, str]], window: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, test = common.WordHasher(SEPARATORS), TestSet(items, window)
+        hasher, test = common.WordHasher(SEPARATORS), Benchmark(items, window)
         for batch in batches:
             raw, offsets = common.text_buffers(batch.column("text"))
             for i, j in common.row_chunks(offsets, SHARD_BYTES):
                 words, _, _, first = hasher.words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                place, size, item = _hits(SuffixArray(words, first, window), test, window)
+                place, class_ = _hits(words, first, test)
+                size = test.sizes[class_]
                 mark = np.zeros(len(words) + 1, np.int64)
                 np.add.at(mark, place, 1)
                 np.add.at(mark, place + size, -1)
                 hit = np.cumsum(mark[:-1]) > 0
                 # runs of hit words within each text, and the items found there
                 doc = np.searchsorted(first, place, "right") - 1
-                pairs = np.unique(np.stack([doc, item], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
+                found = np.unique(np.stack([doc, class_], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
+                row, at = _spread(test.items_at[found[:, 1]], test.items_at[found[:, 1] + 1])
+                pairs = np.unique(np.stack([found[row, 0], test.items[at]], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
                 edge = np.zeros(len(words) + 1, bool)
                 edge[first] = True
                 before, after = np.append(False, hit)[:-1], np.append(hit, False)[1:]
@@ -209,12 +215,8 @@ def _scan(items: list[tuple[str, str]], window: int) -> Callable[[Iterable[pa.Re
     return run
 
 
-#: Bytes of text under one suffix array.
-SHARD_BYTES = 4 << 20
-
-
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items (id as string, text) in blocks of bounded size, one block on the driver at a time."""
+    """Items (id as string, text) in blocks of bounded size (or one item), one block on the driver at a time."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")))
     for i, text in rows.toLocalIterator():
@@ -227,28 +229,36 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
         yield block
 
 
+MATCH_SCHEMA = "doc_id long, row_key string, n_words long, spans array<struct<begin:long,stop:long>>, items array<string>"
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items): for each row of docs the hit words, as [begin, stop), and the items found.
 
     Each task sorts the word suffixes of its shards of documents, and
-    binary-searches every window of the benchmark in them. The benchmark goes to
-    the tasks in blocks of at most block_bytes; with several blocks the rows'
-    spans and items are united afterwards.
-
-    A null text has no words; an item without words has no windows; items with a
+    binary-searches every suffix of the benchmark's items in them: the places
+    that share its first `window` words (or all words of a shorter item) are
+    hit; a longer match is the union of those of successive suffixes. The
+    benchmark goes to the tasks in blocks of at most block_bytes or one item.
+    With several blocks, each one's finds are written to the shared folder
+    before the next block is read, and united at the end; each block costs a scan of docs.
+
+    A null text has no words; an item without words has no suffixes; items with a
     null id are found but not named. A null doc_id stays null. Rows with the same
-    doc_id are each judged alone; repeated items count once. An empty benchmark finds nothing; other columns are ignored.
+    doc_id are each judged alone; repeated items count once. A very long text is searched in
+    overlapping pieces. An empty benchmark finds nothing; other columns are ignored.
     """
-    schema = "doc_id long, row_key string, n_words long, spans array<struct<begin:long,stop:long>>, items array<string>"
     rows, some = common.texts(docs), blocks(benchmark, block_bytes)
     first, second = next(some, []), next(some, None)
     if second is None:
         keyed = rows.withColumn("row_key", F.lit(None).cast("string"))
-        return keyed.mapInArrow(_scan(first, window), schema).drop("row_key")
-    keyed, found = rows.withColumn("row_key", F.sha2("text", 256)), None
+        return keyed.mapInArrow(_scan(first, window), MATCH_SCHEMA).drop("row_key")
+    keyed, path = rows.withColumn("row_key", F.sha2("text", 256)), common.scratch(docs.sparkSession, "benchmark-blocks")
     for k, block in enumerate(itertools.chain([first, second], some)):
-        part = keyed.mapInArrow(_scan(block, window), schema).withColumn("block", F.lit(k))
-        found = part if found is None else found.unionByName(part)
+        part = keyed.mapInArrow(_scan(block, window), MATCH_SCHEMA)
+        part = part if k == 0 else part.filter(F.size("spans") > 0)
+        part.withColumn("block", F.lit(k)).write.mode("append").parquet(path)
+    found = docs.sparkSession.read.schema(f"{MATCH_SCHEMA}, block int").parquet(path)
     # equal rows (same id and text) have equal results: a row of the first block each, with the others' finds
     united = found.groupBy("doc_id", "row_key").agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
@@ -279,40 +289,102 @@ def verdicts(found: DataFrame) -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, at_least: int = WINDOW, depth: int = 60) -> DataFrame:
-    """(item_id, item_place, n_words, doc_id, word_place): for every suffix of every item the longest verbatim
-    match in each shard (up to depth words), and one document and place that hold it."""
-
-    def scan(items: list[tuple[str, str]]):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, test = common.WordHasher(SEPARATORS), TestSet(items, at_least)
-            for batch in batches:
-                raw, offsets = common.text_buffers(batch.column("text"))
-                for i, j in common.row_chunks(offsets, SHARD_BYTES):
-                    words, _, _, first = hasher.words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    array, rows = SuffixArray(words, first, depth), []
-                    rank = array.number(test.words)
-                    for k, name in enumerate(test.ids):
-                        a, b = int(test.first[k]), int(test.first[k + 1])
-                        for p in range(a, b):
-                            n, low, _ = array.search(rank[p : min(b, p + depth)])
-                            if n >= min(at_least, b - a):
-                                place = int(array.order[low])
-                                d = int(np.searchsorted(first, place, "right")) - 1
-                                rows.append((name, p - a, n, batch.column("doc_id")[i + d].as_py(), place - int(first[d])))
-                    columns = [*zip(*rows)] if rows else [[]] * 5
-                    kinds = [pa.string(), *[pa.int64()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=NAMES)
-
-        return run
+class LongestMatch:
+    """Longest common prefixes of benchmark suffixes and a shard's suffixes, compared by fingerprints of whole runs."""
 
+    def __init__(self, array: SuffixArray, test: Benchmark):
+        self.array, self.test, self.prints = array, test, Prints(array.words)
+        self.left = test.first[1:][test.owner] - test.suffix  # words to the end of the item
+
+    def shared(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Words that benchmark suffix `row` shares with the suffix at place `at` of the array, by bisection on their number."""
+        p, q = self.test.suffix[row], self.array.order[at]
+        low, high = np.zeros(len(row), np.int64), np.minimum(self.left[row], self.array.left[q])
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = self.test.prints.of(p, mid) == self.prints.of(q, mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    def bisect(self, row: np.ndarray, low: np.ndarray, high: np.ndarray, go_right: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        while (some := np.flatnonzero(low < high)).size:
+            mid = (low[some] + high[some]) // 2
+            right = go_right(some, mid, self.shared(row[some], mid))
+            low[some[right]] = mid[right] + 1
+            high[some[~right]] = mid[~right]
+        return low
+
+    def search(self, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, low, high): the longest match of each suffix and the range of the array that holds it, inside the given range."""
+        array, test = self.array, self.test
+
+        def below(some: np.ndarray, mid: np.ndarray, shared: np.ndarray) -> np.ndarray:
+            p, q = test.suffix[row[some]], array.order[mid]
+            ended = shared == self.left[row[some]]
+            short = shared == array.left[q]
+            mine = test.words[np.minimum(p + shared, len(test.words) - 1)]
+            other = array.words[np.minimum(q + shared, len(array.words) - 1)]
+            return ~ended & (short | (other < mine))
+
+        at, n = self.bisect(row, low, high, below), np.zeros(len(row), np.int64)
+        for near, inside in ((at - 1, at > low), (at, at < high)):
+            k = np.flatnonzero(inside)
+            n[k] = np.maximum(n[k], self.shared(row[k], near[k]))
+        begin = self.bisect(row, low, at, lambda some, mid, shared: shared < n[some])
+        return n, begin, self.bisect(row, at, high, lambda some, mid, shared: shared >= n[some])
+
+
+def _longest(items: list[tuple[str, str]], at_least: int, batch_rows: int = 100_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, test = common.WordHasher(SEPARATORS), Benchmark(items, at_least)
+        names = pa.array(test.ids, pa.string())
+        for batch in batches:
+            raw, offsets = common.text_buffers(batch.column("text"))
+            for i, j in common.row_chunks(offsets, SHARD_BYTES):
+                words, _, _, first = hasher.words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                array = SuffixArray(words, first, None)
+                low, high = test.ranges(array)
+                row = np.flatnonzero((low < high)[test.class_of])
+                n, low, high = LongestMatch(array, test).search(row, low[test.class_of[row]], high[test.class_of[row]])
+                # a suffix that only continues the match of the one before says nothing new
+                begins = np.append(True, (row[1:] != row[:-1] + 1) | (test.owner[row[1:]] != test.owner[row[:-1]]) | (n[1:] != n[:-1] - 1)) if len(row) else np.zeros(0, bool)
+                row, n, low, high = row[begins], n[begins], low[begins], high[begins]
+                bounds, k = np.cumsum(high - low), 0
+                while k < len(row):
+                    m = max(k + 1, int(np.searchsorted(bounds, (bounds[k - 1] if k else 0) + batch_rows, "right")))
+                    which, at = _spread(low[k:m], high[k:m])
+                    place, which, k = array.order[at], which + k, m
+                    doc = np.searchsorted(first, place, "right") - 1
+                    owner = test.owner[row[which]]
+                    columns = [
+                        names.take(pa.array(owner)), pa.array(test.suffix[row[which]] - test.first[owner]), pa.array(n[which]),
+                        batch.column("doc_id").take(pa.array(i + doc)), pa.array(place - first[doc]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item_id", "item_place", "n_words", "doc_id", "word_place"])
+
+    return run
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, at_least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(item_id, item_place, n_words, doc_id, word_place): the longest verbatim match of every suffix of every item in each
+    shard of documents, and all places that hold it, if it has at_least words or the whole of a shorter item.
+
+    Matches are of any length. A suffix is left out where its match is the rest of
+    the match of the suffix one word before. A shard is some whole texts, so a
+    place with a shorter match isn't listed where the shard has a longer one.
+    Nulls, repeated rows and empty tables count as in matches(); a very long text is sorted as a whole.
+    """
+    spark, rows = docs.sparkSession, common.texts(docs)
     schema = "item_id string, item_place long, n_words long, doc_id long, word_place long"
-    NAMES = ["item_id", "item_place", "n_words", "doc_id", "word_place"]
-    parts = [common.texts(docs).mapInArrow(scan(b), schema) for b in blocks(benchmark)] or [common.texts(docs).mapInArrow(scan([]), schema)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    some = blocks(benchmark, block_bytes)
+    first, second = next(some, []), next(some, None)
+    if second is None:
+        return rows.mapInArrow(_longest(first, at_least), schema)
+    path = common.scratch(spark, "longest-matches")
+    for block in itertools.chain([first, second], some):
+        rows.mapInArrow(_longest(block, at_least), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
