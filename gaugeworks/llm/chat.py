@@ -17,7 +17,7 @@ from . import common
 BUDGET, HISTORY = 1024, 256
 #: Tokens of a conversation that are cut into windows together; of a longer one, several tasks do a chapter each.
 CHAPTER_TOKENS = 64 * 1024
-#: Characters of a turn that order turns of one number before its hash does.
+#: Characters of role and text that order turns of one number before a hash does.
 TIE_CHARS = 64
 
 # The template: [INST] user [/INST], <s>assistant</s>, [SYS] system [/SYS], and [ROLE] name, line feed, text [/ROLE]
@@ -111,46 +111,40 @@ def _grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tup
 
 
 def _mark(tokenizer: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each turn's marked-up form, where its text stands in it, and its tokens."""
+    """Each turn's marked-up form, where its text stands in it, its tokens, the partition's number, and the turns and
+    tokens of the conversation before it in the partition."""
     from .token_files import _encoder
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        from pyspark import TaskContext
+
+        encoder, part, last, turns, total = _encoder(tokenizer), TaskContext.get().partitionId(), None, 0, 0
         for batch in batches:
             roles = batch.column("role").to_pylist()
             forms = [format_turn(r, t) for r, t in zip(roles, batch.column("text").to_pylist())]
             tokens = [len(x) // 4 for x in encoder.encode([f for f, _, _ in forms])]
+            place, before = [], []
+            for key, n in zip(zip(batch.column("orphan").to_pylist(), batch.column("conv_id").to_pylist()), tokens):
+                if key != last:
+                    last, turns, total = key, 0, 0
+                place.append(turns)
+                before.append(total)
+                turns, total = turns + 1, total + n
             columns = [
-                batch.column("orphan"), batch.column("conv_id"), batch.column("turn"), pa.array([f[0] for f in forms], pa.string()), pa.array([f[1] for f in forms], pa.int32()),
+                batch.column("orphan"), batch.column("conv_id"), pa.array([f[0] for f in forms], pa.string()), pa.array([f[1] for f in forms], pa.int32()),
                 pa.array([f[2] for f in forms], pa.int32()), pa.array(tokens, pa.int64()), pa.array([r == "assistant" for r in roles]), pa.array([r == "system" for r in roles]),
+                pa.array(np.full(len(roles), part, np.int32)), pa.array(place, pa.int64()), pa.array(before, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["orphan", "conv_id", "turn", "form", "begin", "stop", "tokens", "target", "system"])
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MARKED.split(", ")])
 
     return run
 
 
-def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition's number and, for each turn, the turns and tokens of its conversation before it in the partition."""
-    from pyspark import TaskContext
-
-    part, last, turns, tokens = TaskContext.get().partitionId(), None, 0, 0
-    for batch in batches:
-        place, before = [], []
-        for key, n in zip(zip(batch.column("orphan").to_pylist(), batch.column("conv_id").to_pylist()), batch.column("tokens").to_pylist()):
-            if key != last:
-                last, turns, tokens = key, 0, 0
-            place.append(turns)
-            before.append(tokens)
-            turns, tokens = turns + 1, tokens + n
-        columns = [*batch.columns, pa.array(np.full(len(place), part, np.int32)), pa.array(place, pa.int64()), pa.array(before, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "place", "before"])
-
-
-MARKED = "orphan boolean, conv_id long, turn long, form string, begin int, stop int, tokens long, target boolean, system boolean"
+MARKED = "orphan boolean, conv_id long, form string, begin int, stop int, tokens long, target boolean, system boolean, part int, place long, before long"
 
 
 def placed(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """MARKED columns, and each turn's place in its conversation and the tokens before it.
+    """MARKED columns but part: each turn's place in its conversation and the tokens before it are those of the whole conversation.
 
     Turns are sorted by ranges of (conversation, turn), so a long conversation
     covers several partitions. Each counts from its own start; only a partition's
@@ -160,12 +154,11 @@ def placed(turns: DataFrame, tokenizer: str) -> DataFrame:
     rows = turns.select(
         F.col("conv_id").isNull().alias("orphan"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    marked = rows.mapInArrow(_mark(tokenizer), MARKED).withColumn("row", F.monotonically_increasing_id())
-    keys = ["orphan", "conv_id", F.col("turn").asc_nulls_first(), F.substring("form", 1, TIE_CHARS), F.xxhash64("form"), "row"]
-    ordered = marked.repartitionByRange(common.partitions(turns.sparkSession), *keys).sortWithinPartitions(*keys).drop("row", "turn")
-    schema = MARKED.replace("turn long, ", "")
-    stored = common.stored(ordered.mapInArrow(_number, f"{schema}, part int, place long, before long"), "turns")
+    keys = ["orphan", "conv_id", F.col("turn").asc_nulls_first(), F.substring("role", 1, TIE_CHARS), F.substring("text", 1, TIE_CHARS), F.xxhash64("role", "text"), "row"]
+    ordered = rows.repartitionByRange(common.partitions(turns.sparkSession), *keys).sortWithinPartitions(*keys).drop("row", "turn")
+    stored = common.stored(ordered.mapInArrow(_mark(tokenizer), MARKED), "turns")
     totals = stored.groupBy("orphan", "conv_id", "part").agg(F.count("*").alias("turns"), F.sum("tokens").alias("tokens"))
     earlier = Window.partitionBy("orphan", "conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     base = totals.withColumns({"turns_before": F.sum("turns").over(earlier), "tokens_before": F.sum("tokens").over(earlier)}).filter("turns_before > 0")
@@ -221,7 +214,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, budget: int = BUDGET,
     A system turn that leaves no room, or a turn beyond the budget, makes windows
     that exceed the budget: each has the system turn and one new turn, whole and without history.
     A null text is an empty one, a null role the role ''. Rows with a null turn come first;
-    rows with equal turns are ordered by the beginnings of their marked-up forms, then by hash, each a turn of its own. Rows with a null conv_id are
+    rows with equal turns are ordered by the first TIE_CHARS characters of role and text, then by hash, each a turn of its own. Rows with a null conv_id are
     one conversation. No rows give no windows; other columns are ignored.
     """
     if chapter_tokens < 2 * max(budget, history):
