@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import os
 import struct
 import zlib
@@ -19,7 +20,7 @@ from .bpe import byte_alphabet
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>, shard int"
 #: Bounds the distinct pieces a worker remembers.
 MEMO = 600_000
-#: Bytes of text in a file, roughly; sets the number of range partitions.
+#: Bytes of text in a file, roughly: sets the number of range partitions.
 SHARD_BYTES = 64 << 20
 
 
@@ -149,12 +150,20 @@ def write_token_files(
     shard; the shards' totals are the only thing needed to turn it into a place
     in the whole stream.
 
+    Files hold about SHARD_BYTES of text, whatever the session's number of
+    partitions; `shards` overrides that. Ranges are cut by doc_id and a hash of the
+    text, so no text is sampled to the driver and repeated ids can be parted.
+
     A null text has just the end id. A null doc_id comes first. Rows that share
-    a doc_id stand next to each other, by text. No rows give no files. Other columns are ignored.
+    a doc_id stand next to each other, by a hash of the text. A text of any length is one
+    row, encoded as a whole. No rows give no files. Other columns are ignored.
     """
     rows = common.texts(docs)
-    n = shards or common.partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    if shards is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / SHARD_BYTES))
+    keys = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, "text")
     (
         ordered.mapInArrow(_write_rows(tokenizer, end_id), SCHEMA)
         .write.option("compression", "zstd")
