@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ K, BUCKET_BITS, TUPLE = 2, 5, 2
 BUCKETS = 1 << BUCKET_BITS
 #: Longer runs of characters without white space are cut into pieces of this length.
 PIECE = 12
-#: Ranges of doc_id for finding the next document.
-RANGES = 200
-
-POSITION_BITS = 24
+#: Bytes of text in a range of doc_id, in which the next document is found, and how many ranges there are at most (beyond 256 GB they grow).
+RANGE_BYTES, RANGES = 16 << 20, 1 << 14
+#: Bits of a k-mer's place below its hash, and those of texts with more places.
+POSITION_BITS, LONG_POSITION_BITS = 24, 31
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -32,26 +34,30 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     All of it stays within the row: no shuffle, and no step gathers more than a text.
     """
-    u, w, h, occ, best, least = (f"__{out}_{x}" for x in ("u", "w", "h", "occ", "best", "least"))
-    low = (1 << POSITION_BITS) - 1
+    u, w, h, occ, best, least, bits = (f"__{out}_{x}" for x in ("u", "w", "h", "occ", "best", "least", "bits"))
     df = df.withColumn(w, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), 0), lambda x: F.xxhash64(x)))
+    df = df.withColumn(bits, F.when(F.size(w) < 1 << POSITION_BITS, F.lit(POSITION_BITS)).otherwise(F.lit(LONG_POSITION_BITS)))
+
+    def shift_left(x: Column) -> Column:
+        return F.call_function("shiftleft", x, F.col(bits))
+
+    def shift_right(x: Column) -> Column:
+        return F.call_function("shiftright", x, F.col(bits))
+
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1
     # hash in the upper bits and place in the lower ones: sorting longs needs no comparison of structures
     kmers = F.transform(
         F.when(F.size(w) >= K, F.sequence(F.lit(1), F.size(w) - (K - 1))).otherwise(F.when(F.size(w) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))),
-        lambda i: F.shiftleft(F.xxhash64(*[F.get(F.col(w), i + (k - 1)) for k in range(K)]), POSITION_BITS).bitwiseOR(F.least(i, F.lit(low)).cast("long")),
+        lambda i: shift_left(F.xxhash64(*[F.get(F.col(w), i + (k - 1)) for k in range(K)])).bitwiseOR(i.cast("long")),
     )
     df = df.withColumn(h, F.sort_array(kmers))
     # where a new k-mer begins in the sorted array; within a run the number is the distance from there
-    value = F.transform(F.col(h), lambda x: F.shiftright(x, POSITION_BITS))
-    df = df.withColumn(occ, value)
+    df = df.withColumn(occ, F.transform(F.col(h), shift_right))
     starts = F.filter(F.sequence(F.lit(0), F.size(occ) - 1), lambda i: (i == 0) | (F.get(F.col(occ), i) != F.get(F.col(occ), i - 1)))
     df = df.withColumn(u, F.when(F.size(occ) > 0, starts).otherwise(F.array().cast("array<int>")))
     runs = F.transform(F.col(u), lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(F.col(u), j + 1), F.size(occ)) - s - 1))
     df = df.withColumn(u, F.flatten(runs))
-    second = F.zip_with(
-        F.col(h), F.col(u),
-        lambda x, o: F.shiftleft(F.xxhash64(F.shiftright(x, POSITION_BITS), o), POSITION_BITS).bitwiseOR(x.bitwiseAND(F.lit(low).cast("long"))),
-    )
+    second = F.zip_with(F.col(h), F.col(u), lambda x, o: shift_left(F.xxhash64(shift_right(x), o)).bitwiseOR(x.bitwiseAND(low)))
     df = df.withColumn(best, F.sort_array(second))
 
     def bucket_of(x: Column) -> Column:
@@ -62,11 +68,11 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     def bucket(j: Column) -> Column:
         mine = F.filter(F.col(least), lambda x: bucket_of(x) == j)
-        ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(F.lit(low).cast("long")).alias("at"), F.shiftright(x, POSITION_BITS).alias("h"))))
+        ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(low).alias("at"), shift_right(x).alias("h"))))
         return F.when(F.size(mine) == 0, F.lit("-")).otherwise(F.lower(F.hex(F.xxhash64(F.transform(ordered, lambda x: x["h"])))))
 
     df = df.withColumn(out, F.concat_ws(".", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), bucket)))
-    return df.drop(u, w, h, occ, best, least)
+    return df.drop(u, w, h, occ, best, least, bits)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -77,33 +83,52 @@ def likeness(a: str, b: str) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, text, range, ghost, next_text): the document that follows in descending doc_id, the first after the last.
 
-    Ids are cut into ranges at quantiles, and each range is ordered in its own
+    Ids are cut at quantiles into ranges of about RANGE_BYTES of text, and each range is ordered in its own
     partition. The first document of each range also stands, as a ghost, at the
     end of the range above, whose last document it follows. Ghosts are kept in the
     result, for columns to be carried on by lead(); drop them at the end.
     Only cut points and the ranges' first ids go to the driver: at most `ranges` of either.
     """
     rows = common.texts(docs)
-    cuts = rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.0005) if rows.take(1) else []
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("doc_id")).first()
+    if ranges is None:
+        ranges = min(RANGES, max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES)))
+    cuts = rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if n and ranges > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    # a null id comes last, in the lowest range
-    at = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at)
-    placed = rows.withColumn("range", at.cast("int"))
+    placed = rows.withColumn("range", _range_of(cuts).cast("int"))
     first = [(r["range"], r["top"]) for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()]
-    above = {k: first[(i + 1) % len(first)][0] for i, (k, _) in enumerate(first)}
-    ghost_of = F.array().cast("array<struct<range:int,ghost:boolean>>")
-    for k, top in reversed(first):
-        is_top = F.col("doc_id").eqNullSafe(F.lit(top).cast("long")) & (F.col("range") == k)
-        ghost_of = F.when(is_top, F.array(F.struct(F.lit(above[k]).cast("int").alias("range"), F.lit(True).alias("ghost")))).otherwise(ghost_of)
+    tops, above = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for i, (k, top) in enumerate(first):
+        tops[k], above[k] = top, first[(i + 1) % len(first)][0]
+    is_top = F.col("doc_id").eqNullSafe(F.get(_literals(tops), F.col("range")))
+    ghost = F.array(F.struct(F.get(_literals(above), F.col("range")).cast("int").alias("range"), F.lit(True).alias("ghost")))
     own = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost")))
-    spread = placed.select("doc_id", "text", F.explode(F.concat(own, ghost_of)).alias("place")).select("doc_id", "text", "place.range", "place.ghost")
+    places = F.when(is_top, F.concat(own, ghost)).otherwise(own)
+    spread = placed.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.range", "place.ghost")
     return spread.withColumn("next_text", F.lead("text").over(order()))
 
 
+def _literals(values: list[int | None]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _range_of(cuts: list[int]) -> Column:
+    """How many cuts lie below doc_id, by way of every so many of them; a null id comes last, in the lowest range."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))
+
+    coarse = below(_literals(cuts[step - 1 :: step])) * step
+    at = coarse + below(F.slice(_literals(cuts), coarse + 1, step))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at)
+
+
 def order() -> Window:
     return Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
 
