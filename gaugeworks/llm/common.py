@@ -51,6 +51,16 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def shard_numbers(spark: SparkSession, n: int) -> np.ndarray:
+    """n ascending integers that repartition(n, column of integers) deals to n different partitions: a shard is then a task."""
+    part, found, at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part"), {}, 0
+    while len(found) < n:
+        for r in spark.range(at, at + 8 * n + 64).select("id", part).groupBy("part").agg(F.min("id").alias("id")).collect():
+            found.setdefault(r["part"], r["id"])
+        at += 8 * n + 64
+    return np.sort(np.array([*found.values()], np.int64))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id long, text string) and the columns to carry along: no others, null texts as empty ones."""
     return docs.select(

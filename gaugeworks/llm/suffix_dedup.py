@@ -22,6 +22,12 @@ FLUSH = 250_000
 SHARD_BYTES = 16 << 20
 #: Batches in which a table is ingested.
 BATCHES = 4
+#: Bits of a suffix's place below its gram's fingerprint when anchors are chosen; longer blocks are cut into overlapping pieces.
+PLACE_BITS = 22
+#: Documents that are looked at for hot grams, about, and how many of them make a gram hot.
+HOT_SAMPLE, HOT_DOCUMENTS = 20_000, 8
+#: Strings of hot grams that a task gathers before it sorts and sends them.
+STRING_FLUSH = 1_000_000
 #: Characters of a text that deal the rows of a repeated doc_id.
 RANGE_CHARS = 256
 
@@ -55,8 +61,20 @@ class Sampler:
         np.multiply.accumulate(self.power, out=self.power)
         np.multiply.accumulate(self.inverse, out=self.inverse)
 
-    def entries(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, context, text number, start, shape) with shape = anchor's place * 128 + strings - 1."""
+    def entries(self, raw: np.ndarray, offsets: np.ndarray, step: int = 0) -> tuple[np.ndarray, ...]:
+        """(key, context, text number, start, shape) with shape = anchor's place * 128 + strings - 1. step: string starts in a piece."""
+        step = step or (1 << PLACE_BITS) - self.length
+        if len(raw) <= step:
+            return self._entries(raw, offsets)
+        parts = []
+        for a in range(0, len(raw), step):  # each string begins in one piece
+            b, first = min(len(raw), a + step + self.length - 1), int(np.searchsorted(offsets, a, "right")) - 1
+            inner = offsets[(offsets > a) & (offsets < b)] - a
+            key, context, text, start, shape = self._entries(raw[a:b], np.concatenate([[0], inner, [b - a]]))
+            parts.append((key, context, text + first, start + np.where(text == 0, a - offsets[first], 0), shape))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _entries(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         n = len(raw)
         if n < self.length:
             return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
@@ -66,8 +84,7 @@ class Sampler:
         np.cumsum(value * self.power[:n], out=total[1:])
         count = n - GRAM + 1
         gram = common.mix64((total[GRAM:] - total[:count]) * self.inverse[:count])
-        bits = max(int(n - 1).bit_length(), 1)
-        low = np.uint64((1 << bits) - 1)
+        low = np.uint64((1 << PLACE_BITS) - 1)
         least = (gram & ~low) | np.arange(count, dtype=np.uint64)
         width = 1
         while width < self.grams:  # the least over windows of doubled width
@@ -135,14 +152,24 @@ def _row(shard: int, kind: str, e: tuple[np.ndarray, ...]) -> tuple:
     return (shard, kind, *map(packed, e))
 
 
+def _to(value: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges a fingerprint is in."""
+    return (((value >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _among(value: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each value is one of some sorted ones."""
+    return some[np.minimum(np.searchsorted(some, value), len(some) - 1)] == value if len(some) else np.zeros(len(value), bool)
+
+
 def _later(e: tuple[np.ndarray, ...], new: np.ndarray) -> np.ndarray:
     """Entries that start later than the first of their class."""
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
     return (e[2] != e[2][first]) | (e[3] != e[3][first])
 
 
-def _build(length: int, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Suffix entries of a task's texts, sorted, equal ones found within the task, by range of the key."""
+def _build(length: int, shards: np.ndarray, hot: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Suffix entries of a task's texts, sorted, equal ones found within the task, by range of the key, or of the context for hot keys."""
 
     def flush(parts: list[tuple[np.ndarray, ...]], count: int) -> pa.RecordBatch:
         e = _order(tuple(np.concatenate(x) for x in zip(*parts)))
@@ -150,11 +177,12 @@ def _build(length: int, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Ite
         later = _later(e, new)
         rows = []
         if later.any():
-            rows.append(_row(count % shards, "covered", _take(e, later)))
+            rows.append(_row(int(shards[count % len(shards)]), "covered", _take(e, later)))
         e = _take(e, ~later)
-        to = (((e[0] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)  # ascending
-        at = np.searchsorted(to, np.arange(shards + 1))
-        rows += [_row(s, "new", _take(e, slice(at[s], at[s + 1]))) for s in range(shards) if at[s] < at[s + 1]]
+        to = _to(np.where(_among(e[0], hot), e[1], e[0]), len(shards))
+        by = np.argsort(to, kind="stable")
+        at = np.searchsorted(to[by], np.arange(len(shards) + 1))
+        rows += [_row(int(shards[s]), "new", _take(e, by[at[s] : at[s + 1]])) for s in np.flatnonzero(at[1:] > at[:-1])]
         return _batch(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +205,13 @@ def _build(length: int, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Ite
     return run
 
 
-def _scan(merge: int) -> Callable[[pa.Table], pa.Table]:
+def _scan(merge: int, hot: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     """A shard of the new batch's suffix array, scanned together with that of every level.
 
     Gives what is covered, which entries share a gram but not the context
     (`open`), the array of the new level (the batch with the `merge` lowest
-    levels) and no rows for the levels that stay.
+    levels) and no rows for the levels that stay. Entries of a hot gram lie in
+    several shards, and new ones are always open.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -213,7 +242,8 @@ def _scan(merge: int) -> Callable[[pa.Table], pa.Table]:
             contexts = np.bincount(number, weights=_classes(e))
             fresh = np.bincount(number, weights=source == 0)
             opened = (contexts > 1) & (fresh > 0)
-            if (which := opened[number]).any():
+            is_hot = _among(e[0], hot)
+            if (which := np.where(is_hot, source == 0, opened[number])).any():
                 rows.append(_row(shard, "open", _take(e, which)))
         kept = {f"level{k:02d}" for k in range(merge)}
         into = np.isin(source, [0, *(k + 1 for k, n in enumerate(level_names) if n in kept)])
@@ -233,8 +263,10 @@ class SuffixFamily:
     Batches must come in ascending order of document id.
     """
 
-    def __init__(self, spark: SparkSession, length: int, shards: int):
-        self.spark, self.length, self.shards = spark, length, shards
+    def __init__(self, spark: SparkSession, length: int, shards: int, hot: np.ndarray | None = None):
+        self.spark, self.length = spark, length
+        self.shards = common.shard_numbers(spark, shards)
+        self.hot = np.zeros(0, np.uint64) if hot is None else hot
         self.count = 0
         self.levels: dict[int, str] = {}
         self.found: list[str] = []
@@ -244,10 +276,10 @@ class SuffixFamily:
         merge = 0
         while merge in self.levels:
             merge += 1
-        rows = batch.mapInArrow(_build(self.length, self.shards), BLOB_SCHEMA)
+        rows = batch.mapInArrow(_build(self.length, self.shards, self.hot), BLOB_SCHEMA)
         for path in self.levels.values():
             rows = rows.unionByName(self.spark.read.schema(BLOB_SCHEMA).parquet(path))
-        scanned = rows.groupBy("shard").applyInArrow(_scan(merge), BLOB_SCHEMA)
+        scanned = rows.repartition(len(self.shards), "shard").groupBy("shard").applyInArrow(_scan(merge, self.hot), BLOB_SCHEMA)
         path = common.scratch(self.spark, "suffixes")
         table = F.when(F.col("kind").startswith("level"), "level").otherwise(F.col("kind"))
         scanned.withColumn("table", table).write.partitionBy("table").option("compression", "zstd").parquet(path)
@@ -274,16 +306,16 @@ DEALT_NAMES = ["bucket", "doc", "a", "b", "c"]
 DEALT_TYPES = [pa.int32(), *[pa.binary()] * 4]
 
 
-def _deal(doc: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _deal(doc: np.ndarray, columns: list[np.ndarray], buckets: np.ndarray) -> pa.RecordBatch:
     """Rows of 64-bit integers by bucket of their document, packed: one row a bucket, however many documents it has."""
     columns = [*columns, *[np.zeros(0, np.int64)] * (3 - len(columns))]
-    to = (common.mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    to = (common.mix64(doc.view(np.uint64)) % np.uint64(len(buckets))).astype(np.int64)
     by = np.argsort(to, kind="stable")
-    at = np.searchsorted(to[by], np.arange(buckets + 1))
+    at = np.searchsorted(to[by], np.arange(len(buckets) + 1))
     rows = []
     for k in np.flatnonzero(at[1:] > at[:-1]):
         w = by[at[k] : at[k + 1]]
-        rows.append((int(k), packed(doc[w]), *(packed(c[w]) if len(c) else b"" for c in columns)))
+        rows.append((int(buckets[k]), packed(doc[w]), *(packed(c[w]) if len(c) else b"" for c in columns)))
     parts = [*zip(*rows)] if rows else [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, DEALT_TYPES)], names=DEALT_NAMES)
 
@@ -305,7 +337,7 @@ def _by_document(name: str, width: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _covers(length: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _covers(length: int, buckets: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -315,7 +347,7 @@ def _covers(length: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], I
     return run
 
 
-def _open_rows(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _open_rows(buckets: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -325,15 +357,74 @@ def _open_rows(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return run
 
 
-CONTEXT_SCHEMA = "shard int, key binary, doc binary, start binary, shape binary, context binary"
+CONTEXT_SCHEMA = "shard int, kind string, key binary, doc binary, start binary, shape binary, context binary"
+CONTEXT_NAMES = [x.split()[0] for x in CONTEXT_SCHEMA.split(", ")]
+
+
+def _string_prints(rows: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of the strings at each place of each context."""
+    width = rows.shape[1]
+    base = np.multiply.accumulate(np.append(np.uint64(1), np.full(width, Sampler.BASE, np.uint64)))
+    inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(width - length, pow(Sampler.BASE, -1, 1 << 64), np.uint64)))
+    total = np.zeros((len(rows), width + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * base[:width], axis=1, out=total[:, 1:])
+    return common.mix64((total[:, length:] - total[:, : width - length + 1]) * inverse)
+
+
+def _strings(rows: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, shape: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, document, start) of every string of the contexts. Equal strings have equal grams, so the key is part of the fingerprint."""
+    prints = np.concatenate([_string_prints(rows[q : q + 4000], length) for q in range(0, len(rows), 4000)])
+    entry, place = np.nonzero(np.arange(prints.shape[1]) <= (shape & 127)[:, None])
+    return common.mix64(prints[entry, place] ^ key[entry]), doc[entry], start[entry] + place
+
+
+def _repeats(value: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+    """The first of each class of equal strings (fingerprint, document, start), and the others (document, start)."""
+    order = np.lexsort((at, doc, value))
+    value, doc, at = value[order], doc[order], at[order]
+    new = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(value) else np.zeros(0, np.int64)
+    later = (doc != doc[first]) | (at != at[first])
+    return (value[new], doc[new], at[new]), (doc[later], at[later])
 
 
-def _contexts(length: int, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The bytes of open entries, from the joined texts, by shard of their key."""
+def _runs(doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings that begin one after the other as spans (document, begin, stop)."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    begin = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)) if len(at) else np.zeros(0, bool)
+    stop = np.append(begin[1:], True) if len(at) else begin
+    return doc[begin], at[begin], at[stop] + length
+
+
+def _contexts(length: int, shards: np.ndarray, hot: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bytes of open entries, from the joined texts, by shard of their key.
+
+    Of hot grams the strings themselves are sent, by shard of their own
+    fingerprint: their contexts need not meet in one place. Equal strings of a
+    task are compared before, so that only the first of them is sent.
+    """
     width = 2 * length - GRAM
-    names = ["shard", "key", "doc", "start", "shape", "context"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.string(), *[pa.binary()] * 5])], names=CONTEXT_NAMES)
+
+    def flush(parts: list[tuple[np.ndarray, ...]], count: int) -> pa.RecordBatch:
+        (value, doc, at), others = _repeats(*(np.concatenate(x) for x in zip(*parts)))
+        to = _to(value, len(shards))  # ascending, as the values are
+        bounds = np.searchsorted(to, np.arange(len(shards) + 1))
+        rows = []
+        for s in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            w = slice(bounds[s], bounds[s + 1])
+            rows.append((int(shards[s]), "strings", value[w].tobytes(), doc[w].tobytes(), at[w].tobytes(), b"", b""))
+        doc, begin, stop = _runs(*others, length)
+        rows.append((int(shards[count % len(shards)]), "spans", b"", doc.tobytes(), begin.tobytes(), stop.tobytes(), b""))
+        return batch_of(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        parts, held, count = [], 0, TaskContext.get().partitionId()
         for batch in batches:
             raw, offsets = common.text_buffers(batch.column("text"))
             doc = np.asarray(batch.column("doc_id"))
@@ -347,67 +438,80 @@ def _contexts(length: int, shards: int) -> Callable[[Iterable[pa.RecordBatch]],
                     size = (shape & 127) + length
                     cell = begin[:, None] + np.arange(width)
                     bytes_ = np.where(np.arange(width) < size[:, None], raw[np.minimum(cell, len(raw) - 1)], 0).astype(np.uint8)
-                    to = (common.mix64(key) % np.uint64(shards)).astype(np.int64)
+                    is_hot = _among(key, hot)
+                    if is_hot.any():
+                        parts.append(_strings(bytes_[is_hot], key[is_hot], doc[r[is_hot, 0]], start[is_hot], shape[is_hot], length))
+                        held += len(parts[-1][0])
+                        if held >= STRING_FLUSH:
+                            yield flush(parts, count)
+                            parts, held, count = [], 0, count + 1
+                    cold = np.flatnonzero(~is_hot)
+                    to = _to(key[cold], len(shards))
                     by = np.argsort(to, kind="stable")
-                    at = np.searchsorted(to[by], np.arange(shards + 1))
-                    out = []
-                    for s in range(shards):
-                        if at[s] < at[s + 1]:
-                            w = by[at[s] : at[s + 1]]
-                            out.append((s, key[w].tobytes(), doc[r[w, 0]].tobytes(), start[w].tobytes(), shape[w].tobytes(), bytes_[w].tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * 5])], names=names)
+                    at, out = np.searchsorted(to[by], np.arange(len(shards) + 1)), []
+                    for s in np.flatnonzero(at[1:] > at[:-1]):
+                        w = cold[by[at[s] : at[s + 1]]]
+                        out.append((int(shards[s]), "contexts", key[w].tobytes(), doc[r[w, 0]].tobytes(), start[w].tobytes(), shape[w].tobytes(), bytes_[w].tobytes()))
+                    if out:
+                        yield batch_of(out)
+        if held:
+            yield flush(parts, count)
 
     return run
 
 
-def _compare(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Strings of open entries that start later than an equal one, for all keys of a shard."""
+def _compare(length: int, buckets: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """Strings of open entries that start later than an equal one, for all keys and all strings of a shard."""
     width = 2 * length - GRAM
 
-    def window_prints(rows: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Fingerprints of the strings at each place of each row."""
-        value = rows.astype(np.uint64) + np.uint64(1)
-        total = np.zeros((len(rows), width + 1), np.uint64)
-        np.cumsum(value * base[:width], axis=1, out=total[:, 1:])
-        inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(width - length, pow(Sampler.BASE, -1, 1 << 64), np.uint64)))
-        return common.mix64((total[:, length:] - total[:, : width - length + 1]) * inverse)
-
     def run(table: pa.Table) -> pa.Table:
-        key, doc, start, shape = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("key", np.uint64), ("doc", np.int64), ("start", np.int64), ("shape", np.int64)))
-        rows = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, width)
-        base = np.multiply.accumulate(np.append(np.uint64(1), np.full(width, Sampler.BASE, np.uint64)))
+        kinds = table.column("kind").to_pylist()
+
+        def column(kind: str, name: str, dtype: type) -> np.ndarray:
+            return np.frombuffer(b"".join(v for v, k in zip(table.column(name).to_pylist(), kinds) if k == kind), dtype)
+
+        key, doc, start, shape = (column("contexts", c, t) for c, t in (("key", np.uint64), ("doc", np.int64), ("start", np.int64), ("shape", np.int64)))
+        rows = column("contexts", "context", np.uint8).reshape(-1, width)
         by = np.argsort(key, kind="stable")
         bounds = np.append(np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])), len(by)) if len(by) else np.zeros(1, np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        k = 0
+        _, others = _repeats(*(column("strings", c, t) for c, t in (("key", np.uint64), ("doc", np.int64), ("start", np.int64))))
+        parts, k = [others], 0
         while k < len(bounds) - 1:  # whole keys, about 10,000 entries at a time
             m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 10_000, "right")) - 1)
             some = by[bounds[k] : bounds[m]]
             k = m
-            prints = np.concatenate([window_prints(rows[some[q : q + 4000]], base) for q in range(0, len(some), 4000)])
-            entry, place = np.nonzero(np.arange(prints.shape[1]) <= (shape[some] & 127)[:, None])
-            # equal strings have equal grams, so a key's strings are only compared with each other
-            value = common.mix64(prints[entry, place] ^ key[some][entry])
-            which, at = doc[some][entry], start[some][entry] + place
-            order = np.lexsort((at, which, value))
-            value, which, at = value[order], which[order], at[order]
-            new = np.append(True, value[1:] != value[:-1])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (which != which[first]) | (at != at[first])
-            parts.append((which[later], at[later]))
-        which = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        at = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        order = np.lexsort((at, which))
-        which, at = which[order], at[order]
-        if not len(at):
-            return pa.Table.from_batches([_deal(which, [at, at], buckets)])
-        begin = np.append(True, (which[1:] != which[:-1]) | (at[1:] > at[:-1] + 1))
-        stop = np.append(begin[1:], True)
-        return pa.Table.from_batches([_deal(which[begin], [at[begin], at[stop] + length], buckets)])
+            parts.append(_repeats(*_strings(rows[some], key[some], doc[some], start[some], shape[some], length))[1])
+        found = _runs(*(np.concatenate(x) for x in zip(*parts)), length)
+        known = [column("spans", c, np.int64) for c in ("doc", "start", "shape")]
+        which, begin, stop = (np.concatenate(x) for x in zip(found, known))
+        return pa.Table.from_batches([_deal(which, [begin, stop], buckets)])
 
     return run
 
 
+def _hot_grams(docs: DataFrame, length: int, n: int) -> np.ndarray:
+    """Grams that occur with different contexts in HOT_DOCUMENTS or more of about HOT_SAMPLE documents, sorted.
+
+    They only decide where entries meet, so whichever are named here, the result is the same.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(length)
+        for batch in batches:
+            raw, offsets = common.text_buffers(batch.column("text"))
+            for i, j in common.row_chunks(offsets):
+                e = sampler.entries(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = np.unique(np.stack([e[0], e[1], e[2].astype(np.uint64)]), axis=1)
+                (key, context), times = np.unique(found[:2], axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(times)], names=["key", "context", "times"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
+    by_context = sample.mapInArrow(run, "key long, context long, times long").groupBy("key", "context").agg(F.sum("times").alias("times"))
+    by_key = by_context.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("contexts"))
+    found = by_key.filter((F.col("times") >= HOT_DOCUMENTS) & (F.col("contexts") > 1)).select("key").collect()  # bounded by the sample
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
 def _cut(names: list[str], with_text: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts without their spans."""
 
@@ -450,8 +554,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, w
     arrays are sparse: of each text, only the suffixes at anchors, enough to find
     every string (see Sampler). Entries whose whole context occurred before are
     covered at once. Where a gram occurs in different contexts, the contexts'
-    bytes meet under the gram and their strings are compared one by one.
+    bytes meet under the gram and their strings are compared one by one. Grams
+    that very many documents hold (hot ones, by a sample) are dealt out by
+    context and then by string, so that no gram is one task's work.
 
+    A text of any length is cut into overlapping pieces where anchors are chosen, and otherwise held whole by one task.
     Null and empty texts have no bytes. Rows with a null doc_id count as
     earlier than all others. Rows that share a doc_id are documents of their
     own, in order of their texts, however many they are: all rows are then numbered
@@ -476,7 +583,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, w
     plain = keyed.select("doc_id", "text")
     cuts = plain.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.001) if facts["n"] else []
     bounds = [None, *sorted({int(c) for c in cuts}), None]
-    family = SuffixFamily(spark, length, shards)
+    hot = _hot_grams(plain, length, facts["n"])
+    family = SuffixFamily(spark, length, shards, hot)
+    shards = family.shards
     for a, b in zip(bounds, bounds[1:]):
         part = plain
         if a is not None:
@@ -485,11 +594,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES, w
             part = part.filter(F.col("doc_id") <= b)
         family.ingest(part)
     opened = family.rows("open").mapInArrow(_open_rows(shards), DEALT_SCHEMA)
-    listed = opened.groupBy("bucket").applyInArrow(_by_document("entries", 3), "doc_id long, entries binary")
-    sent = plain.join(listed, "doc_id").mapInArrow(_contexts(length, shards), CONTEXT_SCHEMA)
-    partial = common.stored(sent.groupBy("shard").applyInArrow(_compare(length, shards), DEALT_SCHEMA), "spans")
+    listed = opened.repartition(len(shards), "bucket").groupBy("bucket").applyInArrow(_by_document("entries", 3), "doc_id long, entries binary")
+    sent = plain.join(listed, "doc_id").mapInArrow(_contexts(length, shards, hot), CONTEXT_SCHEMA)
+    partial = common.stored(sent.repartition(len(shards), "shard").groupBy("shard").applyInArrow(_compare(length, shards), DEALT_SCHEMA), "spans")
     covered = family.rows("covered").mapInArrow(_covers(length, shards), DEALT_SCHEMA)
-    spans = covered.unionByName(partial).groupBy("bucket").applyInArrow(_by_document("spans", 2), "doc_id long, spans binary")
+    spans = covered.unionByName(partial).repartition(len(shards), "bucket").groupBy("bucket").applyInArrow(_by_document("spans", 2), "doc_id long, spans binary")
     names = ["own_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *carry]
     kinds = {"own_id": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()} | {c: docs.schema[c].dataType for c in carry}
     schema = T.StructType([T.StructField(n, kinds.get(n, T.LongType())) for n in names])
