@@ -7,17 +7,33 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: A node of more edges than this, and than one in HOT_SHARE of all, is joined by broadcast: there are few such nodes.
+HOT_EDGES, HOT_SHARE = 1000, 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_low(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """edges(a, b) with column low of low(a, low, degree), never all edges of a hot node in one task.
+
+    At most 2 * HOT_SHARE nodes are hot, whatever the graph.
+    """
+    limit = max(HOT_EDGES, total // HOT_SHARE)
+    if total <= limit:
+        return edges.join(low.drop("degree"), "a")
+    hot = low.filter(F.col("degree") > limit).select("a", "low")
+    cold = edges.join(F.broadcast(hot.select("a")), "a", "left_anti").join(low.drop("degree"), "a")
+    return edges.join(F.broadcast(hot), "a").unionByName(cold)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("degree"))
+    return _with_low(both.filter("b > a"), low, total).select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
+    moved = _with_low(down, low, total).filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(low.select("a", F.col("low").alias("b")))
 
 
@@ -27,7 +43,7 @@ def connected(edges: DataFrame) -> DataFrame:
     Stars are moved towards the least neighbour, in turn to larger and to
     smaller nodes, until nothing changes: O(log^2 n) rounds. No node's
     neighbours are gathered in one place: minima are aggregated before the
-    shuffle and the joins' large sides can be split. Each round's edges are
+    shuffle, and the few nodes of very many edges are broadcast (see _with_low). Each round's edges are
     written to the shared folder, which cuts the lineage, and the round before
     is deleted. Null ends and loops are ignored.
     """
@@ -45,5 +61,6 @@ def connected(edges: DataFrame) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         before, old, path = state, path, common.scratch(spark, "edges")
-        _small_star(_large_star(now).distinct()).distinct().write.parquet(path)
+        total = state[0]
+        _small_star(_large_star(now, total).distinct(), total).distinct().write.parquet(path)
         common.remove(spark, old)

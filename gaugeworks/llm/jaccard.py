@@ -67,6 +67,7 @@ class Bands:
         self.differ = np.array([2 * (hi - 1) * (100 - t) // (100 + t) for hi in self.low[1:]])
         self.spare = np.ceil(0.25 * (self.differ + 1)).astype(np.int64)
         self.ranges = np.where(self.differ > 0, self.differ + 1 + self.spare, 0)
+
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
@@ -164,16 +165,16 @@ def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return (keys[new], ids[new], *_forest(ids[other], least[other]))
 
 
-def _send(n: int, bands: Bands, shards: int, usual: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _send(n: int, bands: Bands, shards: np.ndarray, usual: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["shard", "linked", "x", "y"]
 
     def flush(keys: list[np.ndarray], ids: list[np.ndarray], count: int) -> pa.RecordBatch:
         k, i, a, b = _least(np.concatenate(keys), np.concatenate(ids))
-        to = (((k >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)  # ascending, as k is
-        at = np.searchsorted(to, np.arange(shards + 1))
-        rows = [(s, False, k[at[s] : at[s + 1]].tobytes(), i[at[s] : at[s + 1]].tobytes()) for s in range(shards) if at[s] < at[s + 1]]
+        to = (((k >> np.uint64(32)) * np.uint64(len(shards))) >> np.uint64(32)).astype(np.int64)  # ascending, as k is
+        at = np.searchsorted(to, np.arange(len(shards) + 1))
+        rows = [(int(shards[s]), False, k[at[s] : at[s + 1]].tobytes(), i[at[s] : at[s + 1]].tobytes()) for s in np.flatnonzero(at[1:] > at[:-1])]
         if len(a):
-            rows.append((count % shards, True, a.tobytes(), b.tobytes()))
+            rows.append((int(shards[count % len(shards)]), True, a.tobytes(), b.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,9 +452,9 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     share = 2.6 * (100 - threshold) / (100 + threshold) * 2  # keys for each shingle, about
-    shards = max(LEAST_SHARDS, math.ceil(total[0] * share * 16 / SHARD_BYTES))
+    shards = common.shard_numbers(spark, max(LEAST_SHARDS, math.ceil(total[0] * share * 16 / SHARD_BYTES)))
     sent = known.mapInArrow(_send(n, bands, shards, _usual(known, n, total[1])), "shard int, linked boolean, x binary, y binary")
-    met = sent.groupBy("shard").applyInArrow(_meet, "a long, b long")
+    met = sent.repartition(len(shards), "shard").groupBy("shard").applyInArrow(_meet, "a long, b long")
     blocks = components.connected(met)
     # representatives of blocks with at least two different sets
     first = least.select(F.col("least").alias("node"), "band")
