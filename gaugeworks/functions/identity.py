@@ -13,9 +13,15 @@ def label_key(c: Column, kind: str) -> Column:
     return F.to_json(F.struct(c.alias("v"))) if kind == "struct" else F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), c, F.lit('"')) if kind == "string" else c.cast("string"))
 
 
+def framed(*fields: Column) -> Column:
+    """Fields joined so that no two different lists look alike: each with its length before it, null as '-'."""
+    text = [f.cast("string") for f in fields]
+    return F.concat(*[F.when(t.isNull(), F.lit("-;")).otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t, F.lit(";"))) for t in text])
+
+
 def entity_id(prefix: str, kind: str, *fields: Column) -> Column:
     """prefix_ and 32 hex digits of the kind and the identifying fields."""
-    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", F.lit(kind), *[F.coalesce(f.cast("string"), F.lit("\x00null")) for f in fields]), 256), 1, 32))
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(framed(F.lit(kind), *fields), 256), 1, 32))
 
 
 def content_hash(c: Column) -> Column:
@@ -24,7 +30,7 @@ def content_hash(c: Column) -> Column:
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, fingerprint): independent of row order and partitioning; 16 + 16 hex digits of each row's md5 are summed as decimals."""
-    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns]))
+    h = F.md5(framed(*[F.col(c) for c in columns]))
     part = lambda a: F.sum(F.conv(F.substring(h, a, 8), 16, 10).cast("decimal(20,0)"))
     a = df.agg(F.count("*").alias("rows"), *[part(k).alias(f"s{k}") for k in (1, 9, 17, 25)])
     return a.select("rows", F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"s{k}"), F.lit(0)).cast("string") for k in (1, 9, 17, 25)])).alias("fingerprint"))

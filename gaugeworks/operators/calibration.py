@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -112,11 +113,16 @@ def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
 def fit_platt(df: DataFrame, rounds: int = 100) -> tuple[float, float]:
     """(slope, intercept) of a logistic map from logit(confidence) to correctness; ridge 1e-6 on the slope.
 
-    Each Newton step is one aggregate of five sums over the table.
+    Each Newton step is one aggregate of five sums over the table. Where all rows
+    are right, or all wrong, no map is best: the slope is 0 and the intercept the
+    logit of (right + 1/2) / (rows + 1). No rows give (1, 0), which changes nothing.
     """
     p = F.greatest(F.least(F.col("confidence"), F.lit(1 - 1e-15)), F.lit(1e-15))
     rows = df.select(F.log(p / (1 - p)).alias("x"), (F.col("y_true") == F.col("y_pred")).cast("double").alias("y"))
     rows = rows.groupBy("x").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"))
+    n, k = rows.agg(F.sum("n"), F.sum("k")).first()
+    if n and k in (0, n):
+        return 0.0, math.log((k + 0.5) / (n - k + 0.5))
     a, b = 1.0, 0.0
     for _ in range(rounds):
         mu = 1 / (1 + F.exp(-(F.lit(a) * F.col("x") + F.lit(b))))

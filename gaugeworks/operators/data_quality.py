@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import framed
 from ..status import q9, ratio, wilson
 
 TOKENS = ("", "n/a", "na", "null", "none", "nan")
@@ -138,7 +139,7 @@ def leakage(df: DataFrame, features: Sequence[str], target: str, support: int =
 def split_overlap(reference: DataFrame, comparison: DataFrame, key: str, features: Sequence[str], target: str) -> DataFrame:
     """(ids_in_both, rows_with_known_vector, agreeing, conflicting): rows of the comparison whose features occur in the reference."""
     ids = comparison.select(key).distinct().join(reference.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("ids_in_both"))
-    vector = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("\x00null")) for f in features]))
+    vector = F.md5(framed(*[F.col(f) for f in features]))
     known = reference.select(vector.alias("v"), F.col(target).alias("t")).groupBy("v").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     met = comparison.select(vector.alias("v"), F.col(target).alias("t")).join(known, "v")
     same = (F.col("lo") == F.col("t")) & (F.col("hi") == F.col("t"))

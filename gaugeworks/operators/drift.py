@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import finite, q9, ratio, wilson
+from .ordering import running
 
 #: Categories above which a categorical comparison is undefined.
 MAX_CATEGORIES = 200
@@ -17,12 +18,10 @@ def _steps(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Both sides' distribution functions at each distinct value: (by..., v, next_v, fx, fy). Counts are aggregated before the windows."""
     clean = df.withColumn("v", finite(value)).filter("v is not null")
     counts = clean.groupBy(*by, "v").agg(F.count_if(F.col("side") == "reference").alias("x"), F.count_if(F.col("side") == "comparison").alias("y"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(
-        *by, "v", F.lead("v").over(w.orderBy("v")).alias("next_v"), ratio(F.sum("x").over(run), F.sum("x").over(w)).alias("fx"), ratio(F.sum("y").over(run), F.sum("y").over(w)).alias("fy"),
-        F.sum("x").over(w).alias("nx"), F.sum("y").over(w).alias("ny"),
-    )
+    steps = running(counts, ["v"], {"cx": F.col("x"), "cy": F.col("y")}, by, following={"next_v": "v"})
+    total = steps.groupBy(*by).agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))  # a row a group
+    steps = steps.join(total, list(by)) if by else steps.crossJoin(F.broadcast(total))
+    return steps.select(*by, "v", "next_v", ratio(F.col("cx") + F.col("x"), "nx").alias("fx"), ratio(F.col("cy") + F.col("y"), "ny").alias("fy"), "nx", "ny")
 
 
 def numeric_shift(df: DataFrame, value: str, by: Sequence[str] = (), minimum: int = 10) -> DataFrame:

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH, MAX_VISITED = 12, 5000
+from .ordering import kept
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage between rounds."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="gaugeworks-")
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MAX_DEPTH = 12
+#: A node of more edges than this, and than one in HOT_SHARE of all, is hot.
+HOT_EDGES, HOT_SHARE = 1000, 100_000
 
 
 def oriented(edges: DataFrame, direction: str, relations: Sequence[str] = ()) -> DataFrame:
@@ -37,17 +26,20 @@ def neighbours(edges: DataFrame, node: str, direction: str = "OUT", relations: S
     return oriented(edges, direction, relations).filter(F.col("a") == node).select(F.col("b").alias("node")).distinct()
 
 
-def reach(edges: DataFrame, start: DataFrame, direction: str = "OUT", depth: int = MAX_DEPTH, relations: Sequence[str] = ()) -> DataFrame:
-    """(node, depth): breadth-first from start(node), the start at 0. Each round joins only the new nodes."""
+def reach(edges: DataFrame, start: DataFrame, direction: str = "OUT", depth: int | None = MAX_DEPTH, relations: Sequence[str] = ()) -> DataFrame:
+    """(node, depth): breadth-first from start(node), the start at 0, up to `depth` steps or (None) to the end. Each round joins only the new nodes."""
     walk = oriented(edges, direction, relations)
-    seen = _kept(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    for d in range(1, depth + 1):
+    seen, d = kept(start.select("node").distinct().withColumn("depth", F.lit(0))), 0
+    while depth is None or d < depth:
+        d += 1
         front = seen.filter(F.col("depth") == d - 1).select(F.col("node").alias("a"))
         new = walk.join(front, "a").select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        new = _kept(new.withColumn("depth", F.lit(d)))
+        new = kept(new.withColumn("depth", F.lit(d)))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
+        if d % 16 == 0:  # a long walk's plan stays small
+            seen = kept(seen)
     return seen
 
 
@@ -72,21 +64,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return each.groupBy("x.node").agg(F.sum("x.o").alias("outgoing"), F.sum("x.i").alias("incoming"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """rows(a, b) with low(a, low, degree): nodes of very many edges, of which there are few, are joined by broadcast, so that none is one task's work."""
+    limit = max(HOT_EDGES, total // HOT_SHARE)
+    if total <= limit:
+        return rows.join(low.drop("degree"), "a")
+    hot = low.filter(F.col("degree") > limit).select("a", "low")  # at most 2 * HOT_SHARE
+    cold = rows.join(F.broadcast(hot.select("a")), "a", "left_anti").join(low.drop("degree"), "a")
+    return rows.join(F.broadcast(hot), "a").unionByName(cold)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): least reachable node, by moving stars to larger and smaller nodes in turn until nothing changes."""
-    now = _kept(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a != b").distinct())
-    before = None
-    for _ in range(rounds):
+    now = kept(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a != b").distinct())
+    before, total = None, now.count()
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        moved = large.join(least, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        now = _kept(moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("degree"))
+        large = _with_low(both.filter("b > a"), low, total).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
+        moved = _with_low(large, least, total).filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        now = kept(moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, total = state, state[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -105,4 +107,4 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def blocked(depends: DataFrame, failed: DataFrame) -> DataFrame:
     """(node, depth): units that can't run since something they depend on, however far, failed. depends(src needs dst)."""
     walk = depends.select("src", "dst", F.lit("needs").alias("relation"))
-    return reach(walk, failed, "IN").filter("depth > 0")
+    return reach(walk, failed, "IN", depth=None).filter("depth > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import q9, ratio
+from .ordering import running
 
 
 def _long(df: DataFrame, values: dict[str, Column], n: str = "n") -> DataFrame:
@@ -62,28 +63,25 @@ def ranked_counts(df: DataFrame, score: str, positive: Column, by: Sequence[str]
 
 def roc_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by..., n_pos, n_neg, auc): P(positive scores higher) + half the ties; null without both classes."""
-    counts = ranked_counts(df, score, positive, by)
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
+    counts = running(ranked_counts(df, score, positive, by), ["score"], {"below": F.col("neg")}, by)
+    won = F.col("pos") * (F.col("below") + F.col("neg") / 2)
     agg = counts.withColumn("won", won).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
     return agg.select(*by, "n_pos", "n_neg", q9(ratio("won", F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """(n_pos, ap): precision at each distinct score from the top, weighted by the recall gained there."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    counts = ranked_counts(df, score, positive)  # distinct scores only
-    cum = counts.select("pos", F.sum("pos").over(down).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(down).alias("seen"))
+    counts = running(ranked_counts(df, score, positive), [F.desc("score")], {"tp": F.col("pos"), "seen": F.col("pos") + F.col("neg")})
+    cum = counts.select("pos", (F.col("tp") + F.col("pos")).alias("tp"), (F.col("seen") + F.col("pos") + F.col("neg")).alias("seen"))
     agg = cum.agg(F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("gain"))
     return agg.select("n_pos", q9(ratio("gain", "n_pos")).alias("ap"))
 
 
 def precision_recall_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """(score, tp, fp, precision, recall) running from the highest score."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    counts = ranked_counts(df, score, positive)
+    counts = running(ranked_counts(df, score, positive), [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")})
     total = counts.agg(F.sum("pos").alias("total"))
-    cum = counts.select("score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    cum = counts.select("score", (F.col("tp") + F.col("pos")).alias("tp"), (F.col("fp") + F.col("neg")).alias("fp"))
     return cum.crossJoin(F.broadcast(total)).select(  # the other side is one row
         q9("score").alias("score"), "tp", "fp", q9(ratio("tp", F.col("tp") + F.col("fp"))).alias("precision"), q9(ratio("tp", "total")).alias("recall")
     )

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import q9, ratio, wilson
+from .ordering import running
 
 #: Rearrangements up to which a permutation test is exact.
 EXACT_LIMIT = 50_000
+#: Hexadecimal digits by which the places of a drawn split are counted first.
+PREFIX_DIGITS = 3
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -78,22 +82,25 @@ def paired_effect(pairs: DataFrame) -> DataFrame:
 
 
 def draw(seed: int, replicate: Column, index: Column, n: Column) -> Column:
-    """A number from 0 to n - 1 from md5(seed:replicate:index): the same in every engine and partitioning."""
+    """A number from 0 to n - 1 from 60 bits of md5(seed:replicate:index): the same in every engine and partitioning."""
     text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), index.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % n
 
 
 def bootstrap_means(df: DataFrame, value: str, replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., replicate, mean): resampled means. Each row stands once for each place of a resample that draws it.
+    """(by..., replicate, mean): resampled means.
 
-    Values are numbered in order and resampled by number. Equal values are counted
-    first, so the work is replicates x rows but what is kept is one sum a replicate.
+    Rows are numbered in order of value, by sums of range counts. Each number is
+    drawn for each replicate; what meets in the join is, for each replicate and
+    number, how often it was drawn.
     """
-    order = Window.partitionBy(*by).orderBy(value)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(order) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    places = rows.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = places.select(*by, "replicate", draw(seed, F.col("replicate"), F.col("i"), F.col("n")).alias("i")).groupBy(*by, "replicate", "i").agg(F.count("*").alias("times"))
-    joined = drawn.join(rows.select(*by, "i", "v", "n"), [*by, "i"])
+    values = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    rows = running(values, ["v"], {"i": F.lit(1).cast("long")}, by)
+    size = rows.groupBy(*by).agg(F.count("*").alias("n"))  # a row a group
+    places = rows.join(size, list(by)) if by else rows.crossJoin(F.broadcast(size))
+    places = places.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = places.select(*by, "n", "replicate", draw(seed, F.col("replicate"), F.col("i"), F.col("n")).alias("i")).groupBy(*by, "n", "replicate", "i").agg(F.count("*").alias("times"))
+    joined = drawn.join(rows.select(*by, "i", "v"), [*by, "i"])
     return joined.groupBy(*by, "replicate").agg((F.sum(F.col("times") * F.col("v")) / F.first("n")).alias("mean"))
 
 
@@ -105,39 +112,71 @@ def bootstrap_interval(df: DataFrame, value: str, replicates: int = 200, seed: i
 
 
 def sign_flip_test(pairs: DataFrame, replicates: int = 999, seed: int = 11) -> DataFrame:
-    """(n, observed, hits, replicates, p): two-sided paired test by md5 sign flips, p = (hits + 1) / (replicates + 1)."""
-    d = pairs.select((F.col("y") - F.col("x")).alias("d"), F.xxhash64("x", "y").alias("h"), "x", "y")
-    rows = d.select("d", (F.row_number().over(Window.orderBy("x", "y")) - 1).alias("i"))  # pairs are trials: few rows
-    observed = rows.agg(F.count("*").alias("n"), F.avg("d").alias("observed"))
-    flips = rows.select("d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), "i")
-    means = flips.groupBy("replicate").agg(F.avg(F.col("d") * (1 - 2 * draw(seed, F.col("replicate"), F.col("i"), F.lit(2)))).alias("m"))
-    hits = means.crossJoin(F.broadcast(observed)).groupBy("n", "observed").agg(F.count_if(F.abs("m") >= F.abs(F.col("observed")) - 1e-12).alias("hits"))
-    return hits.select("n", q9("observed").alias("observed"), "hits", F.lit(replicates).alias("replicates"), q9((F.col("hits") + 1) / F.lit(replicates + 1.0)).alias("p"))
-
-
-def exact_sign_flip(differences: Sequence[float]) -> tuple[float, int]:
-    """(p, rearrangements) of all sign patterns of a few paired differences."""
-    n = len(differences)
-    if 2**n > EXACT_LIMIT:
-        raise ValueError("too many sign patterns to list")
-    target = abs(sum(differences) / n) - 1e-12
-    hits = sum(abs(sum(s * d for s, d in zip(signs, differences)) / n) >= target for signs in itertools.product((1, -1), repeat=n))
-    return hits / 2**n, 2**n
-
-
-def exact_unpaired(a: Sequence[float], b: Sequence[float]) -> tuple[float, int]:
-    """(p, rearrangements) of the absolute mean difference over all splits of a few pooled values."""
-    pool, n = [*a, *b], len(a)
-    target = abs(sum(b) / len(b) - sum(a) / n) - 1e-12
-    hits = count = 0
-    total = sum(pool)
-    for chosen in itertools.combinations(range(len(pool)), n):
-        s = sum(pool[i] for i in chosen)
-        count += 1
-        if count > EXACT_LIMIT:
-            raise ValueError("too many splits to list")
-        hits += abs((total - s) / len(b) - s / n) >= target
-    return hits / count, count
+    """(n, observed, hits, replicates, p) of pairs(x, y): two-sided paired test by sign flips.
+
+    With at most EXACT_LIMIT sign patterns all of them are tried and p = hits /
+    patterns; with more, md5 draws `replicates` of them and p = (hits + 1) / (replicates + 1).
+    Fewer than two pairs have no p.
+    """
+    rows = running(pairs.select("x", "y", (F.col("y") - F.col("x")).alias("d")), ["x", "y"], {"i": F.lit(1).cast("long")}).select("d", "i")
+    observed = rows.agg(F.count("*").alias("n"), F.avg("d").alias("observed"), F.sum(F.abs("d")).alias("size"))
+    n = observed.first()["n"]
+    exact = 2 <= n and 2**n <= EXACT_LIMIT
+    count = 2**n if exact else replicates
+    flips = rows.select("d", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("replicate"), "i")
+    sign = F.call_function("shiftright", F.col("replicate"), F.col("i").cast("int")) % 2 if exact else draw(seed, F.col("replicate"), F.col("i"), F.lit(2))
+    means = flips.groupBy("replicate").agg(F.avg(F.col("d") * (1 - 2 * sign)).alias("m"))
+    hit = F.abs("m") >= F.abs(F.col("observed")) - 1e-12 * F.greatest(F.lit(1.0), F.col("size"))
+    hits = observed.join(means, F.lit(True), "left").groupBy("n", "observed").agg(F.count_if(hit).alias("hits"))  # the observed side is one row
+    p = F.col("hits") / F.lit(float(count)) if exact else (F.col("hits") + 1) / F.lit(count + 1.0)
+    return hits.select("n", q9("observed").alias("observed"), "hits", F.lit(count).alias("replicates"), q9(F.when(F.col("n") >= 2, p)).alias("p"))
+
+
+def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, replicates: int = 999, seed: int = 13) -> DataFrame:
+    """(n_a, n_b, observed, hits, replicates, p): two-sided test of mean(b) - mean(a) by exchanged labels.
+
+    With at most EXACT_LIMIT splits of the pooled values all of them are tried
+    and p = hits / splits. With more, each of `replicates` splits gives group b
+    the n_b values of least md5(seed:replicate:place), found by counting hash
+    prefixes, and p = (hits + 1) / (replicates + 1). Fewer than two values in a group have no p.
+    """
+    values = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    rows = running(values, ["v", "g"], {"i": F.lit(1).cast("long")})
+    side = lambda g, f: f(F.when(F.col("g") == g, F.col("v")))
+    observed = rows.agg(side(a, F.count).alias("n_a"), side(b, F.count).alias("n_b"), (side(b, F.avg) - side(a, F.avg)).alias("observed"), F.sum("v").alias("total"))
+    n_a, n_b = observed.select("n_a", "n_b").first()
+    exact = min(n_a, n_b) >= 2 and n_a + n_b < 63 and math.comb(n_a + n_b, n_b) <= EXACT_LIMIT
+    if exact:
+        n = n_a + n_b
+        masks = df.sparkSession.createDataFrame([(sum(1 << i for i in chosen),) for chosen in itertools.combinations(range(n), n_b)], "replicate long")  # at most EXACT_LIMIT
+        inside = F.call_function("shiftright", F.col("replicate"), F.col("i").cast("int")) % 2 == 1
+        sums = masks.join(F.broadcast(rows.select("i", "v")), F.lit(True)).groupBy("replicate").agg(F.sum(F.when(inside, F.col("v")).otherwise(0.0)).alias("sb"))
+        count = math.comb(n, n_b)
+    else:
+        sums, count = _drawn_sums(rows, n_b, replicates, seed), replicates
+    diff = F.col("sb") / F.col("n_b") - (F.col("total") - F.col("sb")) / F.col("n_a")
+    hit = F.abs(diff) >= F.abs(F.col("observed")) - 1e-12 * F.greatest(F.lit(1.0), F.abs(F.col("observed")))
+    hits = observed.join(sums, F.lit(True), "left").groupBy("n_a", "n_b", "observed").agg(F.count_if(hit).alias("hits"))
+    p = F.col("hits") / F.lit(float(count)) if exact else (F.col("hits") + 1) / F.lit(count + 1.0)
+    return hits.select("n_a", "n_b", q9("observed").alias("observed"), "hits", F.lit(count).alias("replicates"), q9(F.when(F.least("n_a", "n_b") >= 2, p)).alias("p"))
+
+
+def _drawn_sums(rows: DataFrame, take: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, sb): the sum of the `take` values of least hash in each replicate.
+
+    Values are summed by the hash's first PREFIX_DIGITS hexadecimal digits; only
+    the prefix in which the last place falls is ordered value by value.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")))
+    hashed = rows.select("v", "i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("h", h).withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
+    sizes = hashed.groupBy("replicate", "prefix").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
+    before = Window.partitionBy("replicate").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** PREFIX_DIGITS rows
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    whole = sizes.filter(F.col("start") + F.col("c") <= take).groupBy("replicate").agg(F.sum("s").alias("s"))
+    cut = sizes.filter((F.col("start") < take) & (F.col("start") + F.col("c") > take)).select("replicate", "prefix", "start")
+    place = F.row_number().over(Window.partitionBy("replicate").orderBy("h", "i"))
+    part = hashed.join(cut, ["replicate", "prefix"]).withColumn("place", F.col("start") + place).filter(F.col("place") <= take).groupBy("replicate").agg(F.sum("v").alias("p"))
+    return whole.join(part, "replicate", "full").select("replicate", (F.coalesce("s", F.lit(0.0)) + F.coalesce("p", F.lit(0.0))).alias("sb"))
 
 
 def proportion(df: DataFrame, success: Column, by: Sequence[str] = ()) -> DataFrame:

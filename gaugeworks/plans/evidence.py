@@ -70,13 +70,13 @@ QUERIES = {
     "bounded_examples": lambda s, d: R.examples(frames.pred_bin(s, d).filter("y_true != y_pred"), "lang", "sample_id", 3),
     "coverage": lambda s, d: R.coverage(T(s, d, "nation").select(F.col("n_nationkey").alias("unit")), T(s, d, "supplier").groupBy(F.col("s_nationkey").alias("unit")).agg(F.when(F.min("s_acctbal") < -500, "FAILED").otherwise("COMPLETED").alias("status")), ["unit"]),
     "factorial_plan": lambda s, d: R.factorial(T(s, d, "region").select("r_name"), s.createDataFrame([("A",), ("B",), ("AB",)], "cell string"), s.createDataFrame([(1,), (2,)], "seed int")),
-    "jaccard": lambda s, d: R.jaccard(T(s, d, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("k")), T(s, d, "supplier").filter("s_suppkey < 30").select(F.col("s_nationkey").alias("k")), "k"),
+    "jaccard": lambda s, d: R.jaccard(T(s, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")), T(s, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("k")), "k"),
     "document_comparison": lambda s, d: R.compare_documents(T(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v")), T(s, d, "part").filter("p_partkey % 11 != 0").select(F.col("p_partkey").alias("k"), (F.col("p_retailprice") * F.when(F.col("p_partkey") % 5 == 0, 1.01).when(F.col("p_partkey") % 7 == 0, 1.0000001).otherwise(1.0)).alias("v")), "k", "v"),
     "as_of_join": lambda s, d: R.as_of(T(s, d, "events").filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), T(s, d, "events").filter("event_type != 'purchase'").select("user_id", "ts", "value"), "user_id", "ts", "value").select("event_id", Q9("as_of").alias("as_of")),
     "ordinary_counters": lambda s, d: T(s, d, "orders").groupingSets([("o_orderstatus",), ("o_orderpriority",), ()], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")),
     "pointer_projection": lambda s, d: T(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
 }
-QUERIES["set_difference"] = lambda s, d: R.set_difference(T(s, d, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("k")), T(s, d, "supplier").filter("s_suppkey < 30").select(F.col("s_nationkey").alias("k")), "k")
+QUERIES["set_difference"] = lambda s, d: R.set_difference(T(s, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")), T(s, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("k")), "k")
 
 _BN = f"{PM}, bn AS (SELECT p.*, c_nationkey AS run FROM p JOIN customer ON c_custkey = cust)"
 _CS = f"""{_BN}, cc AS (SELECT run, y_true, y_pred, count(*) AS samples FROM bn GROUP BY ALL), cm AS (SELECT *, samples / sum(samples) OVER (PARTITION BY run, y_true) AS m FROM cc),
@@ -87,7 +87,7 @@ _PAIR = f"{_CS}, pp AS (SELECT l.signal AS a, r.signal AS b FROM ss l JOIN ss r
 _G = """ed AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst, 'has_nation' AS relation FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'has_customer' FROM customer
 UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'has_supplier' FROM supplier UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'placed' FROM orders)"""
 _WIDE = f"{CELLS}, w AS (SELECT trial_key, max(discount) FILTER (cell = 'CONTROL') AS y0, max(discount) FILTER (cell = 'A') AS ya, max(discount) FILTER (cell = 'B') AS yb, max(discount) FILTER (cell = 'AB') AS yab FROM trials GROUP BY 1)"
-_SETS = "a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey < 30), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey < 30), f AS (SELECT coalesce(a.k, b.k) AS value, CASE WHEN b.k IS NULL THEN 'only_in_a' WHEN a.k IS NULL THEN 'only_in_b' ELSE 'both' END AS found FROM a FULL JOIN b ON a.k = b.k)"
+_SETS = "a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A'), f AS (SELECT coalesce(a.k, b.k) AS value, CASE WHEN b.k IS NULL THEN 'only_in_a' WHEN a.k IS NULL THEN 'only_in_b' ELSE 'both' END AS found FROM a FULL JOIN b ON a.k = b.k)"
 _ACC = "avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END)"
 SQL = {
     "confusion_signals": f"WITH {_CS} SELECT * FROM cs",

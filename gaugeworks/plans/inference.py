@@ -17,7 +17,7 @@ DE = """e AS (SELECT event_id, user_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-16
 
 
 def draw(seed: int, replicate: str, index: str, n: str) -> str:
-    return f"CAST('0x' || substr(md5('{seed}:' || {replicate} || ':' || {index}), 1, 8) AS BIGINT) % {n}"
+    return f"CAST('0x' || substr(md5('{seed}:' || {replicate} || ':' || {index}), 1, 15) AS BIGINT) % {n}"
 
 
 def cell(s, d, name):

@@ -8,6 +8,7 @@ from .. import frames
 from ..sources import records as R
 from ..status import q9 as Q9
 from .evaluation import q9
+from .stress import framed
 
 T = frames.table
 QUERIES = {
@@ -18,12 +19,12 @@ QUERIES = {
     "records": lambda s, d: R.as_records(T(s, d, "region").select("r_regionkey", "r_name"), "reg", "Region", ["r_name"]).select("id", "kind", "payload", "content_hash"),
     "record_search": lambda s, d: R.find(R.as_records(T(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nat", "Nation", ["n_name"]), n_regionkey="1").select("id"),
 }
-_REC = """SELECT 'reg_' || substr(sha256('Region|' || r_name), 1, 32) AS id, 'Region' AS kind, '{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}' AS payload FROM region"""
+_REC = f"""SELECT 'reg_' || substr(sha256({framed("'Region'", 'r_name')}), 1, 32) AS id, 'Region' AS kind, '{{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}}' AS payload FROM region"""
 SQL = {
     "tabular_scan": "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM customer",
     "random_access": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
     "tensor_scan": f"SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width, {q9('floor(list_sum(embedding::DOUBLE[]) * 1e4 + 0.5) / 1e4')} AS total FROM embeddings",
     "feature_columns": f"SELECT event_id, {q9('value')} AS value, try_cast(event_type AS DOUBLE) AS event_type FROM events",
     "records": f"WITH r AS ({_REC}) SELECT *, 'sha256:' || sha256(payload) AS content_hash FROM r",
-    "record_search": "SELECT 'nat_' || substr(sha256('Nation|' || n_name), 1, 32) AS id FROM nation WHERE n_regionkey = 1",
+    "record_search": f"SELECT 'nat_' || substr(sha256({framed("'Nation'", 'n_name')}), 1, 32) AS id FROM nation WHERE n_regionkey = 1",
 }

@@ -59,6 +59,10 @@ QUERIES = {
 }
 
 
+def framed(*fields: str) -> str:
+    return " || ".join(f"coalesce(length(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR) || ';', '-;')" for f in fields)
+
+
 def u(seed: int, key: str = "sample_id", more: str = "") -> str:
     return f"(CAST('0x' || substr(md5('{seed}:' || {key}{more}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
@@ -114,8 +118,8 @@ SELECT fault, {q9('b')} AS baseline, {q9('t')} AS treated, {q9('t - b')} AS delt
 SELECT count(*) AS n, {q9('count(*) FILTER (y_pred = p2) / count(*)')} AS agreement, {q9('max(abs(score - s2))')} AS max_difference, count(*) = count(*) FILTER (y_pred = p2) AND max(abs(score - s2)) = 0 AS deterministic FROM y""",
     "newly_wrong": f"WITH {PB} SELECT sample_id FROM p WHERE y_true = y_pred AND (CASE WHEN {_DROP} >= 0.5 THEN 1 ELSE 0 END) <> y_true",
     "severity_band": f"WITH {PB} SELECT CASE WHEN score >= 0.9 THEN 4 WHEN score >= 0.75 THEN 3 WHEN score >= 0.5 THEN 2 WHEN score >= 0.25 THEN 1 ELSE 0 END AS band, count(*) AS n FROM p GROUP BY 1",
-    "entity_ids": "SELECT n_nationkey, 'nat_' || substr(sha256('Nation|' || n_name || '|' || n_regionkey), 1, 32) AS id FROM nation",
-    "dataset_fingerprint": "WITH h AS (SELECT md5(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || c_mktsegment) AS h FROM customer), s AS (SELECT count(*) AS rows, "
+    "entity_ids": f"SELECT n_nationkey, 'nat_' || substr(sha256({framed("'Nation'", 'n_name', 'n_regionkey')}), 1, 32) AS id FROM nation",
+    "dataset_fingerprint": f"WITH h AS (SELECT md5({framed('c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment')}) AS h FROM customer), s AS (SELECT count(*) AS rows, "
     + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {k}, 8) AS BIGINT)) AS VARCHAR) AS s{k}" for k in (1, 9, 17, 25))
     + " FROM h) SELECT rows, md5(s1 || '|' || s9 || '|' || s17 || '|' || s25) AS fingerprint FROM s",
 }

@@ -20,7 +20,7 @@ def test_query_agrees_with_sql(name, spark, con):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(name, spark):
-    assert catalog.QUERIES[name](spark, SF).columns
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

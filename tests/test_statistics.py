@@ -1,17 +1,65 @@
-"""Values worked out by hand."""
+"""Values worked out by hand or by plain versions."""
+
+import itertools
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import calibration, drift, slices, stats
+from gaugeworks.functions import identity
+from gaugeworks.operators import calibration, drift, graph, ordering, resampling, slices, stats
 
 
-def test_exact_permutations():
-    assert stats.exact_unpaired((1, 2, 3), (4, 5, 6)) == (2 / 20, 20)
-    assert stats.exact_sign_flip((1, 2, 3, 4)) == (2 / 16, 16)
-    assert stats.exact_sign_flip((0, 0, 0))[0] == 1.0
-    with pytest.raises(ValueError):
-        stats.exact_sign_flip([1.0] * 40)
+def plain_splits(a, b):
+    """(hits, splits) over all splits of the pooled values."""
+    pool, n = [*a, *b], len(b)
+    gap = lambda chosen: abs(sum(pool[i] for i in chosen) / n - (sum(pool) - sum(pool[i] for i in chosen)) / len(a))
+    seen = gap(range(len(a), len(pool)))
+    gaps = [gap(c) for c in itertools.combinations(range(len(pool)), n)]
+    return sum(g >= seen - 1e-12 for g in gaps), len(gaps)
+
+
+@pytest.mark.parametrize("a,b", [((3.5, 1.0, 9.0, 2.0), (8.0, 7.5, 3.0)), ((1.0, 1.0), (1.0, 1.0, 1.0)), ((0.0, 2.0, 2.0, 5.0, 7.0), (6.0, 9.0, 9.0, 1.0))])
+def test_all_splits_of_few_values_are_tried(spark, a, b):
+    df = spark.createDataFrame([("a", x) for x in a] + [("b", x) for x in b] + [("c", 99.0), ("a", None)], "g string, v double")
+    r = stats.permutation_test(df, "g", "v", "a", "b").first()
+    hits, splits = plain_splits(a, b)
+    assert (r["hits"], r["replicates"], r["p"]) == (hits, splits, pytest.approx(hits / splits, abs=1e-9))
+
+
+def test_one_value_in_a_group_has_no_p(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0)], "g string, v double")
+    assert stats.permutation_test(df, "g", "v", "a", "b", 9).first()["p"] is None
+
+
+@pytest.mark.parametrize("d", [(0.5, -2.0, 3.0, 4.5, 1.0), (0.0, 0.0, 0.0), (7.0, 7.0)])
+def test_all_signs_of_few_pairs_are_tried(spark, d):
+    r = stats.sign_flip_test(spark.createDataFrame([(10.0, 10.0 + x) for x in d], "x double, y double")).first()
+    means = [abs(sum(s * x for s, x in zip(signs, d))) for signs in itertools.product((1, -1), repeat=len(d))]
+    assert (r["hits"], r["replicates"]) == (sum(m >= abs(sum(d)) - 1e-9 for m in means), 2 ** len(d))
+
+
+def test_normal_distribution_function_and_its_inverse(spark):
+    from statistics import NormalDist
+
+    x = [-5.0, -1.3, 0.0, 0.4, 2.2, 4.9]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(resampling.normal_cdf(F.col("x"))).collect()]
+    assert got == pytest.approx([NormalDist().cdf(v) for v in x], abs=1e-12)
+    p = [0.001, 0.02, 0.3, 0.5, 0.9, 0.995]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in p], "p double").select(resampling.normal_quantile(F.col("p"))).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(v) for v in p], abs=1e-9)
+
+
+def test_running_sums_cross_ranges_and_groups(spark):
+    rows = [(g, float(k * 7 % 50), k) for g in "ab" for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    out = ordering.running(df, ["v", "w"], {"before": F.col("w")}, ["g"], following={"next": "v"}).collect()
+    for r in out:
+        mine = sorted((v, w) for g, v, w in rows if g == r["g"])
+        assert r["before"] == sum(w for v, w in mine if (v, w) < (r["v"], r["w"]))
+        assert r["next"] == next((v for v, w in mine if (v, w) > (r["v"], r["w"])), None)
+    assert len(out) == len(rows)
 
 
 def test_quantile_and_summary_of_one_value(spark):
@@ -50,13 +98,65 @@ def test_predicates_are_three_valued(spark):
         slices.compile_predicate({"op": "like", "field": "s"}, types)
 
 
-def test_isotonic_is_monotone(spark):
-    df = spark.createDataFrame([(c / 10, int(c > 4), 1) for c in range(10)], "confidence double, y_true int, y_pred int")
-    values = calibration.fit_isotonic(df).predictions.toArray().tolist()
-    assert values == sorted(values)
+def plain_isotonic(points):
+    """Pool adjacent violators over (confidence, right): a value for each distinct confidence."""
+    blocks = []
+    for c in sorted({c for c, _ in points}):
+        right = [r for x, r in points if x == c]
+        blocks.append([sum(right), len(right), [c]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            k, n, cs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + k, blocks[-1][1] + n, blocks[-1][2] + cs]
+    return {c: k / n for k, n, cs in blocks for c in cs}
+
+
+def graded(spark, points):
+    return spark.createDataFrame([(c, r, 1) for c, r in points], "confidence double, y_true int, y_pred int")
+
+
+def test_isotonic_equals_pooled_violators(spark):
+    draw = random.Random(3)
+    points = [(draw.randint(1, 19) / 20, int(draw.random() < 0.4)) for _ in range(150)]
+    model = calibration.fit_isotonic(graded(spark, points))
+    want = plain_isotonic(points)
+    for c, v in zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()):
+        assert v == pytest.approx(want[c], abs=1e-9)
+
+
+def plain_platt(points):
+    """Newton steps in plain Python."""
+    a, b = 1.0, 0.0
+    rows = [(math.log(c / (1 - c)), r) for c, r in points]
+    for _ in range(200):
+        p = [1 / (1 + math.exp(-(a * x + b))) for x, _ in rows]
+        ga, gb = sum((y - q) * x for (x, y), q in zip(rows, p)) - 1e-6 * a, sum(y - q for (_, y), q in zip(rows, p))
+        aa, ab, bb = sum(q * (1 - q) * x * x for (x, _), q in zip(rows, p)) + 1e-6, sum(q * (1 - q) * x for (x, _), q in zip(rows, p)), sum(q * (1 - q) for q in p)
+        det = aa * bb - ab * ab
+        a, b = a + (bb * ga - ab * gb) / det, b + (aa * gb - ab * ga) / det
+    return a, b
+
+
+def test_platt_equals_plain_newton(spark):
+    draw = random.Random(5)
+    points = [(c, int(draw.random() < c * c)) for c in (draw.uniform(0.2, 0.95) for _ in range(200))]
+    a, b = calibration.fit_platt(graded(spark, points))
+    assert a > 0.5 and (a, b) == pytest.approx(plain_platt(points), abs=1e-6)
+
+
+def test_platt_of_one_class_has_no_slope(spark):
+    assert calibration.fit_platt(graded(spark, [(0.5, 1), (0.9, 1)])) == (0.0, pytest.approx(math.log(5)))
+    assert calibration.fit_platt(graded(spark, [])) == (1.0, 0.0)
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    chain = spark.createDataFrame([(f"n{k + 1:03}", f"n{k:03}") for k in range(30)], "src string, dst string")
+    start = spark.createDataFrame([("n000",)], "node string")
+    assert dict(graph.blocked(chain, start).collect()) == {f"n{k:03}": k for k in range(1, 31)}
+    edges = chain.withColumn("relation", F.lit("r"))
+    assert {r["component"] for r in graph.components(edges).collect()} == {"n000"}
 
 
-def test_platt_follows_the_slope(spark):
-    df = spark.createDataFrame([(0.5 + k / 40, int(k % 20 < k), 1) for k in range(20)], "confidence double, y_true int, y_pred int")
-    a, _ = calibration.fit_platt(df)
-    assert a > 0
+def test_joined_fields_are_told_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "-;")], "x string, y string")
+    ids = [r[0] for r in df.select(identity.entity_id("t", "T", F.col("x"), F.col("y"))).collect()]
+    assert len(set(ids)) == 4
