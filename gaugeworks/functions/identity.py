@@ -24,6 +24,11 @@ def entity_id(prefix: str, kind: str, *fields: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(framed(F.lit(kind), *fields), 256), 1, 32))
 
 
+def derived_seed(seed: int, *names: Column) -> Column:
+    """A seed of 60 bits for a named part of a seeded job: different names, or lists of names, give independent ones."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), framed(*names)), 256), 1, 15), 16, 10).cast("long")
+
+
 def content_hash(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 

@@ -10,21 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: partition contents are then fixed, and the lineage is cut.
-
-    The folder is spark.checkpoint.dir; where it is unset, a temporary folder
-    serves a local master, and any other master is refused.
-    """
-    spark: SparkSession = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary
+    folder serves a local master, and any other master is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="gaugeworks-")
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: partition contents are then fixed, and the lineage is cut."""
+    path = f"{shared(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str, Column], by: Sequence[str] = (), following: Mapping[str, str] | None = None) -> DataFrame:

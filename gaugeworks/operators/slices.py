@@ -107,3 +107,8 @@ def unseen(df: DataFrame, field: str, literals: Sequence[str]) -> DataFrame:
     """(value): literals of a condition that the field never has."""
     wanted = df.sparkSession.createDataFrame([(v,) for v in literals], "value string")
     return wanted.join(df.select(F.col(field).alias("value")).distinct(), "value", "left_anti")
+
+
+def restricted(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is in a stored member list, however often it stands there."""
+    return df.join(members.select(key).distinct(), key, "left_semi")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_hash, entity_id
+from ..operators.ordering import shared
 
 
 def as_records(df: DataFrame, prefix: str, kind: str, identity: list[str]) -> DataFrame:
@@ -15,7 +18,10 @@ def as_records(df: DataFrame, prefix: str, kind: str, identity: list[str]) -> Da
 
 
 def append(records: DataFrame, path: str) -> None:
-    """Add records whose id isn't there yet; nothing is changed or removed."""
+    """Add records whose id isn't there yet; nothing is changed or removed.
+
+    Two writers at once can both add one id; equal ids have equal identity, and readers keep one of them (verified).
+    """
     spark = records.sparkSession
     new = records.dropDuplicates(["id"])
     try:
@@ -46,3 +52,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of each file under a folder; each file is hashed where it is read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_json_lines(df: DataFrame) -> str:
+    """Rows as JSON lines in a new folder of the shared one, its path; keys in order of name, nulls kept."""
+    path = f"{shared(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    return path
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines. A line that doesn't fit the schema stops the job: nothing is read as null in silence."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
