@@ -449,7 +449,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     bands = Bands(threshold)
     profiles = common.stored(rows.mapInArrow(_profiles(n, bands), "doc_id long, n_shingles long, band long, content binary"), "profiles")
     sized = profiles.filter("n_shingles > 0 and doc_id is not null")
-    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"))
+    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"), F.count("*").alias("copies"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     share = 2.6 * (100 - threshold) / (100 + threshold) * 2  # keys for each shingle, about
     shards = common.shard_numbers(spark, max(LEAST_SHARDS, math.ceil(total[0] * share * 16 / SHARD_BYTES)))
@@ -464,10 +464,13 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     dealt = known.join(pairs, "doc_id").repartition(common.partitions(spark), "component", "left", "right")
     grouped = dealt.groupBy("component", "left", "right")
     links = components.connected(grouped.applyInArrow(_join(n, threshold), "a long, b long"))
-    members = profiles.join(least, "content", "left")
-    sole = F.when(F.col("n_shingles") > 0, F.col("least"))
-    linked = members.withColumn("node", sole).join(links, "node", "left")
-    return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+    # a set's component is looked up once, not for each copy; sets of very many copies, of which there are few, are broadcast
+    known_sets = least.join(links, F.col("least") == F.col("node"), "left").select("content", "copies", F.coalesce("component", "least").alias("component"))
+    hot = F.broadcast(known_sets.filter(F.col("copies") > max(components.HOT_EDGES, total[1] // components.HOT_SHARE)).drop("copies"))
+    rest = profiles.join(hot.select("content"), "content", "left_anti").join(known_sets.drop("copies"), "content", "left")
+    members = profiles.join(hot, "content").unionByName(rest)
+    own = F.when(F.col("n_shingles") > 0, F.col("component"))
+    return members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
