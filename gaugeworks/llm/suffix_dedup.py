@@ -24,8 +24,9 @@ SHARD_BYTES = 16 << 20
 BATCHES = 4
 #: Bits of a suffix's place below its gram's fingerprint when anchors are chosen; longer blocks are cut into overlapping pieces.
 PLACE_BITS = 22
-#: Documents that are looked at for hot grams, about, and how many of them make a gram hot.
-HOT_SAMPLE, HOT_DOCUMENTS = 20_000, 8
+#: Documents that are looked at for hot grams, about, the least of them that make a gram hot, and the bytes of contexts,
+#: reckoned for the whole table, that one gram may bring to a task.
+HOT_SAMPLE, HOT_DOCUMENTS, HOT_BYTES = 20_000, 8, 2 << 20
 #: Strings of hot grams that a task gathers before it sorts and sends them.
 STRING_FLUSH = 1_000_000
 #: Characters of a text that deal the rows of a repeated doc_id.
@@ -490,7 +491,7 @@ def _compare(length: int, buckets: np.ndarray) -> Callable[[pa.Table], pa.Table]
 
 
 def _hot_grams(docs: DataFrame, length: int, n: int) -> np.ndarray:
-    """Grams that occur with different contexts in HOT_DOCUMENTS or more of about HOT_SAMPLE documents, sorted.
+    """Grams that occur with different contexts in so many documents that the contexts exceed HOT_BYTES, by a sample, sorted.
 
     They only decide where entries meet, so whichever are named here, the result is the same.
     """
@@ -505,10 +506,12 @@ def _hot_grams(docs: DataFrame, length: int, n: int) -> np.ndarray:
                 (key, context), times = np.unique(found[:2], axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(times)], names=["key", "context", "times"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
+    every = max(1, n // HOT_SAMPLE)
+    least = max(HOT_DOCUMENTS, HOT_BYTES // (2 * length + 8) // every)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     by_context = sample.mapInArrow(run, "key long, context long, times long").groupBy("key", "context").agg(F.sum("times").alias("times"))
     by_key = by_context.groupBy("key").agg(F.sum("times").alias("times"), F.count("*").alias("contexts"))
-    found = by_key.filter((F.col("times") >= HOT_DOCUMENTS) & (F.col("contexts") > 1)).select("key").collect()  # bounded by the sample
+    found = by_key.filter((F.col("times") >= least) & (F.col("contexts") > 1)).select("key").collect()  # bounded by the sample
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 

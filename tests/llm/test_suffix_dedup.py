@@ -32,6 +32,7 @@ def test_pieces_of_a_long_block_have_the_same_anchors():
 
 def test_hot_grams_are_exact(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_DOCUMENTS", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 0)
     r = random.Random(8)
     passages = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (40, 70, 99, 150, 320)]
     rows = {}
