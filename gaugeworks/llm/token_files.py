@@ -19,9 +19,9 @@ from .bpe import byte_alphabet
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>, shard int"
 #: Bounds the distinct pieces a worker remembers.
-MEMO = 600_000
+MEMO = 900_000
 #: Bytes of text in a file, roughly: sets the number of range partitions.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 
 
 def pack(ids: list[int]) -> bytes:
@@ -163,7 +163,7 @@ def write_token_files(
         size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         shards = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / SHARD_BYTES))
     keys = ["doc_id", F.xxhash64("text")]
-    ordered = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, "text")
+    ordered = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
     (
         ordered.mapInArrow(_write_rows(tokenizer, end_id), SCHEMA)
         .write.option("compression", "zstd")
