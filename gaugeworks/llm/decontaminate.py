@@ -232,9 +232,11 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
 MATCH_SCHEMA = "doc_id long, row_key string, n_words long, spans array<struct<begin:long,stop:long>>, items array<string>"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keys: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, items): for each row of docs the hit words, as [begin, stop), and the items found.
 
+    With `keys` there is also row_key, sha256 of the text, which tells rows of one doc_id apart.
+
     Each task sorts the word suffixes of its shards of documents, and
     binary-searches every suffix of the benchmark's items in them: the places
     that share its first `window` words (or all words of a shorter item) are
@@ -251,8 +253,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     rows, some = common.texts(docs), blocks(benchmark, block_bytes)
     first, second = next(some, []), next(some, None)
     if second is None:
-        keyed = rows.withColumn("row_key", F.lit(None).cast("string"))
-        return keyed.mapInArrow(_scan(first, window), MATCH_SCHEMA).drop("row_key")
+        keyed = rows.withColumn("row_key", F.sha2("text", 256) if keys else F.lit(None).cast("string"))
+        found = keyed.mapInArrow(_scan(first, window), MATCH_SCHEMA)
+        return found if keys else found.drop("row_key")
     keyed, path = rows.withColumn("row_key", F.sha2("text", 256)), common.scratch(docs.sparkSession, "benchmark-blocks")
     for k, block in enumerate(itertools.chain([first, second], some)):
         part = keyed.mapInArrow(_scan(block, window), MATCH_SCHEMA)
@@ -264,7 +267,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
         F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
         F.flatten(F.collect_set("items")).alias("items"), F.count(F.when(F.col("block") == 0, 1)).alias("copies"),
     )
-    return united.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_words", _merged("spans").alias("spans"), "items")
+    return united.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *(["row_key"] if keys else []), "n_words", _merged("spans").alias("spans"), "items")
 
 
 def _merged(spans: str):
@@ -279,12 +282,12 @@ def _merged(spans: str):
     return F.aggregate(F.array_sort(spans), start, join)
 
 
-def verdicts(found: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): at least a twentieth of the words are hit."""
+def verdicts(found: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) and columns to keep: at least a twentieth of the words are hit."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["begin"])
     named = F.array_compact("items")
     return found.withColumn("items", F.array_distinct("items")).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", *keep, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort(named)), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

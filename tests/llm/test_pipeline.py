@@ -62,3 +62,40 @@ def test_last_stage_encodes(inputs):
     text = dict(inputs[4].select("doc_id", "text").collect())
     for r in inputs[5].collect():
         assert list(r["ids"]) == library.encode(text[r["doc_id"]], add_special_tokens=False).ids
+
+
+LINES = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon "
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "a text without an id"), (None, bench), (5, LINES * 4), (5, bench), (6, LINES * 4), (7, LINES * 4 + "end"), (8, "x" * 30_000), (9, "short"), (9, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "cast(null AS string) AS source", "cast(null AS long) AS n_chars")
+    return df.selectExpr("*", "1 AS component", "'k' AS row_key", "2.0 AS score", "3 AS own_id")
+
+
+def kept(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_each_stage_takes_odd_rows(spark, odd):
+    before = kept(odd)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, odd, SF)
+        if k < 4:
+            assert sorted(out.columns) == sorted(corpus_pipeline.COLUMNS)
+        if k == 1:
+            assert kept(out) == [r for r in before if r[0] not in (6, 7)]
+        elif k == 3:
+            bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+            assert kept(out) == [r for r in before if r[1] != bench]
+        elif k in (2, 4):
+            assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(i) for i, _ in before)
+        else:
+            assert out.count() <= len(before)
+
+
+def test_each_stage_takes_an_empty_table(spark, odd):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).collect() == []
