@@ -217,7 +217,7 @@ def _acc(part: int) -> str:
 
 _CUST = """cu AS (SELECT c_mktsegment AS g, CASE WHEN c_acctbal >= 0 THEN 0 ELSE 1 END AS balance, CASE WHEN c_custkey % 11 <> 0 THEN 0 ELSE 1 END AS segment, CASE WHEN c_custkey % 13 <> 0 OR c_mktsegment <> 'BUILDING' THEN 0 ELSE 1 END AS phone,
 CASE WHEN c_mktsegment = 'MACHINERY' THEN c_nationkey + 3 ELSE c_nationkey END AS place FROM customer)"""
-_MEAS = f"{_CS}, me AS (SELECT signature, count(*) AS signals, count(DISTINCT run) AS runs, {q9('count(DISTINCT run) / 25.0')} AS prevalence, {q9('avg(magnitude)')} AS mean_magnitude, {q9('max(magnitude)')} AS worst FROM ss GROUP BY signature)"
+_MEAS = f"{_CS}, me AS (SELECT signature, count(*) AS signals, count(DISTINCT run) AS runs, {q9('count(DISTINCT run) / 25.0')} AS prevalence, floor(CAST(sum(CAST(round(magnitude * 1e9) AS BIGINT)) AS DOUBLE) / count(*) + 0.5) / 1e9 AS mean_magnitude, {q9('max(magnitude)')} AS worst FROM ss GROUP BY signature)"
 _TEXT = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
 _NODES = """kn AS (SELECT 'region:' || r_regionkey AS node FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'customer:' || c_custkey FROM customer UNION ALL SELECT 'order:' || o_orderkey FROM orders
 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 10 <> 7)"""
