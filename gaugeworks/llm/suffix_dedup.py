@@ -22,13 +22,15 @@ FLUSH = 250_000
 SHARD_BYTES = 16 << 20
 #: Batches in which a table is ingested.
 BATCHES = 4
-#: Bits of a suffix's place below its gram's fingerprint when anchors are chosen; longer blocks are cut into overlapping pieces.
+#: Bits of a suffix's place below its gram's fingerprint when anchors are chosen.
 PLACE_BITS = 22
+#: Bytes in which anchors are chosen at once; longer texts are cut into overlapping pieces. Some dozen arrays of eight bytes a byte stand beside them.
+PIECE_BYTES = 1 << 18
 #: Documents that are looked at for hot grams, about, the least of them that make a gram hot, and the bytes of contexts,
 #: reckoned for the whole table, that one gram may bring to a task.
 HOT_SAMPLE, HOT_DOCUMENTS, HOT_BYTES = 20_000, 8, 2 << 20
-#: Strings of hot grams that a task gathers before it sorts and sends them.
-STRING_FLUSH = 1_000_000
+#: Strings of hot grams that a task gathers before it sorts and sends them, and contexts that it cuts out at once.
+STRING_FLUSH, CONTEXT_ROWS = 500_000, 5_000
 #: Characters of a text that deal the rows of a repeated doc_id.
 RANGE_CHARS = 256
 
@@ -64,7 +66,7 @@ class Sampler:
 
     def entries(self, raw: np.ndarray, offsets: np.ndarray, step: int = 0) -> tuple[np.ndarray, ...]:
         """(key, context, text number, start, shape) with shape = anchor's place * 128 + strings - 1. step: string starts in a piece."""
-        step = step or (1 << PLACE_BITS) - self.length
+        step = step or PIECE_BYTES
         if len(raw) <= step:
             return self._entries(raw, offsets)
         parts = []
@@ -193,7 +195,7 @@ def _build(length: int, shards: np.ndarray, hot: np.ndarray) -> Callable[[Iterab
         for batch in batches:
             raw, offsets = common.text_buffers(batch.column("text"))
             doc = np.asarray(batch.column("doc_id"))
-            for i, j in common.row_chunks(offsets):
+            for i, j in common.row_chunks(offsets, PIECE_BYTES):
                 e = sampler.entries(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 parts.append((e[0], e[1], doc[i:j][e[2]], e[3], e[4]))
                 held += len(e[0])
@@ -374,7 +376,7 @@ def _string_prints(rows: np.ndarray, length: int) -> np.ndarray:
 
 def _strings(rows: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, shape: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, document, start) of every string of the contexts. Equal strings have equal grams, so the key is part of the fingerprint."""
-    prints = np.concatenate([_string_prints(rows[q : q + 4000], length) for q in range(0, len(rows), 4000)])
+    prints = np.concatenate([_string_prints(rows[q : q + 1000], length) for q in range(0, len(rows), 1000)])
     entry, place = np.nonzero(np.arange(prints.shape[1]) <= (shape & 127)[:, None])
     return common.mix64(prints[entry, place] ^ key[entry]), doc[entry], start[entry] + place
 
@@ -429,11 +431,11 @@ def _contexts(length: int, shards: np.ndarray, hot: np.ndarray) -> Callable[[Ite
         for batch in batches:
             raw, offsets = common.text_buffers(batch.column("text"))
             doc = np.asarray(batch.column("doc_id"))
-            for i, j in common.row_chunks(offsets):
+            for i, j in common.row_chunks(offsets, PIECE_BYTES):
                 lists = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in batch.column("entries").slice(i, j - i).to_pylist()]
                 rows = np.column_stack([np.repeat(np.arange(i, j), [len(x) for x in lists]), np.concatenate(lists)])
-                for k in range(0, len(rows), 20_000):
-                    r = rows[k : k + 20_000]
+                for k in range(0, len(rows), CONTEXT_ROWS):
+                    r = rows[k : k + CONTEXT_ROWS]
                     key, start, shape = r[:, 1].copy().view(np.uint64), r[:, 2].copy(), r[:, 3].copy()
                     begin = offsets[r[:, 0]] + start
                     size = (shape & 127) + length
@@ -477,8 +479,8 @@ def _compare(length: int, buckets: np.ndarray) -> Callable[[pa.Table], pa.Table]
         bounds = np.append(np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])), len(by)) if len(by) else np.zeros(1, np.int64)
         _, others = _repeats(*(column("strings", c, t) for c, t in (("key", np.uint64), ("doc", np.int64), ("start", np.int64))))
         parts, k = [others], 0
-        while k < len(bounds) - 1:  # whole keys, about 10,000 entries at a time
-            m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 10_000, "right")) - 1)
+        while k < len(bounds) - 1:  # whole keys, about 5,000 entries at a time
+            m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 5_000, "right")) - 1)
             some = by[bounds[k] : bounds[m]]
             k = m
             parts.append(_repeats(*_strings(rows[some], key[some], doc[some], start[some], shape[some], length))[1])
@@ -500,7 +502,7 @@ def _hot_grams(docs: DataFrame, length: int, n: int) -> np.ndarray:
         sampler = Sampler(length)
         for batch in batches:
             raw, offsets = common.text_buffers(batch.column("text"))
-            for i, j in common.row_chunks(offsets):
+            for i, j in common.row_chunks(offsets, PIECE_BYTES):
                 e = sampler.entries(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 found = np.unique(np.stack([e[0], e[1], e[2].astype(np.uint64)]), axis=1)
                 (key, context), times = np.unique(found[:2], axis=1, return_counts=True)
