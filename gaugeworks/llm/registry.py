@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, order_minhash, quality, suffix_dedup, token_counts, token_files, toxicity
+from . import bpe, chat, decontaminate, divergence, jaccard, order_minhash, quality, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": jaccard.op4_jaccard,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op1_token_files": token_files.op1_token_files,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 #: op8_chat has a column that depends on token counts; tests hold the others against SQL.
 SQL: dict[str, str] = {
     "op4_jaccard": jaccard.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }
