@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, divergence, jaccard, order_minhash, quality, suffix_dedup, token_counts, token_files, toxicity
+from . import alignment, bpe, chat, decontaminate, divergence, jaccard, order_minhash, quality, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": jaccard.op4_jaccard,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op1_token_files": token_files.op1_token_files,
+    "op11_alignment": alignment.op11_alignment,
     "op13_divergence": divergence.op13_divergence,
 }
 
