@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, chat, decontaminate, divergence, jaccard, order_minhash, quality, suffix_dedup, token_counts, token_files, toxicity
+from . import alignment, bpe, chat, decontaminate, divergence, jaccard, order_minhash, quality, subspace_join, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op1_token_files": token_files.op1_token_files,
     "op11_alignment": alignment.op11_alignment,
+    "op12_embedding_dedup": subspace_join.op12_embedding_dedup,
     "op13_divergence": divergence.op13_divergence,
 }
 
@@ -27,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op4_jaccard": jaccard.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op12_embedding_dedup": subspace_join.OP12_SQL,
     "op13_divergence": divergence.OP13_SQL,
 }
