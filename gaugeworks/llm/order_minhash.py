@@ -17,8 +17,8 @@ BUCKETS = 1 << BUCKET_BITS
 PIECE = 12
 #: Bytes of text in a range of doc_id, in which the next document is found, and how many ranges there are at most (beyond 256 GB they grow).
 RANGE_BYTES, RANGES = 16 << 20, 1 << 14
-#: Bits of a k-mer's place below its hash, and those of texts with more places.
-POSITION_BITS, LONG_POSITION_BITS = 24, 31
+#: Bits of a k-mer's place below its hash, for texts of any length, so that hashes of all texts are alike.
+POSITION_BITS = 31
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -34,17 +34,16 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     All of it stays within the row: no shuffle, and no step gathers more than a text.
     """
-    u, w, h, occ, best, least, bits = (f"__{out}_{x}" for x in ("u", "w", "h", "occ", "best", "least", "bits"))
+    u, w, h, occ, best, least = (f"__{out}_{x}" for x in ("u", "w", "h", "occ", "best", "least"))
     df = df.withColumn(w, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), 0), lambda x: F.xxhash64(x)))
-    df = df.withColumn(bits, F.when(F.size(w) < 1 << POSITION_BITS, F.lit(POSITION_BITS)).otherwise(F.lit(LONG_POSITION_BITS)))
 
     def shift_left(x: Column) -> Column:
-        return F.call_function("shiftleft", x, F.col(bits))
+        return F.shiftleft(x, POSITION_BITS)
 
     def shift_right(x: Column) -> Column:
-        return F.call_function("shiftright", x, F.col(bits))
+        return F.shiftright(x, POSITION_BITS)
 
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1
+    low = F.lit((1 << POSITION_BITS) - 1)
     # hash in the upper bits and place in the lower ones: sorting longs needs no comparison of structures
     kmers = F.transform(
         F.when(F.size(w) >= K, F.sequence(F.lit(1), F.size(w) - (K - 1))).otherwise(F.when(F.size(w) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))),
@@ -72,7 +71,7 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.when(F.size(mine) == 0, F.lit("-")).otherwise(F.lower(F.hex(F.xxhash64(F.transform(ordered, lambda x: x["h"])))))
 
     df = df.withColumn(out, F.concat_ws(".", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), bucket)))
-    return df.drop(u, w, h, occ, best, least, bits)
+    return df.drop(u, w, h, occ, best, least)
 
 
 def likeness(a: str, b: str) -> Column:

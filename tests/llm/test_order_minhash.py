@@ -33,3 +33,12 @@ def test_fingerprints_choose_among_all_kmers_of_a_long_text(spark):
     got = {r["doc_id"]: r["f"] for r in order_minhash.fingerprint(df, "text", "f").collect()}
     assert sum(x == y for x, y in zip(got[0].split("."), got[1].split("."))) < order_minhash.BUCKETS / 2
     assert got == plain_fingerprints(df)
+
+
+def test_near_copies_are_alike_at_every_length(spark):
+    assert 1 << order_minhash.POSITION_BITS >= (1 << 31)  # no text has more places
+    texts = [" ".join(f"w{(i * i) % 7919}" for i in range(n)) for n in (126, 127, 129, 65_535, 65_537, 65_540)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = [r["f"].split(".") for r in order_minhash.fingerprint(df, "text", "f").orderBy("doc_id").collect()]
+    for a, b in ((0, 1), (1, 2), (3, 4), (4, 5)):
+        assert sum(x == y for x, y in zip(got[a], got[b])) > order_minhash.BUCKETS * 0.8
