@@ -422,6 +422,13 @@ def _parts(inside: DataFrame) -> DataFrame:
     return placed.select("doc_id", "component", F.explode(met).alias("pair")).select("doc_id", "component", "pair.left", "pair.right", "pair.part")
 
 
+def _rows_once(known: DataFrame, sized: DataFrame) -> DataFrame:
+    """Rows of known with each (doc_id, text) once; only rows of ids that occur more than once are compared."""
+    doubled = common.stored(sized.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "doubled")
+    once = known.join(doubled, "doc_id", "left_anti")
+    return once.unionByName(known.join(doubled, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id, text).
 
@@ -434,7 +441,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
        ranges; sets that link agree in a range (see Bands). Keys meet by shuffle,
        sorted and made distinct in each task first, and give links to the least
        document of the key, never all pairs. Components of these links are blocks.
-    3. Each block's sets become a prefix tree that every set probes. A block of
+    3. Each block's sets become a prefix tree that every set probes; of equal rows of an id one takes part. A block of
        more than BLOCK_SETS sets is split, and its parts are joined two by two.
     4. Components of the links found.
 
@@ -461,7 +468,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     inside = common.stored(blocks.dropDuplicates(["node"]).join(first, "node"), "blocks")
     pairs = _parts(inside)
     # trees are work for the processors, not bytes: as many partitions as asked for, not fewer by size
-    dealt = known.join(pairs, "doc_id").repartition(common.partitions(spark), "component", "left", "right")
+    dealt = _rows_once(known, sized).join(pairs, "doc_id").repartition(common.partitions(spark), "component", "left", "right")
     grouped = dealt.groupBy("component", "left", "right")
     links = components.connected(grouped.applyInArrow(_join(n, threshold), "a long, b long"))
     # a set's component is looked up once, not for each copy; sets of very many copies, of which there are few, are broadcast

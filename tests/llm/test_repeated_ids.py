@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import suffix_dedup
+from gaugeworks.llm import jaccard, suffix_dedup
 
 PASSAGE = " ".join(f"word{k * k}" for k in range(20))
 
@@ -21,3 +21,13 @@ def test_repeated_ids_may_be_of_any_size(spark):
     out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     kept = sorted((r["doc_id"] or 0, r["kept_text"]) for r in out)
     assert kept == [(-(1 << 60), "c"), (0, "d" + PASSAGE), (0, "e"), (1 << 60, "a"), (1 << 60, "b")]
+
+
+def test_equal_rows_of_one_id_take_part_once(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    many = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows = many.unionByName(spark.createDataFrame([(3, text + " end"), (2, text + " more"), (9, "other words")], "doc_id long, text string"))
+    once = jaccard._rows_once(rows, rows)
+    assert sorted(tuple(r) for r in once.collect()) == sorted([(3, text), (3, text + " end"), (2, text + " more"), (9, "other words")])
+    groups = jaccard.near_duplicates(rows.filter("doc_id != 3").unionByName(many.limit(2000)), 4, 80).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in groups) == [(2, 2, 1), (3, 2, 2000), (9, 9, 1)]
