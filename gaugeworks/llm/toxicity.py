@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     The toxic one has the same content and the windows of words typical of toxic
     documents, so on ordinary text the two compress alike: words in at least SUPPORT
     toxic documents and RATIO times likelier there, ties broken by the word. Missing, null and
-    other labels than 0 and 1 are left out, of an id's different labels the least counts; with no example of either class the
+    other labels than 0 and 1 are left out, of an id's different labels the least counts, of its texts the least; with no example of either class the
     scores are the other's share.
 
     Dictionaries trained on running text of either class, and windows of running text,
@@ -117,8 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     wanted = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (_fold() != 0))
     picked = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
-    known = common.texts(docs).join(F.broadcast(picked), "doc_id").withColumn("fold", _fold())
-    known = common.stored(known, "labelled")
+    known = common.texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    known = common.stored(known.withColumn("fold", _fold()), "labelled")  # a row for each id at most
     counted = known.filter("fold < 4").select("text", "label").mapInArrow(_document_words, "word string, label int, n long")
     size = {r["label"]: r["n"] for r in known.filter("fold < 4").groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = max(1, size.get(1, 0)), max(1, size.get(0, 0))
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
             rows_ = [np.bincount(np.clip(distance.saved(t), 0, 15), minlength=16).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows_, pa.list_(pa.int32()))], names=["label", "saved"])
 
-    rest = known.filter("fold = 4").select("text", "label").mapInArrow(measure, schema).collect()  # 16 counts a row, at most `rows` rows
+    rest = known.filter("fold = 4").select("text", "label").mapInArrow(measure, schema).collect()  # 16 counts an id, at most `rows` ids
     counts = np.array([r["saved"] for r in rest], np.int64).reshape(-1, 16)
     y = np.array([r["label"] for r in rest], np.float64)
     if len(set(y.tolist())) < 2:
