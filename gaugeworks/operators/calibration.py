@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import q9, ratio, wilson
+from .ordering import kept
+from .replicates import STRIP, Draws, number, order_statistics, ordered, replicate_sums, split_thresholds
 
 
 def validity(scores: Column, y_true: Column, y_pred: Column, classes: Sequence[str]) -> Column:
@@ -153,3 +156,123 @@ def fit_isotonic(df: DataFrame):
     rows = df.groupBy("confidence").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
     rows = rows.withColumn("features", array_to_vector(F.array("confidence")))
     return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(rows)
+
+
+#: Measures of the top label that are resampled.
+MEASURES = ("accuracy", "confidence", "overconfidence", "ece", "mce", "brier", "log_loss")
+
+
+def _terms() -> dict[str, Column]:
+    """What a row adds to each bin."""
+    right, c = (F.col("y_true") == F.col("y_pred")).cast("double"), F.col("confidence")
+    p = F.greatest(F.least(F.when(F.col("y_true") == F.col("y_pred"), c).otherwise(1 - c), F.lit(1 - 1e-15)), F.lit(1e-15))
+    return {"n": F.lit(1.0), "k": right, "s": c, "b": F.pow(c - right, 2), "l": -F.log(p)}
+
+
+def _measured(bins: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., measures) of bins(by..., n, k, s, b, l); null where no row is drawn."""
+    gap = F.abs(F.col("k") - F.col("s"))
+    a = bins.groupBy(*by).agg(*[F.sum(c).alias(c) for c in "nksbl"], F.sum(gap).alias("e"), F.max(ratio(gap, "n")).alias("m"))
+    found = {"accuracy": ratio("k", "n"), "confidence": ratio("s", "n"), "overconfidence": ratio(F.col("s") - F.col("k"), "n"), "ece": ratio("e", "n"), "mce": F.col("m"), "brier": ratio("b", "n"), "log_loss": ratio("l", "n")}
+    return a.select(*by, *[c.alias(k) for k, c in found.items()])
+
+
+def _intervals(measures: DataFrame, names: Sequence[str], confidence: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., measure, estimate, lower, upper, replicates, status) of measures(by..., replicate, names...): type-7 ends over the replicates that have a value."""
+    long = measures.select(*by, "replicate", F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("v")) for k in names])))
+    tail, drawn = (1 - confidence) / 2, F.when(F.col("replicate") > 0, F.col("v"))
+    a = long.groupBy(*by, "measure").agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("v"))).alias("estimate"), F.percentile(drawn, F.lit(tail)).alias("lower"), F.percentile(drawn, F.lit(1 - tail)).alias("upper"), F.count(drawn).alias("replicates"),
+    )  # fmt: skip  # as many values as replicates
+    status = F.when((F.col("replicates") == 0) | F.col("estimate").isNull(), "UNDEFINED").otherwise("DERIVED")
+    return a.select(*by, "measure", q9("estimate").alias("estimate"), q9("lower").alias("lower"), q9("upper").alias("upper"), "replicates", status.alias("status"))
+
+
+def bootstrap_bundle(df: DataFrame, edges: Sequence[float], key: str, replicates: int = 200, seed: int = 31, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., measure, estimate, lower, upper, replicates, status): percentile intervals of every top-label measure.
+
+    Rows are drawn Poisson(1) times in each replicate; the sums of all replicates by bin are gathered in one pass, and
+    every measure is read off them. The key tells rows apart for the draws.
+    """
+    rows = df.withColumn("bin", bin_by_edges(F.col("confidence"), edges))
+    sums = replicate_sums(rows, Draws("counts", seed, replicates), number(seed, F.col(key)), _terms(), [*by, "bin"])
+    return _intervals(_measured(sums.filter("n > 0"), [*by, "replicate"]), MEASURES, confidence, by)
+
+
+def _binned(draws: Draws, edges: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((5, edges.shape[1] + 1, draws.replicates + 1))
+        for batch in batches:
+            for k in range(0, len(batch), STRIP):
+                part = batch.slice(k, STRIP)
+                value = {c: part.column(c).to_numpy(zero_copy_only=False) for c in "nksbl"}
+                drawn = draws.matrix(part.column("x").to_numpy())
+                at = (edges[None, :, :] <= value["s"][:, None, None]).sum(2)  # each replicate has edges of its own
+                for b in range(total.shape[1]):
+                    inside = drawn * (at == b)
+                    for i, c in enumerate("nksbl"):
+                        total[i, b] += value[c] @ inside
+        for b in range(total.shape[1]):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([t[b]], pa.list_(pa.float64())) for t in total)], names=["bin", *"nksbl"])
+
+    return run
+
+
+def bootstrap_bundle_quantile(df: DataFrame, bins: int, key: str, replicates: int = 200, seed: int = 31, confidence: float = 0.95) -> DataFrame:
+    """The same for bins between order statistics of the confidence, worked out anew for each replicate from its drawn counts. Replicates x bins edges reach the driver."""
+    x, draws = number(seed, F.col(key)), Draws("counts", seed, replicates)
+    terms = _terms()
+    rows = ordered(df, "confidence", x, *[c.alias(k) for k, c in terms.items()])
+    ranks = {f"e{k}": F.ceil(F.col("n") * k / bins) for k in range(1, bins)}
+    found = {r["replicate"]: [r[e] for e in ranks] for r in order_statistics(rows, draws, ranks).collect()}
+    edges = np.array([[np.inf if e is None or not 0 < e < 1 else e for e in found.get(r, [None] * (bins - 1))] for r in range(replicates + 1)]).reshape(replicates + 1, bins - 1)
+    arrays = rows.select("x", *terms).mapInArrow(_binned(draws, edges), "bin int, " + ", ".join(f"{c} array<double>" for c in terms))
+    each = arrays.select("bin", F.posexplode(F.arrays_zip(*terms)).alias("replicate", "z")).select("bin", "replicate", "z.*")
+    sums = each.groupBy("bin", "replicate").agg(*[F.sum(c).alias(c) for c in terms])
+    return _intervals(_measured(sums.filter("n > 0"), ["replicate"]), MEASURES, confidence)
+
+
+def calibration_difference(df: DataFrame, edges: Sequence[float], key: str, paired: bool, replicates: int = 200, permutations: int = 199, seed: int = 37, confidence: float = 0.95) -> DataFrame:
+    """(measure, estimate, lower, upper, replicates, status, permutations, p) of b minus a, from df(side, key, ...) with sides a and b.
+
+    Paired: the key names a sample, which both sides must hold (others are left out); replicates draw samples, and
+    the test swaps the two sides within samples. Unpaired: each side is drawn on its own, and the test splits all
+    rows anew. p = (hits + 1) / (permutations + 1), two-sided. Each of the two is one pass over the table.
+    """
+    rows = df.filter(F.col("side").isin("a", "b")).withColumn("bin", bin_by_edges(F.col("confidence"), edges))
+    if paired:
+        both = rows.groupBy(key).agg(F.countDistinct("side").alias("sides")).filter("sides = 2").select(key)
+        rows = rows.join(both, key, "left_semi")
+    rows = kept(rows)
+    terms = _terms()
+    x = number(seed, F.col(key)) if paired else number(seed, F.col("side"), F.col(key))
+
+    def differences(bins: DataFrame) -> DataFrame:
+        side = _measured(bins.filter("n > 0"), ["replicate", "side"])
+        wide = side.groupBy("replicate").agg(*[F.max(F.when(F.col("side") == g, F.col(k))).alias(f"{k}_{g}") for k in MEASURES for g in "ab"])
+        return wide.select("replicate", *[(F.col(f"{k}_b") - F.col(f"{k}_a")).alias(k) for k in MEASURES])
+
+    drawn = replicate_sums(rows, Draws("counts", seed, replicates), x, terms, ["side", "bin"])
+    intervals = _intervals(differences(drawn), MEASURES, confidence)
+    whole = rows.groupBy("side", "bin").agg(*[F.sum(c).alias(f"all_{k}") for k, c in terms.items()])
+    if paired:
+        moved = replicate_sums(rows, Draws("swap", seed + 1, permutations), number(seed + 1, F.col(key)), terms, ["side", "bin"], label=F.lit(False))
+        stay = moved.join(F.broadcast(whole), ["side", "bin"]).select("replicate", "side", "bin", *[(F.col(f"all_{k}") - F.col(k)).alias(k) for k in terms])  # two rows a bin
+        gone = moved.withColumn("side", F.when(F.col("side") == "a", "b").otherwise("a")).select("replicate", "side", "bin", *terms)
+        again = stay.unionByName(gone)
+    else:
+        sizes = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count("*").alias("n")).collect()}
+        n_b, n = sizes.get("b", 0), sum(sizes.values())
+        if not 0 < n_b < n:
+            return intervals.withColumns({"permutations": F.lit(0), "p": F.lit(None).cast("double")})
+        other = number(seed + 1, F.col("side"), F.col(key))
+        moved = replicate_sums(rows, split_thresholds(rows, other, n_b, n, seed + 1, permutations), other, terms, ["bin"], label=F.col("side") == "b")
+        pooled = whole.groupBy("bin").agg(*[F.sum(f"all_{k}").alias(f"all_{k}") for k in terms])
+        met = moved.join(F.broadcast(pooled), "bin")  # a row a bin
+        again = met.select("replicate", F.lit("b").alias("side"), "bin", *terms).unionByName(met.select("replicate", F.lit("a").alias("side"), "bin", *[(F.col(f"all_{k}") - F.col(k)).alias(k) for k in terms]))
+    summed = again.groupBy("replicate", "side", "bin").agg(*[F.sum(k).alias(k) for k in terms]).filter("n > 0.5")
+    long = differences(summed).select("replicate", F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("v")) for k in MEASURES])))
+    point = F.max(F.when(F.col("replicate") == 0, F.abs("v"))).over(Window.partitionBy("measure"))  # as many rows as permutations
+    hits = long.withColumn("point", point).groupBy("measure").agg(F.count_if((F.col("replicate") > 0) & (F.abs("v") >= F.col("point") - 1e-12)).alias("hits"))
+    p = hits.select("measure", F.lit(permutations).alias("permutations"), q9((F.col("hits") + 1) / F.lit(permutations + 1.0)).alias("p"))
+    return intervals.join(p, "measure")

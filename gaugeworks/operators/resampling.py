@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..status import Z95, q9
+from ..status import Z95, q9, ratio
 from . import stats
+from .replicates import Draws, number, order_statistics, ordered, replicate_sums
 
 # Acklam's rational approximation of the normal quantile: fixed values.
 _A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -73,8 +74,15 @@ def bca_interval(df: DataFrame, value: str, replicates: int = 200, seed: int = 7
     cubes = dev.agg(F.sum(F.pow("e", F.lit(3))).alias("s3"), F.sum(F.pow("e", F.lit(2))).alias("s2"))
     draws = means.agg(F.sort_array(F.collect_list("mean")).alias("draws"))  # `replicates` values
     rows = size.crossJoin(cubes).crossJoin(draws)  # one row each
+    return _corrected(rows)
+
+
+def _corrected(rows: DataFrame) -> DataFrame:
+    """Both intervals of rows(n, m, draws, a or s2 and s3): m the estimate, draws sorted, a the acceleration."""
+    if "a" not in rows.columns:
+        rows = rows.withColumn("a", F.try_divide(F.col("s3"), 6 * F.pow("s2", F.lit(1.5))))
     below = F.aggregate("draws", F.lit(0.0), lambda a, x: a + F.when(x < F.col("m") - 1e-12, 1.0).when(x <= F.col("m") + 1e-12, 0.5).otherwise(0.0))
-    rows = rows.withColumn("p0", below / F.size("draws")).withColumn("a", F.try_divide(F.col("s3"), 6 * F.pow("s2", F.lit(1.5))))
+    rows = rows.withColumn("p0", below / F.size("draws"))
     inside = (F.col("p0") > 0) & (F.col("p0") < 1)
     rows = rows.withColumn("z0", F.when(inside, normal_quantile(F.col("p0"))))
     for name, z in (("low", -Z95), ("high", Z95)):
@@ -158,3 +166,67 @@ def interaction_class(contrast: DataFrame, order_effect: DataFrame, least_contra
     return row.select(label.alias("class"), out("").alias("excludes_zero"), F.coalesce(big, F.lit(False)).alias("magnitude_met"), order_out.alias("order_excludes_zero"))
 
 
+
+
+def bootstrap_median(df: DataFrame, value: str, key: str, replicates: int = 200, seed: int = 41) -> DataFrame:
+    """(n, estimate, lower, upper, percentile_lower, percentile_upper, z0, acceleration, status): 95 % intervals of the median.
+
+    Rows are drawn Poisson(1) times in each replicate. A replicate's median is where its drawn counts pass half of
+    their sum, found by sums over ranges and blocks of the ordered values (see replicates.order_statistics). Left out
+    one by one, the values next to the middle give the acceleration: of an even number the two jackknife values are
+    as often one as the other, of an odd number three occur. Fewer than two values are INCONCLUSIVE; where the jackknife is constant,
+    or the estimate lies beyond all replicates, there is no corrected interval (UNDEFINED).
+    """
+    rows = ordered(df, value, number(seed, F.col(key)))
+    half = F.floor(F.col("n") / 2)
+    ranks = {"lo": F.floor((F.col("n") + 1) / 2), "hi": half + 1, "under": half, "over": F.when(F.col("n") >= 3, half + 2).otherwise(0)}
+    found = order_statistics(rows, Draws("counts", seed, replicates), ranks).withColumn("median", (F.col("lo") + F.col("hi")) / 2)
+    draws = found.filter("replicate > 0").agg(F.sort_array(F.collect_list("median")).alias("draws"))  # `replicates` values
+    point = found.filter("replicate = 0").select(F.col("n"), F.col("median").alias("m"), "under", "hi", "over")
+    times = F.col("n") / 2
+    left, mid, right = (F.col("hi") + F.col("over")) / 2, (F.col("under") + F.col("over")) / 2, (F.col("under") + F.col("hi")) / 2
+    parts = F.when(F.col("n") % 2 == 0, F.array(F.struct(F.col("hi").alias("v"), times.alias("c")), F.struct(F.col("under").alias("v"), times.alias("c")))).otherwise(
+        F.array(F.struct(left.alias("v"), ((F.col("n") - 1) / 2).alias("c")), F.struct(mid.alias("v"), F.lit(1.0).alias("c")), F.struct(right.alias("v"), ((F.col("n") - 1) / 2).alias("c")))
+    )
+    total = lambda f: F.aggregate("jack", F.lit(0.0), lambda acc, j: acc + j["c"] * f(j["v"]))
+    rows = point.withColumn("jack", parts).withColumn("mean", total(lambda v: v) / F.col("n"))
+    rows = rows.withColumns({"s2": total(lambda v: F.pow(F.col("mean") - v, 2)), "s3": total(lambda v: F.pow(F.col("mean") - v, 3))})
+    a = F.when(F.col("s2") > 1e-18 * F.greatest(F.lit(1e-300), F.pow("m", F.lit(2))), F.col("s3") / (6 * F.pow("s2", F.lit(1.5))))
+    return _corrected(rows.withColumn("a", a).crossJoin(draws))  # one row each
+
+
+def _resampled(metrics: DataFrame, names: Sequence[str], confidence: float, by: Sequence[str]) -> DataFrame:
+    from .calibration import _intervals
+
+    return _intervals(metrics, names, confidence, by).withColumnRenamed("measure", "metric")
+
+
+def bootstrap_classification(df: DataFrame, key: str, replicates: int = 200, seed: int = 43, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., metric, estimate, lower, upper, replicates, status) of accuracy, balanced accuracy, macro precision, recall and F1.
+
+    All are read off the drawn counts of each pair of true and predicted label: one pass. Rates of a class without rows count as
+    absent in balanced accuracy, as 0 in the macro means over the labels that occur in df.
+    """
+    both = df.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    rows = both.select(*by, F.col("y_true").cast("string").alias("t"), F.col("y_pred").cast("string").alias("p"), F.col(key).alias("__key"))
+    cells = replicate_sums(rows, Draws("counts", seed, replicates), number(seed, F.col("__key")), {"n": F.lit(1.0)}, [*by, "t", "p"])
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0.0)
+    sides = cells.select(*by, "replicate", F.inline(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("true"), F.lit(0.0).alias("said"), hit.alias("hit")), F.struct(F.col("p").alias("label"), F.lit(0.0).alias("true"), F.col("n").alias("said"), F.lit(0.0).alias("hit")))))
+    label = sides.groupBy(*by, "replicate", "label").agg(*[F.sum(c).alias(c) for c in ("true", "said", "hit")])
+    recall, precision = ratio("hit", "true"), ratio("hit", "said")
+    f1 = ratio(2 * F.col("hit"), F.col("true") + F.col("said"))
+    zero = lambda c: F.avg(F.coalesce(c, F.lit(0.0)))
+    found = label.groupBy(*by, "replicate").agg(
+        ratio(F.sum("hit"), F.sum("true")).alias("accuracy"), F.avg(recall).alias("balanced_accuracy"), zero(precision).alias("macro_precision"), zero(recall).alias("macro_recall"), zero(f1).alias("macro_f1"),
+    )
+    return _resampled(found, ("accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1"), confidence, by)
+
+
+def bootstrap_regression(df: DataFrame, key: str, replicates: int = 200, seed: int = 47, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., metric, estimate, lower, upper, replicates, status) of mean absolute and squared error, its root and R²; R² is null where the drawn truths are constant."""
+    t, e = F.col("y_true").cast("double"), F.col("y_pred").cast("double") - F.col("y_true").cast("double")
+    rows = df.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    sums = replicate_sums(rows, Draws("counts", seed, replicates), number(seed, F.col(key)), {"n": F.lit(1.0), "a": F.abs(e), "s": e * e, "t": t, "tt": t * t}, by)
+    spread = F.col("tt") - ratio(F.col("t") * F.col("t"), "n")
+    found = sums.select(*by, "replicate", ratio("a", "n").alias("mae"), ratio("s", "n").alias("mse"), F.sqrt(ratio("s", "n")).alias("rmse"), F.when(spread > 1e-12 * F.col("tt"), 1 - ratio("s", spread)).alias("r2"))
+    return _resampled(found, ("mae", "mse", "rmse", "r2"), confidence, by)
