@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..status import q9, ratio, wilson
 from .ordering import kept
 from .replicates import STRIP, Draws, number, order_statistics, ordered, replicate_sums, split_thresholds
+from .selection import nearest_ranks
 
 
 def validity(scores: Column, y_true: Column, y_pred: Column, classes: Sequence[str]) -> Column:
@@ -41,7 +42,7 @@ def bin_by_edges(c: Column, edges: Sequence[float]) -> Column:
 def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
     """Observed order statistics as edges, equal ones merged; `bins` + 1 numbers reach the driver."""
     at = [k / bins for k in range(1, bins)]
-    row = df.agg(F.expr(f"percentile_disc(0.0) within group (order by {value})").alias("q0"), *[F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"q{i + 1}") for i, p in enumerate(at)]).first()
+    row = nearest_ranks(df, value, {f"q{i + 1}": p for i, p in enumerate(at)}).first()
     inner = sorted({row[f"q{i + 1}"] for i in range(len(at)) if row[f"q{i + 1}"] is not None})
     return [0.0, *[e for e in inner if 0 < e < 1], 1.0]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import normal, uniform
 from ..status import q9, ratio
+from .calibration import hash_split
 
 Fault = Callable[[Column, Column, int], Column]
 
@@ -110,9 +111,8 @@ def occlusion(values: Column, key: Column, side: int, patch: int, seed: int) ->
 
 
 def random_subset(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """Exactly round(share * n) rows, by order of the seeded hash."""
-    n = df.count()
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(int(share * n + 0.5))
+    """Exactly round(share * n) rows, those first in the order of the seeded hash; places are counted by hash prefix, not in one task."""
+    return hash_split(df, key, share, seed).filter("part = 'calibrate'").drop("part")
 
 
 def degradation(df: DataFrame, key: str, measure: str, higher_is_better: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..status import q9, ratio
 from .ordering import running
+from .selection import beside, nearest_ranks, quantiles
 
 
 def _long(df: DataFrame, values: dict[str, Column], n: str = "n") -> DataFrame:
@@ -98,9 +99,10 @@ def regression(df: DataFrame) -> DataFrame:
     """MAE, MSE, RMSE, R2 and median absolute error as (measure, value, n, status)."""
     r = F.col("y_pred") - F.col("y_true")
     agg = df.agg(
-        F.count("*").alias("n"), F.avg(F.abs(r)).alias("mae"), F.avg(r * r).alias("mse"), F.percentile(F.abs(r), F.lit(0.5)).alias("medae"),
+        F.count("*").alias("n"), F.avg(F.abs(r)).alias("mae"), F.avg(r * r).alias("mse"),
         F.sum(r * r).alias("sse"), F.var_pop("y_true").alias("var"),
     )
+    agg = beside(agg, quantiles(df.select(F.abs(r).alias("r")), "r", {"medae": 0.5}).drop("n"))
     r2 = 1 - F.try_divide(F.col("mse"), F.col("var"))
     # large sums: rounded to six significant decimals of a thousand
     return _rounded(_long_raw(agg, {"mae": F.col("mae"), "mse": F.col("mse"), "rmse": F.sqrt("mse"), "r2": r2, "median_absolute_error": F.col("medae")}))
@@ -175,9 +177,9 @@ def calibration_errors(df: DataFrame, bins: int = 10) -> DataFrame:
 def latency(df: DataFrame, value: str) -> DataFrame:
     """(n, total, mean, median, p95, max, throughput); p95 is the nearest rank."""
     agg = df.agg(
-        F.count(value).alias("n"), F.sum(value).alias("total"), F.percentile(value, F.lit(0.5)).alias("median"),
-        F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"), F.max(value).alias("max"),
+        F.count(value).alias("n"), F.sum(value).alias("total"), F.max(value).alias("max"),
     )
+    agg = beside(beside(agg, quantiles(df, value, {"median": 0.5}).drop("n")), nearest_ranks(df, value, {"p95": 0.95}).drop("n"))
     six = lambda c: F.floor(c * 1e6 + 0.5) / F.lit(1e6)
     return agg.select(
         "n", six(F.col("total")).alias("total"), six(ratio("total", "n")).alias("mean"), six(F.col("median")).alias("median"),

@@ -146,24 +146,30 @@ def trial_bootstrap(contrasts: DataFrame, value: str = "contrast", replicates: i
     )
 
 
-def interaction_class(contrast: DataFrame, order_effect: DataFrame, least_contrast: float = 0.0, least_sign: float = 0.9) -> DataFrame:
-    """(class, excludes_zero, magnitude_met, order_excludes_zero): what two trial_bootstrap results allow to say.
+def interaction_class(contrast: DataFrame, order_effect: DataFrame | None = None, contrast_ba: DataFrame | None = None, least_contrast: float = 0.0, least_sign: float = 0.9) -> DataFrame:
+    """(class, excludes_zero, ba_excludes_zero, magnitude_met, order_excludes_zero): what trial_bootstrap results allow to say.
 
-    An order effect counts first, then whether the contrast's interval excludes
+    contrast is that of the cells with A before B, contrast_ba that with B before A; without an order effect
+    order plays no part. An order effect counts first: with either contrast's interval
+    beyond zero the interaction depends on order, with neither it is only possible. Then it counts whether the contrast's interval excludes
     zero with a stable sign and enough magnitude. A threshold of 0 is no
     criterion of magnitude and never suffices alone.
     """
     out = lambda p: F.coalesce((F.col(f"{p}lower") > 0) | (F.col(f"{p}upper") < 0), F.lit(False))
-    o = order_effect.select(*[F.col(c).alias(f"o_{c}") for c in ("estimate", "lower", "upper")])
-    row = contrast.crossJoin(o)  # one row each
+    row = contrast  # one row each
+    for prefix, other in (("o_", order_effect), ("ba_", contrast_ba)):
+        if other is None:
+            row = row.withColumns({f"{prefix}{c}": F.lit(None).cast("double") for c in ("estimate", "lower", "upper")})
+        else:
+            row = row.crossJoin(other.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("estimate", "lower", "upper")]))
     big = (F.abs("estimate") >= least_contrast) & (F.col("estimate") != 0)
-    order_out = out("o_") & (F.col("o_estimate") != 0) & (F.abs("o_estimate") >= least_contrast)
+    order_out = F.coalesce(out("o_") & (F.col("o_estimate") != 0) & (F.abs("o_estimate") >= least_contrast), F.lit(False))
     label = (
-        F.when(F.col("estimate").isNull(), "UNDEFINED").when(F.col("status") != "COMPUTED", "INCONCLUSIVE").when(order_out & out(""), "ORDER_DEPENDENT_INTERACTION")
+        F.when(F.col("estimate").isNull(), "UNDEFINED").when(F.col("status") != "COMPUTED", "INCONCLUSIVE").when(order_out & (out("") | out("ba_")), "ORDER_DEPENDENT_INTERACTION")
         .when(order_out, "POSSIBLE_INTERACTION").when(out("") & big & (F.col("sign_fraction") >= least_sign), "OBSERVED_INTERACTION")
         .when(out("") | (F.lit(least_contrast > 0) & big), "POSSIBLE_INTERACTION").otherwise("NO_EVIDENCE")
     )
-    return row.select(label.alias("class"), out("").alias("excludes_zero"), F.coalesce(big, F.lit(False)).alias("magnitude_met"), order_out.alias("order_excludes_zero"))
+    return row.select(label.alias("class"), out("").alias("excludes_zero"), out("ba_").alias("ba_excludes_zero"), F.coalesce(big, F.lit(False)).alias("magnitude_met"), order_out.alias("order_excludes_zero"))
 
 
 

@@ -62,13 +62,17 @@ def order_statistics(df: DataFrame, value: str, ranks: Mapping[str, Column], by:
     placed = meet(rows, wanted.select(*key).distinct(), "left_semi").withColumn("__at", number.cast("long"))
     found = meet(wanted.withColumnRenamed("rank", "__rank"), placed, "inner").filter("__at = __rank").select(*by, "name", F.col("__v").alias("__value"))
     values = done.unionByName(found).groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col("__value"))).alias(k) for k in ranks])
+    return beside(size.select(*by, "n"), values, by)
+
+
+def beside(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """a with b's other columns: one row a group in each, nulls of a group's name equal."""
     if not by:
-        return size.select("n").join(values, F.lit(True), "left")  # one row each
-    condition = None
+        return a.crossJoin(F.broadcast(b))  # one row each
+    condition = F.lit(True)
     for c in by:
-        one = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-        condition = one if condition is None else condition & one
-    return size.select(*by, "n").alias("a").join(values.alias("b"), condition, "left").drop(*[F.col(f"b.{c}") for c in by])
+        condition = condition & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.alias("a").join(b.alias("b"), condition, "left").drop(*[F.col(f"b.{c}") for c in by])
 
 
 def quantiles(df: DataFrame, value: str, at: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:

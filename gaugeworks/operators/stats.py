@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import q9, ratio, wilson
-from .ordering import running
+from .ordering import kept, running
+from .replicates import Draws, number, replicate_sums, split_thresholds
+from .selection import beside
+from .selection import quantiles as order_quantiles
 
 #: Rearrangements up to which a permutation test is exact.
 EXACT_LIMIT = 50_000
-#: Hexadecimal digits by which the places of a drawn split are counted first.
-PREFIX_DIGITS = 3
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -23,9 +24,10 @@ def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     v = F.col(value).cast("double")
     bad = F.count_if(F.isnan(v) | (F.abs(v) == float("inf")))
     agg = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.var_samp(v).alias("var"), F.min(v).alias("lo"), F.max(v).alias("hi"), bad.alias("bad")
+        F.count(value).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"), F.min(v).alias("lo"), F.max(v).alias("hi"), bad.alias("bad")
     )
     many = F.col("n") > 1
+    agg = beside(agg, order_quantiles(df, value, {"median": 0.5}, by).drop("n"), by)
     return agg.select(
         *by, "n", q9("mean").alias("mean"), q9("median").alias("median"), q9(F.when(many, F.col("var"))).alias("variance"), q9(F.when(many, F.sqrt("var"))).alias("std"),
         q9(F.when(many, F.sqrt(ratio("var", "n")))).alias("se"), q9("lo").alias("min"), q9("hi").alias("max"),
@@ -104,10 +106,16 @@ def bootstrap_means(df: DataFrame, value: str, replicates: int, seed: int, by: S
     return joined.groupBy(*by, "replicate").agg((F.sum(F.col("times") * F.col("v")) / F.first("n")).alias("mean"))
 
 
-def bootstrap_interval(df: DataFrame, value: str, replicates: int = 200, seed: int = 7, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., replicates, lower, upper): percentile interval of the mean, type-7 ends."""
+def bootstrap_interval(df: DataFrame, value: str, key: str, replicates: int = 200, seed: int = 7, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., replicates, lower, upper): percentile interval of the mean, type-7 ends.
+
+    Rows, told apart by key, are drawn Poisson(1) times in each replicate: one pass, without a shuffle of rows.
+    Replicates that draw no row are left out; for a few values bootstrap_means draws exactly as many as there are.
+    """
     tail = (1 - confidence) / 2
-    m = bootstrap_means(df, value, replicates, seed, by)
+    rows = df.filter(F.col(value).isNotNull())
+    sums = replicate_sums(rows, Draws("counts", seed, replicates), number(seed, F.col(key)), {"n": F.lit(1.0), "s": F.col(value)}, by)
+    m = sums.filter("replicate > 0 and n > 0").withColumn("mean", F.col("s") / F.col("n"))
     return m.groupBy(*by).agg(F.count("*").alias("replicates"), q9(F.percentile("mean", F.lit(tail))).alias("lower"), q9(F.percentile("mean", F.lit(1 - tail))).alias("upper"))
 
 
@@ -137,8 +145,8 @@ def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, repl
 
     With at most EXACT_LIMIT splits of the pooled values all of them are tried
     and p = hits / splits. With more, each of `replicates` splits gives group b
-    the n_b values of least md5(seed:replicate:place), found by counting hash
-    prefixes, and p = (hits + 1) / (replicates + 1). Fewer than two values in a group have no p.
+    the n_b values of least draw (see replicates.py; the sums of all splits are one
+    pass), and p = (hits + 1) / (replicates + 1). Fewer than two values in a group have no p.
     """
     values = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
     rows = running(values, ["v", "g"], {"i": F.lit(1).cast("long")})
@@ -153,7 +161,10 @@ def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, repl
         sums = masks.join(F.broadcast(rows.select("i", "v")), F.lit(True)).groupBy("replicate").agg(F.sum(F.when(inside, F.col("v")).otherwise(0.0)).alias("sb"))
         count = math.comb(n, n_b)
     else:
-        sums, count = _drawn_sums(rows, n_b, replicates, seed), replicates
+        rows, x = kept(rows), number(seed, F.col("i"))
+        draws = split_thresholds(rows, x, n_b, n_a + n_b, seed, replicates) if min(n_a, n_b) else Draws("split", seed, replicates, thresholds=[0] * replicates)
+        sums = replicate_sums(rows, draws, x, {"sb": F.col("v")}, label=F.col("g") == b).filter("replicate > 0")
+        count = replicates
     diff = F.col("sb") / F.col("n_b") - (F.col("total") - F.col("sb")) / F.col("n_a")
     hit = F.abs(diff) >= F.abs(F.col("observed")) - 1e-12 * F.greatest(F.lit(1.0), F.abs(F.col("observed")))
     hits = observed.join(sums, F.lit(True), "left").groupBy("n_a", "n_b", "observed").agg(F.count_if(hit).alias("hits"))
@@ -161,24 +172,6 @@ def permutation_test(df: DataFrame, group: str, value: str, a: str, b: str, repl
     return hits.select("n_a", "n_b", q9("observed").alias("observed"), "hits", F.lit(count).alias("replicates"), q9(F.when(F.least("n_a", "n_b") >= 2, p)).alias("p"))
 
 
-def _drawn_sums(rows: DataFrame, take: int, replicates: int, seed: int) -> DataFrame:
-    """(replicate, sb): the sum of the `take` values of least hash in each replicate.
-
-    Values are summed by the hash's first PREFIX_DIGITS hexadecimal digits; only
-    the prefix in which the last place falls is ordered value by value.
-    """
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")))
-    hashed = rows.select("v", "i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("h", h).withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
-    sizes = hashed.groupBy("replicate", "prefix").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
-    before = Window.partitionBy("replicate").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** PREFIX_DIGITS rows
-    sizes = sizes.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    whole = sizes.filter(F.col("start") + F.col("c") <= take).groupBy("replicate").agg(F.sum("s").alias("s"))
-    cut = sizes.filter((F.col("start") < take) & (F.col("start") + F.col("c") > take)).select("replicate", "prefix", "start")
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy("h", "i"))
-    part = hashed.join(cut, ["replicate", "prefix"]).withColumn("place", F.col("start") + place).filter(F.col("place") <= take).groupBy("replicate").agg(F.sum("v").alias("p"))
-    return whole.join(part, "replicate", "full").select("replicate", (F.coalesce("s", F.lit(0.0)) + F.coalesce("p", F.lit(0.0))).alias("sb"))
-
-
 def proportion(df: DataFrame, success: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, k, p, lower, upper, warning) with the 95 % Wilson interval; fewer than ten rows are warned of."""
     a = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(success).alias("k"))
@@ -203,8 +196,8 @@ def benjamini_hochberg(df: DataFrame, family: Sequence[str], key: str, p: str =
 
 def outliers(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """(by..., n, q1, q3, below, above): values beyond k interquartile ranges from the type-7 quartiles."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
-    rows = df.join(F.broadcast(q), list(by)) if by else df.crossJoin(F.broadcast(q))  # one row a group
+    q = kept(order_quantiles(df, value, {"q1": 0.25, "q3": 0.75}, by).drop("n"))  # one row a group
+    rows = df.join(q, list(by)) if by else df.crossJoin(F.broadcast(q))
     reach = k * (F.col("q3") - F.col("q1"))
     a = rows.groupBy(*by, "q1", "q3").agg(F.count(value).alias("n"), F.count_if(F.col(value) < F.col("q1") - reach).alias("below"), F.count_if(F.col(value) > F.col("q3") + reach).alias("above"))
     return a.select(*by, "n", q9("q1").alias("q1"), q9("q3").alias("q3"), "below", "above")
@@ -212,23 +205,24 @@ def outliers(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5)
 
 def mad_outliers(df: DataFrame, value: str, k: float = 3.5) -> DataFrame:
     """(n, median, mad, outliers): 0.6745 |x - median| / mad > k; none where the mad is 0."""
-    med = df.agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    med = kept(order_quantiles(df, value, {"median": 0.5}).select("median"))
     rows = df.select(value).crossJoin(F.broadcast(med)).withColumn("dev", F.abs(F.col(value) - F.col("median")))
-    mad = rows.agg(F.percentile("dev", F.lit(0.5)).alias("mad"))
+    mad = kept(order_quantiles(rows, "dev", {"mad": 0.5}).select("mad"))
     a = rows.crossJoin(F.broadcast(mad)).groupBy("median", "mad").agg(F.count(value).alias("n"), F.count_if((F.col("mad") > 0) & (0.6745 * F.col("dev") > k * F.col("mad"))).alias("outliers"))
     return a.select("n", q9("median").alias("median"), q9("mad").alias("mad"), "outliers")
 
 
 def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., q, value): type-7 quantiles."""
-    a = df.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("qs"))
-    return a.select(*by, F.posexplode("qs").alias("i", "value")).select(*by, F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("q"), q9("value").alias("value"))
+    a = order_quantiles(df, value, {f"q{k}": level for k, level in enumerate(at)}, by)
+    return a.select(*by, F.inline(F.array(*[F.struct(F.lit(level).alias("q"), q9(f"q{k}").alias("value")) for k, level in enumerate(at)])))
 
 
 def lag1(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, n, r1): lag-1 autocorrelation in order; null for fewer than three values or constant ones."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, order, F.col(value).cast("double").alias("v"), F.avg(value).over(w).alias("m"))
-    rows = rows.withColumn("prior", F.lag("v").over(w.orderBy(order)))
+    placed = running(df.select(by, order, F.col(value).cast("double").alias("v")), [order], {"i": F.lit(1).cast("long")}, [by])
+    mean = kept(placed.groupBy(by).agg(F.avg("v").alias("m")))  # a row a group
+    before = placed.select(by, (F.col("i") + 1).alias("i"), F.col("v").alias("prior"))
+    rows = placed.join(before, [by, "i"], "left").join(mean, by)
     a = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum((F.col("v") - F.col("m")) * (F.col("prior") - F.col("m"))).alias("c"), F.sum(F.pow(F.col("v") - F.col("m"), 2)).alias("s"))
     return a.select(by, "n", q9(F.when((F.col("n") >= 3) & (F.col("s") > 0), F.try_divide("c", "s"))).alias("r1"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import frames
 from ..operators import stats as S
+from .draws import weighted, x
 from .evaluation import PB, q9
 
 E = frames.drift_events
@@ -44,7 +45,7 @@ QUERIES = {
     "unpaired_effect": lambda s, d: S.unpaired_effect(E(s, d), "side", "value", "reference", "comparison"),
     "paired_effect": lambda s, d: S.paired_effect(pairs(s, d)),
     "unmatched_trial_keys": lambda s, d: S.unmatched_keys(cell(s, d, "CONTROL").filter("trial_key >= '1993'"), cell(s, d, "B").filter("trial_key < '1998'"), "trial_key"),
-    "bootstrap_interval": lambda s, d: S.bootstrap_interval(frames.pred_bin(s, d).withColumn("right", (F.col("y_true") == F.col("y_pred")).cast("double")), "right"),
+    "bootstrap_interval": lambda s, d: S.bootstrap_interval(frames.pred_bin(s, d).withColumn("right", (F.col("y_true") == F.col("y_pred")).cast("double")), "right", "sample_id"),
     "sign_flip_test": lambda s, d: S.sign_flip_test(pairs(s, d)),
     "wilson_by_lang": lambda s, d: S.proportion(frames.pred_bin(s, d), F.col("y_true") == F.col("y_pred"), ["lang"]),
     "bonferroni": lambda s, d: S.bonferroni(p_values(s, d), ["event_type"]),
@@ -73,8 +74,8 @@ SELECT n_a, n_b, {q9('diff')} AS difference, {q9('diff / abs(m_a)')} AS relative
     "paired_effect": f"WITH {_PAIRS} SELECT count(*) AS n, {q9('avg(y - x)')} AS mean_difference, {q9('stddev_samp(y - x)')} AS std_difference, {q9('avg(y - x) / stddev_samp(y - x)')} AS dz FROM pr",
     "unmatched_trial_keys": f"""WITH {CELLS}, a AS (SELECT DISTINCT trial_key FROM trials WHERE cell = 'CONTROL' AND trial_key >= '1993'), b AS (SELECT DISTINCT trial_key FROM trials WHERE cell = 'B' AND trial_key < '1998')
 SELECT trial_key, 'a' AS only_in FROM a WHERE trial_key NOT IN (SELECT trial_key FROM b) UNION ALL SELECT trial_key, 'b' FROM b WHERE trial_key NOT IN (SELECT trial_key FROM a)""",
-    "bootstrap_interval": f"""WITH {PB}, r AS (SELECT CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END AS v FROM p), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM r),
-dr AS (SELECT rep, {draw(7, 'rep', 'i', 'n')} AS i FROM o, range(200) t(rep)), m AS (SELECT rep, avg(v) AS mean FROM dr JOIN o USING (i) GROUP BY rep)
+    "bootstrap_interval": f"""WITH {PB}, src AS (SELECT CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END AS v, {x(7, 'sample_id')} AS x FROM p), {weighted('src', 'wt', 7, 200)},
+m AS (SELECT replicate, sum(w * v) / sum(w) AS mean FROM wt WHERE replicate > 0 GROUP BY replicate HAVING sum(w) > 0)
 SELECT count(*) AS replicates, {q9('quantile_cont(mean, 0.025)')} AS lower, {q9('quantile_cont(mean, 0.975)')} AS upper FROM m""",
     "sign_flip_test": f"""WITH {_PAIRS}, o AS (SELECT y - x AS dd, row_number() OVER (ORDER BY x, y) - 1 AS i FROM pr), ob AS (SELECT count(*) AS n, avg(dd) AS observed FROM o),
 m AS (SELECT rep, avg(dd * (1 - 2 * ({draw(11, 'rep', 'i', '2')}))) AS m FROM o, range(999) t(rep) GROUP BY rep), h AS (SELECT count(*) FILTER (abs(m) >= abs(observed) - 1e-12) AS hits FROM m, ob)

@@ -9,6 +9,8 @@ from ..operators import calibration as C
 from ..operators import drift as D
 from ..operators import replicates as R
 from ..operators import resampling as B
+from .draws import U as _U
+from .draws import reps, weighted, x
 from .evaluation import PB, PM, PR, q9
 from .inference import DE
 from .resampled import _QUANT, _at, national, phi
@@ -65,29 +67,6 @@ QUERIES = {
 }
 
 
-def _md5(text: str) -> str:
-    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
-
-
-def x(seed: int, *keys: str) -> str:
-    joined = " || ':' || ".join(keys)
-    return f"{_md5(f"'{seed}:' || {joined}")} % {R.PRIME}"
-
-
-def reps(name: str, seed: int, n: int) -> str:
-    """CTE name(replicate, a, b)."""
-    return f"{name} AS (SELECT CAST(rep AS INTEGER) AS replicate, 1 + {_md5(f"'{seed}:a:' || rep")} % {R.PRIME - 1} AS a, {_md5(f"'{seed}:b:' || rep")} % {R.PRIME} AS b FROM range(1, {n + 1}) t(rep))"
-
-
-_U = f"((x * a + b) % {R.PRIME})"
-_W = " + ".join(f"CAST({_U} >= {t} AS INTEGER)" for t in R.poisson_steps())
-
-
-def weighted(rows: str, name: str, seed: int, n: int) -> str:
-    """CTEs name(columns of rows, replicate, w): counts drawn, replicate 0 with 1 for each row."""
-    return f"{reps(f'{name}_r', seed, n)}, {name} AS (SELECT {rows}.*, replicate, {_W} AS w FROM {rows}, {name}_r UNION ALL SELECT {rows}.*, 0, 1 FROM {rows})"
-
-
 def _split(rows: str, seed: int, n: int) -> str:
     """CTE lab(own, x, ..., replicate, l) of rows(own, x, ...)."""
     return f"""{reps('rr', seed, n)}, nb AS (SELECT count(*) FILTER (own) AS n_b, count(*) FILTER (NOT own) AS n_a FROM {rows}),

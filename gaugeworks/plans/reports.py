@@ -152,8 +152,8 @@ def logged(s, d):
 
 
 def manifest(s, d):
-    """The table files of a folder of small tables."""
-    return records.manifest(s, f"{d}/region.parquet").agg(F.count("*").alias("files"), F.count_if((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("sound"))
+    """Every table's files, with their sizes and hashes."""
+    return records.manifest(s, d)
 
 
 def candidates(s, d):
@@ -282,7 +282,6 @@ UNION ALL SELECT 'UNCONFIDENT_SUCCESS', lang, sample_id, confidence, row_number(
     "label_keys": f"""WITH {PB}, k AS (SELECT '"' || lang || '"' AS key FROM p UNION ALL SELECT CAST(y_true AS VARCHAR) FROM p) SELECT key, count(*) AS n FROM k GROUP BY key""",
     "derived_seeds": "SELECT n_nationkey, CAST('0x' || substr(sha256('11:' || length(n_name) || ':' || n_name || ';5:noise;'), 1, 15) AS BIGINT) AS seed FROM nation",
     "prediction_log": f"WITH {PB} SELECT sample_id, CAST(y_true AS INTEGER) AS y_true, CAST(y_pred AS INTEGER) AS y_pred, lang FROM p",
-    "file_manifest": "SELECT 1::BIGINT AS files, 1::BIGINT AS sound",
     "stored_subset": f"WITH {PB} SELECT lang, count(*) AS n FROM p WHERE sample_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang",
     "fault_by_slice": f"WITH {PB}, {_INS}, fl AS (SELECT slice, y_true, CASE WHEN {u(31)} < 0.2 THEN 1 - y_true ELSE y_pred END AS yp FROM ins), {_measures('fl', 'yp')} SELECT * FROM bx WHERE measure = 'accuracy'",
 }

@@ -10,6 +10,7 @@ from ..operators import failures as X
 from ..operators import resampling as B
 from ..operators import slices as L
 from ..operators import stats as S
+from .draws import U, reps, x
 from .evaluation import PB, q9
 from .inference import _PAIRS, CELLS, draw, pairs
 from .slicing import _SL, REAL
@@ -31,11 +32,20 @@ def national(s, d):
     return c.groupBy("n_nationkey", F.col("n_regionkey").cast("string").alias("g")).agg((F.floor(F.avg("c_acctbal") * 1e6 + 0.5) / F.lit(1e6)).alias("v"))
 
 
-def ordered(s, d):
-    """Each ship month's order effect: large lines stand for those that took A first, small ones for B first."""
-    t = frames.table(s, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("trial_key"), "l_discount", (F.col("l_quantity") > 25).alias("many"), "l_returnflag")
-    a = t.filter("l_returnflag = 'R'").groupBy("trial_key").agg(F.avg(F.when(F.col("many"), F.col("l_discount"))).alias("ab"), F.avg(F.when(~F.col("many"), F.col("l_discount"))).alias("ba"))
-    return a.select("trial_key", (F.floor((F.col("ab") - F.col("ba")) * 1e9 + 0.5) / F.lit(1e9)).alias("contrast")).filter("contrast is not null")
+def sequences(s, d):
+    """A user's three days as a unit: which of a click (A) and an error (B) it holds, and which came first; (trial_key, cell, v), a trial being three days of all users."""
+    at = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("ts")))
+    period = F.floor(F.dayofmonth("ts") / 3)
+    unit = frames.table(s, d, "events").groupBy("user_id", period.alias("trial_key")).agg(at("click").alias("a"), at("error").alias("b"), F.avg("value").alias("v"))
+    cell = F.when(F.col("a").isNull() & F.col("b").isNull(), "CONTROL").when(F.col("b").isNull(), "A").when(F.col("a").isNull(), "B").when(F.col("a") <= F.col("b"), "AB").otherwise("BA")
+    return unit.groupBy("trial_key", cell.alias("cell")).agg((F.floor(F.avg("v") * 1e6 + 0.5) / F.lit(1e6)).alias("v"))
+
+
+def ordered(s, d, name="order"):
+    """Each trial's order effect, or its contrast with A first (ab) or B first (ba)."""
+    wide = sequences(s, d).groupBy("trial_key").agg(*[F.max(F.when(F.col("cell") == c, F.col("v"))).alias(c) for c in ("CONTROL", "A", "B", "AB", "BA")])
+    value = F.col("AB") - F.col("BA") if name == "order" else F.col(name.upper()) - F.col("A") - F.col("B") + F.col("CONTROL")
+    return wide.select("trial_key", (F.floor(value * 1e6 + 0.5) / F.lit(1e6)).alias("contrast")).filter("contrast is not null")
 
 
 def contrasts(s, d):
@@ -65,7 +75,7 @@ QUERIES = {
     "slice_inference": slice_tests,
     "trial_bootstrap": lambda s, d: B.trial_bootstrap(contrasts(s, d)),
     "order_effect": lambda s, d: B.trial_bootstrap(ordered(s, d), seed=19),
-    "interaction_class": lambda s, d: B.interaction_class(B.trial_bootstrap(contrasts(s, d)), B.trial_bootstrap(ordered(s, d), seed=19)),
+    "interaction_class": lambda s, d: B.interaction_class(*[B.trial_bootstrap(ordered(s, d, k), seed=seed) for k, seed in (("ab", 17), ("order", 19), ("ba", 23))]),
 }
 
 _ROUND = f"{CELLS}, r AS (SELECT cell, trial_key, floor(discount * 1e9 + 0.5) / 1e9 AS v FROM trials)"
@@ -79,9 +89,9 @@ def _means(source: str, seed: int, replicates: int, name: str) -> str:
 
 def _splits(source: str, a: str, b: str, replicates: int, seed: int) -> str:
     """CTE perm(n_a, n_b, observed, hits) of `source`(g, v)."""
-    return f"""po AS (SELECT g, v, row_number() OVER (ORDER BY v, g) - 1 AS i FROM {source} WHERE g IN ('{a}', '{b}')),
+    return f"""po AS (SELECT g, v, i, {x(seed, 'i')} AS x FROM (SELECT g, v, row_number() OVER (ORDER BY v, g) - 1 AS i FROM {source} WHERE g IN ('{a}', '{b}'))), {reps('pq', seed, replicates)},
 pn AS (SELECT count(*) FILTER (g = '{a}') AS n_a, count(*) FILTER (g = '{b}') AS n_b, avg(v) FILTER (g = '{b}') - avg(v) FILTER (g = '{a}') AS observed, sum(v) AS total FROM po),
-pk AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY md5('{seed}:' || rep || ':' || i), i) AS k FROM po, range({replicates}) t(rep)),
+pk AS (SELECT replicate AS rep, v, rank() OVER (PARTITION BY replicate ORDER BY {U}) AS k FROM pq, po ),
 ps AS (SELECT rep, sum(CASE WHEN k <= n_b THEN v ELSE 0 END) AS sb FROM pk, pn GROUP BY rep),
 perm AS (SELECT n_a, n_b, observed, count(*) FILTER (abs(sb / n_b - (total - sb) / n_a) >= abs(observed) - 1e-12 * greatest(1.0, abs(observed))) AS hits FROM pn, ps GROUP BY ALL)"""
 
@@ -104,8 +114,16 @@ def _at(level: str) -> str:
 _QUANT = f"CASE WHEN p0 < 0.02425 THEN {_poly(B._C, 'sqrt(-2 * ln(p0))')} / {_poly(B._D, 'sqrt(-2 * ln(p0))')} WHEN p0 > 1 - 0.02425 THEN -{_poly(B._C, 'sqrt(-2 * ln(1 - p0))')} / {_poly(B._D, 'sqrt(-2 * ln(1 - p0))')} ELSE (p0 - 0.5) * {_poly(B._A, '((p0 - 0.5) * (p0 - 0.5))')} / {_poly(B._B, '((p0 - 0.5) * (p0 - 0.5))')} END"
 _WIDE = "wd AS (SELECT trial_key, max(discount) FILTER (cell = 'CONTROL') AS y0, max(discount) FILTER (cell = 'A') AS ya, max(discount) FILTER (cell = 'B') AS yb, max(discount) FILTER (cell = 'AB') AS yab FROM trials GROUP BY 1)"
 _CON = f"{CELLS}, {_WIDE}, con AS (SELECT {q9('yab - ya - yb + y0')} AS v FROM wd WHERE yab - ya - yb + y0 IS NOT NULL)"
-_ORD = f"""ot AS (SELECT strftime(l_shipdate, '%Y-%m') AS trial_key, avg(l_discount) FILTER (l_quantity > 25) AS ab, avg(l_discount) FILTER (NOT l_quantity > 25) AS ba FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-ord AS (SELECT floor((ab - ba) * 1e9 + 0.5) / 1e9 AS v FROM ot WHERE ab - ba IS NOT NULL)"""
+_SEQ = """un AS (SELECT user_id, day(ts) // 3 AS trial_key, min(ts) FILTER (event_type = 'click') AS a, min(ts) FILTER (event_type = 'error') AS b, avg(value) AS v FROM events GROUP BY 1, 2),
+ce AS (SELECT trial_key, CASE WHEN a IS NULL AND b IS NULL THEN 'CONTROL' WHEN b IS NULL THEN 'A' WHEN a IS NULL THEN 'B' WHEN a <= b THEN 'AB' ELSE 'BA' END AS cell, floor(avg(v) * 1e6 + 0.5) / 1e6 AS v FROM un GROUP BY 1, 2),
+sw AS (SELECT trial_key, max(v) FILTER (cell = 'CONTROL') AS y0, max(v) FILTER (cell = 'A') AS ya, max(v) FILTER (cell = 'B') AS yb, max(v) FILTER (cell = 'AB') AS yab, max(v) FILTER (cell = 'BA') AS yba FROM ce GROUP BY 1)"""
+
+
+def _seq(name: str, value: str) -> str:
+    return f"{name} AS (SELECT floor(({value}) * 1e6 + 0.5) / 1e6 AS v FROM sw WHERE {value} IS NOT NULL)"
+
+
+_ORD = f"{_SEQ}, {_seq('ord', 'yab - yba')}"
 
 
 def _trial(source: str, seed: int, name: str) -> str:
@@ -119,7 +137,7 @@ def _slice_sql() -> str:
     ctes, rows = [], []
     for k, (name, c) in enumerate(_SL.items()):
         sql = _splits(f"s{k}", "rest", "slice", 99, 5)
-        for t in ("po", "pn", "pk", "ps", "perm"):
+        for t in ("po", "pq", "pn", "pk", "ps", "perm"):
             sql = sql.replace(f"{t} AS (", f"{t}{k} AS (").replace(f"FROM {t}", f"FROM {t}{k}").replace(f", {t} ", f", {t}{k} ")
         sql = sql.replace(f"FROM pk{k}, pn GROUP", f"FROM pk{k}, pn{k} GROUP")
         ctes += [f"s{k} AS (SELECT CASE WHEN {c} THEN 'slice' ELSE 'rest' END AS g, CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM p)", sql]
@@ -156,8 +174,8 @@ SELECT c.n_a, c.n_b, {q9('m_a')} AS mean_a, {q9('m_b')} AS mean_b, {q9('diff')}
     "slice_inference": _slice_sql(),
     "trial_bootstrap": f"WITH {_CON}, {_trial('con', 17, 'tb')} SELECT * FROM tb",
     "order_effect": f"WITH {_ORD}, {_trial('ord', 19, 'ob')} SELECT * FROM ob",
-    "interaction_class": f"""WITH {_CON}, {_ORD}, {_trial('con', 17, 'tb')}, {_trial('ord', 19, 'ob')},
-z AS (SELECT tb.*, tb.lower > 0 OR tb.upper < 0 AS ex, tb.estimate <> 0 AS big, (ob.lower > 0 OR ob.upper < 0) AND ob.estimate <> 0 AS ox FROM tb, ob)
-SELECT CASE WHEN ox AND ex THEN 'ORDER_DEPENDENT_INTERACTION' WHEN ox THEN 'POSSIBLE_INTERACTION' WHEN ex AND big AND sign_fraction >= 0.9 THEN 'OBSERVED_INTERACTION' WHEN ex THEN 'POSSIBLE_INTERACTION' ELSE 'NO_EVIDENCE' END AS class,
-ex AS excludes_zero, big AS magnitude_met, ox AS order_excludes_zero FROM z""",
+    "interaction_class": f"""WITH {_ORD}, {_seq('sab', 'yab - ya - yb + y0')}, {_seq('sba', 'yba - ya - yb + y0')}, {_trial('sab', 17, 'tb')}, {_trial('ord', 19, 'ob')}, {_trial('sba', 23, 'bb')},
+z AS (SELECT tb.*, tb.lower > 0 OR tb.upper < 0 AS ex, bb.lower > 0 OR bb.upper < 0 AS exb, tb.estimate <> 0 AS big, (ob.lower > 0 OR ob.upper < 0) AND ob.estimate <> 0 AS ox FROM tb, ob, bb)
+SELECT CASE WHEN ox AND (ex OR exb) THEN 'ORDER_DEPENDENT_INTERACTION' WHEN ox THEN 'POSSIBLE_INTERACTION' WHEN ex AND big AND sign_fraction >= 0.9 THEN 'OBSERVED_INTERACTION' WHEN ex THEN 'POSSIBLE_INTERACTION' ELSE 'NO_EVIDENCE' END AS class,
+ex AS excludes_zero, exb AS ba_excludes_zero, big AS magnitude_met, ox AS order_excludes_zero FROM z""",
 }

@@ -111,7 +111,7 @@ SELECT fault, trials, {q9('m')} AS mean_delta, {q9('w')} AS worst, CASE WHEN tri
 b AS (SELECT g.vec_id, t.i, sum(g.x) / 9 AS x FROM t JOIN g ON g.i = t.j GROUP BY 1, 2) SELECT vec_id, list({six('x')} ORDER BY i) AS v FROM b GROUP BY vec_id""",
     "image_occlusion": f"""WITH {_U}, k AS (SELECT vec_id, floor({u(6, 'vec_id', ' || ' + repr(':r'))} * 6) AS r, floor({u(6, 'vec_id', ' || ' + repr(':c'))} * 6) AS c FROM embeddings)
 SELECT vec_id, list(CASE WHEN i // 8 >= r AND i // 8 < r + 3 AND i % 8 >= c AND i % 8 < c + 3 THEN 0.0 ELSE {six('x')} END ORDER BY i) AS v FROM u JOIN k USING (vec_id) GROUP BY vec_id""",
-    "random_subset": f"WITH {PB}, r AS (SELECT sample_id, row_number() OVER (ORDER BY md5('8:' || sample_id), sample_id) AS r, count(*) OVER () AS n FROM p) SELECT sample_id FROM r WHERE r <= floor(0.15 * n + 0.5)",
+    "random_subset": f"WITH {PB}, r AS (SELECT sample_id, row_number() OVER (ORDER BY sha256('8:' || sample_id), sample_id) AS r, count(*) OVER () AS n FROM p) SELECT sample_id FROM r WHERE r <= floor(0.15 * n + 0.5)",
     "degradation": f"""WITH {_TR}, g AS (SELECT fault, avg(baseline) AS b, avg(accuracy) AS t FROM tq GROUP BY fault)
 SELECT fault, {q9('b')} AS baseline, {q9('t')} AS treated, {q9('t - b')} AS delta, {q9('(t - b) / abs(b)')} AS relative, {q9('-(t - b)')} AS deterioration, CASE WHEN t < b THEN 'DETERIORATED' WHEN t > b THEN 'IMPROVED' ELSE 'UNCHANGED' END AS change FROM g""",
     "output_stability": f"""WITH {PB}, x AS (SELECT score, y_pred, {_DROP} AS s2 FROM p), y AS (SELECT *, CASE WHEN s2 >= 0.5 THEN 1 ELSE 0 END AS p2 FROM x)
