@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import q9, ratio
 from .graph import components
+from .ordering import kept
 
 
 def confusion_signals(df: DataFrame, run: str, threshold: float = 0.15) -> DataFrame:
@@ -31,23 +33,78 @@ def signature(kind: Column, label: Column, predicted: Column, band: Column) -> C
     return F.concat_ws("|", kind, F.concat(F.lit("class="), label), F.concat(F.lit("pred="), predicted), F.concat(F.lit("sev="), band.cast("string")))
 
 
-def similar_pairs(signals: DataFrame, key: str, block: Sequence[str], features: Sequence[tuple[str, float]], threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs within a block whose weighted share of equal features reaches the threshold.
+def _alike(features: Sequence[Feature]) -> Column:
+    """Weighted mean of the features' likenesses, of columns l_<name> and r_<name>; a feature that both lack doesn't count, one that one lacks counts 0."""
+    parts, weights = [], []
+    for f in features:
+        l, r = F.col(f"l_{f.column}"), F.col(f"r_{f.column}")
+        if f.kind == "equal":
+            s = (l == r).cast("double")
+        elif f.kind == "number":
+            top = F.greatest(F.abs(l), F.abs(r))
+            s = F.when(top == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.abs(l - r), top)))
+        else:
+            s = F.when(F.size(F.array_union(l, r)) == 0, 1.0).otherwise(F.size(F.array_intersect(l, r)) / F.size(F.array_union(l, r)))
+        parts.append(F.when(l.isNotNull() & r.isNotNull(), s * f.weight).otherwise(0.0))
+        weights.append(F.when(l.isNotNull() | r.isNotNull(), F.lit(f.weight)).otherwise(0.0))
+    return F.try_divide(sum(parts[1:], parts[0]), sum(weights[1:], weights[0]))
 
-    Blocks are small by construction (class and predicted label); a block beyond
-    the pair budget is meant to be grouped by signature instead.
+
+@dataclass(frozen=True)
+class Feature:
+    """What two signals are compared by: kind "equal" (1 or 0), "number" (1 - difference / larger) or "set" (shared / all members of an array)."""
+
+    column: str
+    weight: float
+    kind: str = "equal"
+
+
+def prefix(features: Sequence[Feature], threshold: float, distinct: Mapping[str, int]) -> list[Feature]:
+    """The fewest features of "equal" kind, those of most distinct values first, of which a pair that reaches the threshold shares one.
+
+    Pairs that share none of them lose their weights, and with these more than the threshold leaves. Empty if
+    the others' weight alone can reach it.
     """
-    cols = [key, *block, *[f for f, _ in features]]
-    left = signals.select(*[F.col(c).alias(f"l_{c}") for c in cols])
-    right = signals.select(*[F.col(c).alias(f"r_{c}") for c in cols])
-    same = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in block]
-    condition = F.col(f"l_{key}") < F.col(f"r_{key}")
-    for c in same:
-        condition = condition & c
-    pairs = left.join(right, condition)
-    weight = sum(w for _, w in features)
-    score = sum((F.when(F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}")), w).otherwise(0.0) for f, w in features), F.lit(0.0)) / weight
-    return pairs.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), q9(score).alias("similarity")).filter(F.col("similarity") >= threshold)
+    every, out = sum(f.weight for f in features), []
+    for f in sorted((f for f in features if f.kind == "equal"), key=lambda f: (-distinct[f.column], f.column)):
+        out.append(f)
+        if sum(g.weight for g in out) > (1 - threshold) * every + 1e-12:
+            return out
+    return []
+
+
+def similar_pairs(signals: DataFrame, key: str, block: Sequence[str], features: Sequence[Feature], threshold: float, budget: int = 1_000_000) -> DataFrame:
+    """(a, b, similarity, exact): signals of a block whose likeness reaches the threshold.
+
+    Signals equal in block and all features are taken as one, the least key, to which the others are linked; pairs are sought
+    between these. A pair that reaches the threshold shares one of the prefix's features (see prefix), so that only signals with a
+    common value of one meet, in the first such feature; where the threshold leaves no prefix, all of a block meet.
+    A block in which more than `budget` pairs would meet isn't compared: its signals are linked by equal signature
+    alone, which is what equal ones have been, and exact is false for them. Null features that both lack don't count.
+    """
+    columns = [f.column for f in features]
+    text = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    named = signals.select(F.col(key).alias("__key"), text(block).alias("block"), text([*block, *dict.fromkeys(columns)]).alias("signature"), *[F.col(c).alias(f"f_{c}") for c in dict.fromkeys(columns)])
+    groups = named.groupBy("signature", "block").agg(F.min("__key").alias("rep"), F.count("*").alias("copies"), *[F.first(f"f_{c}").alias(c) for c in dict.fromkeys(columns)])
+    groups = kept(groups)
+    copies = groups.filter("copies > 1").select("signature", F.col("rep").alias("a"), "block")
+    equal = named.select("signature", F.col("__key").alias("b")).join(copies, "signature").filter("a != b")
+    countable = [f.column for f in features if f.kind == "equal"]
+    distinct = groups.agg(*[F.count_distinct(c).alias(c) for c in dict.fromkeys(countable)]).first() if countable else {}
+    chosen = prefix(features, threshold, distinct.asDict() if countable else {})
+    if chosen:
+        spread = groups.select("*", F.posexplode(F.array(*[F.coalesce(F.concat(F.lit("="), F.col(f.column).cast("string")), F.lit("")) for f in chosen])).alias("nth", "value"))  # nulls meet as well
+    else:
+        spread = groups.select("*", F.lit(0).alias("nth"), F.lit("").alias("value"))
+    met = spread.groupBy("block", "nth", "value").agg(F.count("*").alias("n"))
+    over = kept(met.groupBy("block").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).filter(F.col("pairs") > budget).select("block", F.lit(True).alias("over")))
+    some = spread.join(over, "block", "left_anti")
+    side = lambda p: some.select("block", "nth", "value", F.col("rep").alias(f"{p}_rep"), *[F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys(columns)])
+    pairs = side("l").join(side("r"), ["block", "nth", "value"]).filter("l_rep < r_rep")
+    for k, f in enumerate(chosen):  # an earlier feature of the prefix has the pair
+        pairs = pairs.filter((F.col("nth") <= k) | ~F.col(f"l_{f.column}").eqNullSafe(F.col(f"r_{f.column}")))
+    scored = pairs.select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"), q9(_alike(features)).alias("similarity"), F.lit(True).alias("exact")).filter(F.col("similarity") >= threshold)
+    return scored.unionByName(equal.join(over, "block", "left").select("a", "b", F.lit(1.0).alias("similarity"), F.col("over").isNull().alias("exact")))
 
 
 def clusters(signals: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -56,6 +113,32 @@ def clusters(signals: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return signals.select(F.col(key).alias("node")).distinct().join(linked, "node", "left").select(F.col("node").alias(key), F.coalesce("component", "node").alias("cluster"))
 
 
+def cluster_stability(signals: DataFrame, pairs: DataFrame, key: str, threshold: float, delta: float = 0.1) -> DataFrame:
+    """(cluster, size, finer, coarser, stability): how far each cluster holds when the threshold moves by delta either way.
+
+    pairs must go down to threshold - delta. Clusters of a higher threshold lie within those of a lower one, so the
+    graph is contracted step by step, from the highest threshold down: each step joins clusters, not signals, by the links it adds. Of
+    the clusters within a cluster the largest has the best Jaccard overlap, its share; of those around it there is one. stability is
+    the worse of the two.
+    """
+    steps = [min(1.0, threshold + delta), threshold, max(0.0, threshold - delta)]
+    label = signals.select(F.col(key).alias("node")).distinct().withColumn("c0", F.col("node"))
+    last = "c0"
+    for k, t in enumerate(steps, 1):
+        now = label.select("node", F.col(last).alias("c"))
+        links = pairs.filter(F.col("similarity") >= t - 1e-12).select("a", "b")
+        moved = links.join(now.select(F.col("node").alias("a"), F.col("c").alias("src")), "a").join(now.select(F.col("node").alias("b"), F.col("c").alias("dst")), "b")
+        joined = components(moved.select("src", "dst").distinct())
+        label = kept(label.join(joined.select(F.col("node").alias(last), "component"), last, "left").withColumn(f"c{k}", F.coalesce("component", last)).drop("component"))
+        last = f"c{k}"
+    own = label.groupBy(F.col("c2").alias("cluster"), F.col("c3").alias("around")).agg(F.count("*").alias("size"))
+    inner = label.groupBy(F.col("c2").alias("cluster"), "c1").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max("n").alias("inner"))
+    outer = label.groupBy(F.col("c3").alias("around")).agg(F.count("*").alias("outer"))
+    found = own.join(inner, "cluster").join(outer, "around")
+    finer, coarser = ratio("inner", "size"), ratio("size", "outer")
+    return found.select("cluster", "size", q9(finer).alias("finer"), q9(coarser).alias("coarser"), q9(F.least(finer, coarser)).alias("stability"))
+
+
 def cluster_measures(signals: DataFrame, by: Sequence[str], run: str, magnitude: str, samples: str, total_runs: int) -> DataFrame:
     """(by..., signals, runs, prevalence, mean_magnitude, worst, samples).
 

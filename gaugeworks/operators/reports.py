@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import q9, ratio, wilson
-from .metrics import ranked_counts, roc_auc
+from .metrics import ranked_counts
 from .ordering import kept, running
+from .selection import beside, quantiles
+
+#: Slices that are compared pair by pair.
+MAX_SLICES = 1000
 
 
 def one_against_rest(df: DataFrame, classes: Sequence[str]) -> DataFrame:
     """(label, n_pos, n_neg, auc, ap) of each class's score in df(y_true, scores); null without both kinds, and without positives."""
     each = F.arrays_zip(F.array(*map(F.lit, classes)).alias("label"), F.col("scores").alias("score"))
     rows = df.select("y_true", F.explode(each).alias("x")).select("x.label", "x.score", (F.col("y_true") == F.col("x.label")).alias("is"))
-    auc = roc_auc(rows, "score", F.col("is"), ["label"])
-    counts = running(ranked_counts(rows, "score", F.col("is"), ["label"]), [F.desc("score")], {"tp": F.col("pos"), "seen": F.col("pos") + F.col("neg")}, ["label"])
-    gain = F.col("pos") * (F.col("tp") + F.col("pos")) / (F.col("seen") + F.col("pos") + F.col("neg"))
-    ap = counts.groupBy("label").agg(F.sum(gain).alias("gain"), F.sum("pos").alias("k")).select("label", q9(ratio("gain", "k")).alias("ap"))
-    return auc.join(F.broadcast(ap), "label")  # a row a class
+    counts = ranked_counts(rows, "score", F.col("is"), ["label"])
+    placed = running(counts, ["score"], {"below": F.col("neg"), "under": F.col("pos") + F.col("neg"), "fewer": F.col("pos")}, ["label"])
+    total = kept(counts.groupBy("label").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")))  # a row a class
+    met = placed.join(F.broadcast(total), "label")
+    rank = F.col("pos") * (F.col("below") + F.col("neg") / 2)
+    # from the highest score down to this one: what is not under it
+    gain = F.col("pos") * ratio(F.col("n_pos") - F.col("fewer"), F.col("n_pos") + F.col("n_neg") - F.col("under"))
+    a = met.groupBy("label", "n_pos", "n_neg").agg(F.sum(rank).alias("rank"), F.sum(gain).alias("gain"))
+    return a.select("label", "n_pos", "n_neg", q9(ratio("rank", F.col("n_pos") * F.col("n_neg"))).alias("auc"), q9(ratio("gain", "n_pos")).alias("ap"))
 
 
 def macro_one_against_rest(df: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -84,8 +93,11 @@ def slice_pairs(members: DataFrame, measure: str) -> DataFrame:
 
     Groups that share samples are compared in words only: UNDEFINED, as a test of
     independent groups would be invalid. Shared samples are counted by a sample's
-    list of slices, never by joining slices with each other.
+    list of slices, never by joining slices with each other. All pairs of slices are
+    the result, so that more than MAX_SLICES of them are refused.
     """
+    if members.select("slice").distinct().limit(MAX_SLICES + 1).count() > MAX_SLICES:
+        raise ValueError(f"more than {MAX_SLICES} slices")
     size = members.groupBy("slice").agg(F.count("*").alias("n"), F.avg(measure).alias("m"))  # a row a slice
     lists = members.groupBy("id").agg(F.sort_array(F.collect_set("slice")).alias("s")).filter(F.size("s") > 1)  # at most as many as there are slices
     both = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
@@ -214,3 +226,96 @@ def resource_summary(df: DataFrame, group: str, trial: str, seconds: str, refere
 def top_by(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """df with rank: the k first rows of each group. Spark limits each task's groups before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What makes a finding: a measure on one side of a threshold. comparison is '>', '>=' or '<'."""
+
+    name: str
+    severity: str
+    measure: str
+    comparison: str
+    threshold: float
+
+
+# The rules' names, severities, comparisons and usual thresholds.
+RULES = (
+    Rule("class-imbalance", "NOTICE", "imbalance_ratio", ">=", 3.0),
+    Rule("minority-recall", "WARNING", "minority_recall", "<", 0.5),
+    Rule("ece-threshold", "WARNING", "ece", ">", 0.10),
+    Rule("high-confidence-errors", "WARNING", "high_confidence_error_rate", ">", 0.05),
+    Rule("r2-floor", "WARNING", "r2", "<", 0.5),
+    Rule("latency-outlier", "NOTICE", "latency_ratio", ">", 5.0),
+    Rule("slice-accuracy-drop", "WARNING", "accuracy_drop", ">", 0.10),
+    Rule("slice-accuracy-drop", "WARNING", "f1_drop", ">", 0.10),
+    Rule("slice-error-increase", "WARNING", "mae_increase", ">", 0.25),
+    Rule("slice-error-increase", "WARNING", "rmse_increase", ">", 0.25),
+)
+
+
+def with_thresholds(rules: Sequence[Rule], **thresholds: float) -> list[Rule]:
+    """The rules with other thresholds, given by measure."""
+    return [replace(r, threshold=thresholds.get(r.measure, r.threshold)) for r in rules]
+
+
+def findings(measures: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(rule, severity, affected, measure, observed, comparison, threshold) of measures(affected, measure, value), one row for each rule that a value meets.
+
+    Rules are a small stated list, not code: each row of measures is held against the rules of its measure. Values that are null or NaN, and measures without a rule, find nothing.
+    """
+    named = measures.filter("value is not null and not isnan(value)")
+    hit = lambda r: {">": F.col("value") > r.threshold, ">=": F.col("value") >= r.threshold, "<": F.col("value") < r.threshold}[r.comparison]
+    none = F.lit(None).cast("struct<rule:string,severity:string,comparison:string,threshold:double>")
+    said = [F.when((F.col("measure") == r.measure) & hit(r), F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.comparison).alias("comparison"), F.lit(float(r.threshold)).alias("threshold"))).otherwise(none) for r in rules]
+    each = named.select("affected", "measure", "value", F.explode(F.array_compact(F.array(*said))).alias("r"))
+    return each.select("r.rule", "r.severity", "affected", "measure", q9("value").alias("observed"), "r.comparison", "r.threshold")
+
+
+def long_measures(df: DataFrame, affected: Column, **values: Column) -> DataFrame:
+    """(affected, measure, value): a row for each value."""
+    return df.select(affected.alias("affected"), F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("value")) for k, v in values.items()])))
+
+
+def classification_measures(df: DataFrame, slices: str, sure: float = 0.9, bins: int = 10, minimum: int = 10) -> DataFrame:
+    """(affected, measure, value) of a binary predictor df(y_true, y_pred, confidence, <slices>): what the findings' rules ask for.
+
+    One pass: counts by class, prediction, bin and slice, of which all measures are sums. Slices of fewer than `minimum` rows have no
+    drop. The minority is the class of fewest rows, of equal ones the least label; one class alone has neither imbalance nor minority.
+    """
+    b = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))
+    wrong = F.col("y_true") != F.col("y_pred")
+    cells = kept(df.groupBy("y_true", "y_pred", b.alias("bin"), F.col(slices).alias("slice")).agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.count_if(wrong & (F.col("confidence") >= sure)).alias("sure")))
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
+    classes = cells.groupBy("y_true").agg(F.sum("n").alias("n"), F.sum(hit).alias("k"))
+    per_class = classes.agg(F.count("*").alias("classes"), ratio(F.max("n"), F.min("n")).alias("imbalance"), F.min_by(ratio("k", "n"), F.struct("n", "y_true")).alias("recall"), F.min_by("y_true", F.struct("n", "y_true")).alias("label"))
+    several = F.col("classes") > 1
+    out = long_measures(per_class, F.lit("overall"), imbalance_ratio=F.when(several, F.col("imbalance")))
+    out = out.unionByName(long_measures(per_class, F.concat(F.lit("class:"), F.col("label").cast("string")), minority_recall=F.when(several, F.col("recall"))))
+    by_bin = cells.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(hit).alias("k"), F.sum("c").alias("c"), F.sum("sure").alias("sure"))
+    whole = by_bin.agg(ratio(F.sum(F.abs(F.col("k") - F.col("c"))), F.sum("n")).alias("ece"), ratio(F.sum("sure"), F.sum("n")).alias("sure"))
+    out = out.unionByName(long_measures(whole, F.lit("overall"), ece=F.col("ece"), high_confidence_error_rate=F.col("sure")))
+    count = lambda t, p: F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n")).otherwise(0))
+    f1 = ratio(2 * count(1, 1), 2 * count(1, 1) + count(0, 1) + count(1, 0))
+    level = cells.groupingSets([("slice",), ()], "slice").agg(F.grouping("slice").alias("all"), F.sum("n").alias("n"), ratio(F.sum(hit), F.sum("n")).alias("accuracy"), f1.alias("f1"))
+    base = level.filter("all = 1").select(F.col("accuracy").alias("a0"), F.col("f1").alias("f0"))
+    each = level.filter(f"all = 0 and n >= {minimum}").crossJoin(F.broadcast(base))  # base is one row
+    return out.unionByName(long_measures(each, F.concat(F.lit("slice:"), F.coalesce(F.col("slice").cast("string"), F.lit("null"))), accuracy_drop=F.col("a0") - F.col("accuracy"), f1_drop=F.col("f0") - F.col("f1")))
+
+
+def regression_measures(df: DataFrame, slices: str, minimum: int = 10) -> DataFrame:
+    """(affected, measure, value) of a regressor df(y_true, y_pred, <slices>): R² and each slice's relative increase of mean absolute error and root mean square over the whole. One pass."""
+    e = F.col("y_pred") - F.col("y_true")
+    level = df.groupingSets([(slices,), ()], slices).agg(F.grouping(slices).alias("all"), F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop("y_true").alias("var"))
+    level = kept(level.withColumnRenamed(slices, "slice"))
+    base = level.filter("all = 1")
+    out = long_measures(base, F.lit("overall"), r2=1 - F.try_divide(F.col("mse"), F.col("var")))
+    whole = base.select(F.col("mae").alias("a0"), F.sqrt("mse").alias("r0"))
+    each = level.filter(f"all = 0 and n >= {minimum}").crossJoin(F.broadcast(whole))  # one row
+    return out.unionByName(long_measures(each, F.concat(F.lit("slice:"), F.coalesce(F.col("slice").cast("string"), F.lit("null"))), mae_increase=ratio(F.col("mae") - F.col("a0"), "a0"), rmse_increase=ratio(F.sqrt("mse") - F.col("r0"), "r0")))
+
+
+def latency_measures(df: DataFrame, value: str, minimum: int = 5) -> DataFrame:
+    """(affected, measure, value): the slowest batch over the median one, with at least `minimum` batches and a median above 0."""
+    a = beside(df.agg(F.max(value).alias("most")), quantiles(df, value, {"median": 0.5}))
+    return long_measures(a, F.lit("overall"), latency_ratio=F.when((F.col("n") >= minimum) & (F.col("median") > 0), F.col("most") / F.col("median")))

@@ -29,8 +29,8 @@ def signals(s, d):
     return x.withColumn("band", band).withColumn("signal", key).withColumn("signature", X.signature(F.col("kind"), F.col("class_label"), F.col("predicted_label"), band))
 
 
-def pairs(s, d):
-    return X.similar_pairs(signals(s, d), "signal", ["class_label", "predicted_label"], [("kind", 1.0), ("band", 2.0)], 0.8)
+def pairs(s, d, threshold=0.8):
+    return X.similar_pairs(signals(s, d), "signal", ["class_label", "predicted_label"], [X.Feature("kind", 1.0), X.Feature("band", 2.0), X.Feature("magnitude", 3.0, "number")], threshold)
 
 
 def node(s, name):
@@ -48,7 +48,8 @@ QUERIES = {
     "recall_signals": lambda s, d: X.recall_signals(by_nation(s, d), "run"),
     "signal_signatures": lambda s, d: signals(s, d).groupBy("signature").agg(F.count("*").alias("n"), F.min("run").alias("first_run")),
     "similar_signals": lambda s, d: pairs(s, d),
-    "signal_clusters": lambda s, d: X.clusters(signals(s, d), pairs(s, d), "signal"),
+    "signal_clusters": lambda s, d: X.clusters(signals(s, d), pairs(s, d, 0.95), "signal"),
+    "cluster_stability": lambda s, d: X.cluster_stability(signals(s, d), pairs(s, d, 0.93), "signal", 0.95, 0.02),
     "cluster_measures": lambda s, d: X.cluster_measures(signals(s, d), ["signature"], "run", "magnitude", "samples", 25),
     "mode_cooccurrence": lambda s, d: X.cooccurrence(signals(s, d), "signature", "run"),
     "strongest_signal": lambda s, d: X.strongest(signals(s, d), "run", "magnitude", "signal"),
@@ -83,7 +84,16 @@ _CS = f"""{_BN}, cc AS (SELECT run, y_true, y_pred, count(*) AS samples FROM bn
 cs AS (SELECT run, 'CONFUSION_PAIR' AS kind, y_true AS class_label, y_pred AS predicted_label, {q9('m')} AS magnitude, samples FROM cm WHERE y_true <> y_pred AND m >= 0.1),
 sg AS (SELECT *, CASE WHEN magnitude >= 0.2 THEN 2 WHEN magnitude >= 0.12 THEN 1 ELSE 0 END AS band, lpad(CAST(run AS VARCHAR), 2, '0') || '|' || class_label || '|' || predicted_label AS signal FROM cs),
 ss AS (SELECT *, kind || '|class=' || class_label || '|pred=' || predicted_label || '|sev=' || band AS signature FROM sg)"""
-_PAIR = f"{_CS}, pp AS (SELECT l.signal AS a, r.signal AS b FROM ss l JOIN ss r ON l.class_label = r.class_label AND l.predicted_label = r.predicted_label AND l.signal < r.signal AND l.band = r.band)"
+_PAIR = f"""{_CS}, rp AS (SELECT *, min(signal) OVER (PARTITION BY class_label, predicted_label, kind, band, magnitude) AS rep FROM ss),
+pp AS (SELECT l.signal AS a, r.signal AS b, {q9('(1 + CASE WHEN l.band = r.band THEN 2 ELSE 0 END + 3 * (1 - abs(l.magnitude - r.magnitude) / greatest(l.magnitude, r.magnitude))) / 6')} AS similarity FROM rp l JOIN rp r ON l.class_label = r.class_label AND l.predicted_label = r.predicted_label AND l.signal < r.signal WHERE l.rep = l.signal AND r.rep = r.signal
+UNION ALL SELECT rep, signal, 1.0::DOUBLE FROM rp WHERE rep <> signal)"""
+
+
+def _reach(name: str, at: float) -> str:
+    """CTE name(signal, c): least signal that links of this similarity reach."""
+    return f"{name}l AS (SELECT a, b FROM pp WHERE similarity >= {at} - 1e-12 UNION ALL SELECT b, a FROM pp WHERE similarity >= {at} - 1e-12), {name}r AS (SELECT signal, signal AS o FROM ss UNION SELECT r.signal, l.b FROM {name}r r JOIN {name}l l ON l.a = r.o), {name} AS (SELECT signal, min(o) AS c FROM {name}r GROUP BY signal)"
+
+
 _G = """ed AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst, 'has_nation' AS relation FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'has_customer' FROM customer
 UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'has_supplier' FROM supplier UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'placed' FROM orders)"""
 _WIDE = f"{CELLS}, w AS (SELECT trial_key, max(discount) FILTER (cell = 'CONTROL') AS y0, max(discount) FILTER (cell = 'A') AS ya, max(discount) FILTER (cell = 'B') AS yb, max(discount) FILTER (cell = 'AB') AS yab FROM trials GROUP BY 1)"
@@ -93,8 +103,11 @@ SQL = {
     "confusion_signals": f"WITH {_CS} SELECT * FROM cs",
     "recall_signals": f"WITH {_BN}, a AS (SELECT run, y_true, count(*) AS n, count(*) FILTER (y_true = y_pred) AS k FROM bn GROUP BY ALL) SELECT run, 'PER_CLASS_RECALL_LOW' AS kind, y_true AS class_label, {q9('1 - k / n')} AS magnitude, n - k AS samples FROM a WHERE k / n < 0.8",
     "signal_signatures": f"WITH {_CS} SELECT signature, count(*) AS n, min(run) AS first_run FROM ss GROUP BY signature",
-    "similar_signals": f"WITH {_PAIR} SELECT a, b, 1.0::DOUBLE AS similarity FROM pp",
-    "signal_clusters": f"WITH {_CS} SELECT signal, min(signal) OVER (PARTITION BY class_label, predicted_label, band) AS cluster FROM ss",
+    "similar_signals": f"WITH {_PAIR} SELECT a, b, similarity, TRUE AS exact FROM pp WHERE similarity >= 0.8",
+    "signal_clusters": f"WITH RECURSIVE {_PAIR}, {_reach('mid', 0.95)} SELECT signal, c AS cluster FROM mid",
+    "cluster_stability": f"""WITH RECURSIVE {_PAIR}, {_reach('hi', 0.97)}, {_reach('mid', 0.95)}, {_reach('lo', 0.93)}, j AS (SELECT mid.c AS cluster, hi.c AS ch, lo.c AS cl FROM mid JOIN hi USING (signal) JOIN lo USING (signal)),
+i AS (SELECT cluster, max(n) AS inn FROM (SELECT cluster, ch, count(*) AS n FROM j GROUP BY 1, 2) GROUP BY 1), o AS (SELECT cl, count(*) AS out FROM j GROUP BY 1), z AS (SELECT cluster, any_value(cl) AS cl, count(*) AS size FROM j GROUP BY 1)
+SELECT cluster, size, {q9('inn / size')} AS finer, {q9('size / out')} AS coarser, {q9('least(inn / size, size / out)')} AS stability FROM z JOIN i USING (cluster) JOIN o USING (cl)""",
     "cluster_measures": f"WITH {_CS} SELECT signature, count(*) AS signals, count(DISTINCT run) AS runs, {q9('count(DISTINCT run) / 25.0')} AS prevalence, {q9('avg(magnitude)')} AS mean_magnitude, {q9('max(magnitude)')} AS worst, CAST(sum(samples) AS BIGINT) AS samples FROM ss GROUP BY signature",
     "mode_cooccurrence": f"""WITH {_CS}, m AS (SELECT DISTINCT signature AS m, run AS r FROM ss), z AS (SELECT m, count(*) AS n FROM m GROUP BY m), j AS (SELECT x.m AS a, y.m AS b, count(*) AS shared FROM m x JOIN m y ON x.r = y.r AND x.m < y.m GROUP BY ALL)
 SELECT a, b, shared AS "both", za.n + zb.n - shared AS either, {q9('shared / (za.n + zb.n - shared)')} AS jaccard FROM j JOIN z za ON za.m = a JOIN z zb ON zb.m = b""",

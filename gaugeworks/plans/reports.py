@@ -74,21 +74,17 @@ def sources(s, d):
     return M.accuracy(P(s, d), ["source"]).select("source", "accuracy", "n")
 
 
+def priced(s, d):
+    """The weak predictor of line prices, with the lines' return flags as slices."""
+    lines, part = T(s, d, "lineitem"), T(s, d, "part")
+    j = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return j.select("l_returnflag", F.col("l_extendedprice").alias("y_true"), (F.col("l_quantity") * F.col("p_retailprice") * F.when(F.col("l_returnflag") == "R", 1.3).otherwise(1.0)).alias("y_pred"))
+
+
 def findings(s, d):
-    """Rules over measures of one predictor; each finding names what was observed and the threshold."""
-    p = P(s, d)
-    balance = p.groupBy("y_true").agg(F.count("*").alias("n")).agg((F.max("n") / F.min("n")).alias("v"))
-    recall = p.groupBy("y_true").agg(F.count("*").alias("n"), F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("r")).agg(F.min_by("r", F.struct("n", "y_true")).alias("v"))
-    bins = p.groupBy(F.least(F.floor(F.col("confidence") * 10), F.lit(9))).agg(F.count("*").alias("n"), F.sum((F.col("y_true") == F.col("y_pred")).cast("double")).alias("k"), F.sum("confidence").alias("c"))
-    ece = bins.agg((F.sum(F.abs(F.col("k") - F.col("c"))) / F.sum("n")).alias("v"))
-    sure = p.agg((F.count_if((F.col("y_true") != F.col("y_pred")) & (F.col("confidence") >= 0.9)) / F.count("*")).alias("v"))
-    by_lang = p.groupBy("lang").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("a"))
-    gap = by_lang.agg((F.max("a") - F.min("a")).alias("v"))
-    out = None
-    for rule, severity, frame, threshold, above in (("class-imbalance", "NOTICE", balance, 1.2, True), ("minority-recall", "WARNING", recall, 0.7, False), ("ece-threshold", "WARNING", ece, 0.1, True), ("high-confidence-errors", "WARNING", sure, 0.02, True), ("slice-gap", "NOTICE", gap, 0.05, True)):
-        row = frame.filter(F.col("v") > threshold if above else F.col("v") < threshold).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), Q9("v").alias("observed"), F.lit(threshold).alias("threshold"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All rules over a classifier by language, a regressor by return flag and events as batches, with thresholds that some of these measures meet."""
+    m = R.classification_measures(P(s, d), "lang").unionByName(R.regression_measures(priced(s, d), "l_returnflag")).unionByName(R.latency_measures(T(s, d, "events"), "value"))
+    return R.findings(m, R.with_thresholds(R.RULES, imbalance_ratio=1.2, minority_recall=0.7, high_confidence_error_rate=0.02, accuracy_drop=0.01, f1_drop=0.01, r2=0.99, mae_increase=0.05, rmse_increase=0.05))
 
 
 def known_nodes(s, d):
@@ -257,10 +253,20 @@ SELECT scope, count(*) AS n, count(*) FILTER (hit) AS affected, {q9('avg(CASE WH
 SELECT level, count(*) AS nodes, min(node) AS first FROM m GROUP BY level""",
     "leaderboard": f"""WITH {PB}, a AS (SELECT source, {q9(f'avg({_RIGHT})')} AS accuracy, count(*) AS n FROM p GROUP BY source), k AS (SELECT source, rank() OVER (ORDER BY accuracy DESC) AS rank FROM a WHERE n >= 5)
 SELECT source, accuracy, n, rank, CASE WHEN n < 5 THEN 'EXCLUDED: coverage' ELSE 'INCLUDED' END AS status FROM a LEFT JOIN k USING (source)""",
-    "findings": f"""WITH {PB}, c AS (SELECT y_true, count(*) AS n, avg({_RIGHT}) AS r FROM p GROUP BY y_true), b AS (SELECT count(*) AS n, sum({_RIGHT}) AS k, sum(confidence) AS c FROM p GROUP BY least(floor(confidence * 10), 9)), l AS (SELECT avg({_RIGHT}) AS a FROM p GROUP BY lang),
-f AS (SELECT 'class-imbalance' AS rule, 'NOTICE' AS severity, (SELECT max(n) / min(n) FROM c) AS v, 1.2::DOUBLE AS threshold, TRUE AS above UNION ALL SELECT 'minority-recall', 'WARNING', (SELECT r FROM c ORDER BY n, y_true LIMIT 1), 0.7, FALSE
-UNION ALL SELECT 'ece-threshold', 'WARNING', (SELECT sum(abs(k - c)) / sum(n) FROM b), 0.1, TRUE UNION ALL SELECT 'high-confidence-errors', 'WARNING', (SELECT count(*) FILTER (y_true <> y_pred AND confidence >= 0.9) / count(*) FROM p), 0.02, TRUE
-UNION ALL SELECT 'slice-gap', 'NOTICE', (SELECT max(a) - min(a) FROM l), 0.05, TRUE) SELECT rule, severity, {q9('v')} AS observed, threshold FROM f WHERE CASE WHEN above THEN v > threshold ELSE v < threshold END""",
+    "findings": f"""WITH {PB}, c AS (SELECT y_true, count(*) AS n, avg({_RIGHT}) AS r FROM p GROUP BY y_true), b AS (SELECT count(*) AS n, sum({_RIGHT}) AS k, sum(confidence) AS c FROM p GROUP BY least(floor(confidence * 10), 9)),
+sl AS (SELECT lang AS slice, count(*) AS n, avg({_RIGHT}) AS a, 2 * count(*) FILTER (y_true = 1 AND y_pred = 1) / nullif(2 * count(*) FILTER (y_true = 1 AND y_pred = 1) + count(*) FILTER (y_true <> y_pred), 0) AS f FROM p GROUP BY GROUPING SETS ((lang), ())),
+s1 AS (SELECT x.slice, o.a - x.a AS da, o.f - x.f AS df FROM sl x, sl o WHERE o.slice IS NULL AND x.slice IS NOT NULL AND x.n >= 10),
+rg AS (SELECT l_returnflag AS slice, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - avg(e * e) / var_pop(t) AS r2 FROM (SELECT l_returnflag, l_extendedprice AS t, l_quantity * p_retailprice * CASE WHEN l_returnflag = 'R' THEN 1.3 ELSE 1.0 END - l_extendedprice AS e FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY GROUPING SETS ((l_returnflag), ())),
+s2 AS (SELECT x.slice, x.mae / o.mae - 1 AS dm, x.rmse / o.rmse - 1 AS dr FROM rg x, rg o WHERE o.slice IS NULL AND x.slice IS NOT NULL AND x.n >= 10),
+f AS (SELECT 'class-imbalance' AS rule, 'NOTICE' AS severity, 'overall' AS affected, 'imbalance_ratio' AS measure, (SELECT max(n) / min(n) FROM c) AS v, '>=' AS comparison, 1.2::DOUBLE AS threshold
+UNION ALL SELECT 'minority-recall', 'WARNING', (SELECT 'class:' || y_true FROM c ORDER BY n, y_true LIMIT 1), 'minority_recall', (SELECT r FROM c ORDER BY n, y_true LIMIT 1), '<', 0.7
+UNION ALL SELECT 'ece-threshold', 'WARNING', 'overall', 'ece', (SELECT sum(abs(k - c)) / sum(n) FROM b), '>', 0.1
+UNION ALL SELECT 'high-confidence-errors', 'WARNING', 'overall', 'high_confidence_error_rate', (SELECT count(*) FILTER (y_true <> y_pred AND confidence >= 0.9) / count(*) FROM p), '>', 0.02
+UNION ALL SELECT 'r2-floor', 'WARNING', 'overall', 'r2', (SELECT r2 FROM rg WHERE slice IS NULL), '<', 0.99
+UNION ALL SELECT 'latency-outlier', 'NOTICE', 'overall', 'latency_ratio', (SELECT max(value) / median(value) FROM events), '>', 5.0
+UNION ALL SELECT 'slice-accuracy-drop', 'WARNING', 'slice:' || slice, 'accuracy_drop', da, '>', 0.01 FROM s1 UNION ALL SELECT 'slice-accuracy-drop', 'WARNING', 'slice:' || slice, 'f1_drop', df, '>', 0.01 FROM s1
+UNION ALL SELECT 'slice-error-increase', 'WARNING', 'slice:' || slice, 'mae_increase', dm, '>', 0.05 FROM s2 UNION ALL SELECT 'slice-error-increase', 'WARNING', 'slice:' || slice, 'rmse_increase', dr, '>', 0.05 FROM s2)
+SELECT rule, severity, affected, measure, {q9('v')} AS observed, comparison, threshold FROM f WHERE CASE comparison WHEN '>' THEN v > threshold WHEN '>=' THEN v >= threshold ELSE v < threshold END""",
     "profile_comparison": f"""WITH {PB}, a AS ({_acc(0)}), b AS ({_acc(1)}) SELECT source, a.value AS a, b.value AS b, CASE WHEN a.status = 'COMPUTED' AND b.status = 'COMPUTED' THEN {q9('b.value - a.value')} END AS difference,
 CASE WHEN b.status IS NULL THEN 'ONLY_IN_A' WHEN a.status IS NULL THEN 'ONLY_IN_B' WHEN NOT (a.status = 'COMPUTED' AND b.status = 'COMPUTED') THEN 'NOT_COMPARABLE' WHEN a.value = b.value THEN 'EQUAL' ELSE 'DIFFERENT' END AS relation FROM a FULL JOIN b USING (source)""",
     "resource_comparison": f"""WITH t AS (SELECT event_type, day(ts) AS d, count(*) / sum(value) AS r FROM events GROUP BY 1, 2), g AS (SELECT event_type, count(*) AS trials, avg(r) AS m, stddev_samp(r) AS s FROM t GROUP BY 1)
