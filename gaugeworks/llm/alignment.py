@@ -60,7 +60,7 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        self.encoder.first, self.encoder.rest = {}, {}
+        self.encoder.clear()
         self.known: dict[str, int] = {}
         self.texts: list[bytes] = []
         self.links: list[bytes] = []
@@ -101,7 +101,6 @@ class Aligner:
         return Aligned(good, n_a, n_b, texts, b[j] * self.a_size + a[i], bounds)
 
     def learn(self, new: list[str]) -> None:
-        self.encoder.learn(self.encoder.rest, set(new), " ")
         found = self.align([f" {p}" for p in new], [self.encoder.rest[p] for p in new], self.pieces.encode(new, num_threads=1))
         self.known |= dict(zip(new, range(len(self.texts), len(self.texts) + len(new))))
         self.texts += found.texts

@@ -36,6 +36,16 @@ def pack(ids: list[int]) -> bytes:
     return PACKERS[n](*ids) if n < 16 else struct.pack(f"<{n}I", *ids)
 
 
+class Pieces(dict):
+    """Ids by piece; a piece that isn't there is encoded, with `before` before it, when it is first asked for."""
+
+    def __init__(self, coder: PieceEncoder, before: str):
+        self.coder, self.before = coder, before
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.coder.add(self, piece)
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece between single spaces once.
 
@@ -57,8 +67,7 @@ class PieceEncoder:
         self.space, self.ends = self.shown[32], {}
         self.line = pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.unsafe = regex.compile(r"(?:\s|^) (?:\s|$)")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.clear()
 
     def plain(self, memo: dict[str, bytes], before: str, piece: str) -> bytes | None:
         """Ids of letters with full stops and commas behind them: one word of the pre-tokenizer, with the
@@ -66,7 +75,7 @@ class PieceEncoder:
         word = piece.rstrip(".,")
         if not word.isalpha():
             return None
-        if (ids := memo.get(word)) is None:
+        if (ids := memo.get(word)) is None:  # get() doesn't add
             shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.shown)
             memo[word] = ids = pack([t.id for t in self.tokenizer.model.tokenize(self.space + shown if before else shown)])
         if len(word) < len(piece):
@@ -75,20 +84,23 @@ class PieceEncoder:
             memo[piece] = ids = ids + tail
         return ids
 
-    def learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = pieces.difference(memo)
-        plain, line = self.plain, self.line
-        for piece in new:
-            if "\n" in piece:
-                head, *tails = piece.split("\n")
-                parts = [plain(memo, before, head), *(plain(self.first, "", t) for t in tails)]
-                if None not in parts:
-                    memo[piece] = line.join(parts)
-            else:
-                plain(memo, before, piece)
-        rest = [p for p in new if p not in memo]
-        for piece, e in zip(rest, self.tokenizer.encode_batch([before + p for p in rest], add_special_tokens=False)):
-            memo[piece] = pack(e.ids)
+    def add(self, memo: Pieces, piece: str) -> bytes:
+        """Ids of a piece that memo doesn't have yet, and has from then on."""
+        ids = None
+        if "\n" in piece:
+            head, *tails = piece.split("\n")
+            parts = [self.plain(memo, memo.before, head), *(self.plain(self.first, "", t) for t in tails)]
+            if None not in parts:
+                ids = self.line.join(parts)
+        else:
+            ids = self.plain(memo, memo.before, piece)
+        if ids is None:
+            ids = pack(self.tokenizer.encode(memo.before + piece, add_special_tokens=False).ids)
+        memo[piece] = ids
+        return ids
+
+    def clear(self) -> None:
+        self.first, self.rest = Pieces(self, ""), Pieces(self, " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -102,13 +114,11 @@ class PieceEncoder:
             elif t:
                 split.append((i, t.split(" ")))
         if len(self.rest) + len(self.first) > MEMO:
-            self.first, self.rest = {}, {}
-        firsts = [p.pop(0) for _, p in split]
-        self.learn(self.first, set(firsts), "")
-        self.learn(self.rest, set().union(*(p for _, p in split)), " ")
-        get = self.rest.__getitem__
-        for f, (i, p) in zip(firsts, split):
-            out[i] = self.first[f] + b"".join(map(get, p))
+            self.clear()
+        first, get = self.first, self.rest.__getitem__
+        for i, p in split:
+            head = p.pop(0)
+            out[i] = first[head] + b"".join(map(get, p))
         for i in whole:
             e = self.tokenizer.encode(texts[i], add_special_tokens=False)
             out[i] = np.array(e.ids, "<u4").tobytes()
