@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import q9, ratio, wilson
-from .ordering import kept
+from .ordering import kept, running
 from .replicates import STRIP, Draws, number, order_statistics, ordered, replicate_sums, split_thresholds
 from .selection import nearest_ranks
 
@@ -149,14 +149,67 @@ def apply_platt(c: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(a * F.log(p / (1 - p)) + b)))
 
 
-def fit_isotonic(df: DataFrame):
-    """A monotone map from confidence to correctness; equal confidences are pooled before the fit."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import IsotonicRegression
+def _pooled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pool adjacent violators of one ordered range: a stack of blocks (sum, weight, lo, hi) whose means ascend."""
+    stack: list[list[float]] = []
+    for batch in batches:
+        for block in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "lo", "hi"))):
+            k, n, lo, hi = block
+            while stack and stack[-1][0] * n >= k * stack[-1][1]:
+                k0, n0, lo, _ = stack.pop()
+                k, n = k + k0, n + n0
+            stack.append([k, n, lo, hi])
+    for at in range(0, len(stack), 10_000):
+        columns = list(zip(*stack[at : at + 10_000]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], names=["k", "n", "lo", "hi"])
 
-    rows = df.groupBy("confidence").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    rows = rows.withColumn("features", array_to_vector(F.array("confidence")))
-    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(rows)
+
+def fit_isotonic(df: DataFrame) -> DataFrame:
+    """(k, n, lo, hi): blocks of confidence with ascending shares k / n of right rows: the monotone map of df(confidence, y_true, y_pred).
+
+    Rows of equal confidence are pooled first. Each range of the order pools its own violators into a stack of blocks; where
+    the last block of a range isn't below the first of the next, blocks are put in fewer ranges and pooled again, until all ascend: pooling in
+    any order comes to the same blocks, and there are fewer in every round. Blocks of equal means are one. No rows give no blocks.
+    """
+    right = (F.col("y_true") == F.col("y_pred")).cast("double")
+    rows = df.filter("confidence is not null and not isnan(confidence)").withColumn("right", right).filter("right is not null")
+    blocks = kept(rows.groupBy(F.col("confidence").cast("double").alias("lo")).agg(F.sum("right").alias("k"), F.count("*").cast("double").alias("n")).select("k", "n", "lo", F.col("lo").alias("hi")))
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    while True:
+        placed = blocks.repartitionByRange(ranges, "lo").sortWithinPartitions("lo")
+        blocks = kept(placed.mapInArrow(_pooled, "k double, n double, lo double, hi double").withColumn("range", F.spark_partition_id()))
+        ends = blocks.groupBy("range").agg(F.min_by(F.struct("k", "n"), "lo").alias("first"), F.max_by(F.struct("k", "n"), "lo").alias("last"), F.min("lo").alias("lo"))  # a row a range
+        next_first = F.lead("first").over(Window.orderBy("lo"))
+        torn = ends.withColumn("next", next_first).filter(F.col("last.k") * F.col("next.n") >= F.col("next.k") * F.col("last.n")).limit(1).count()
+        blocks = blocks.drop("range")
+        if not torn:
+            return blocks
+        ranges = max(1, ranges // 2)
+
+
+#: Cells of [0, 1] by which rows meet the knots next to them.
+MAP_CELLS = 4096
+
+
+def apply_isotonic(df: DataFrame, blocks: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """df with calibrated: the blocks' means at their ends and straight lines between, constant beyond the first and last.
+
+    Neighbouring knots make intervals; these and the rows meet by cells of [0, 1], an interval in each cell that it touches. Without blocks, and
+    for a confidence that is null or NaN, calibrated is null.
+    """
+    knots = blocks.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"), ratio("k", "n").alias("y"))
+    placed = running(knots, ["x"], {}, following={"x1": "x", "y1": "y"})
+    ends = knots.agg(F.min("x").alias("first"), F.min_by("y", "x").alias("y_first"), F.max("x").alias("last"), F.max_by("y", "x").alias("y_last"))  # one row
+    cell = lambda c: F.least(F.greatest(F.floor(c * MAP_CELLS), F.lit(0)), F.lit(MAP_CELLS - 1))
+    spans = placed.filter("x1 is not null").withColumn("__cell", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x1")))))
+    rows = df.withColumn("__c", F.when(~F.isnan(F.col(confidence).cast("double")), F.col(confidence).cast("double"))).withColumn("__id", F.monotonically_increasing_id())
+    rows = kept(rows)
+    met = rows.select("__id", "__c", cell(F.col("__c")).alias("__cell")).join(spans, "__cell").filter((F.col("x") <= F.col("__c")) & (F.col("__c") < F.col("x1")))
+    line = met.select("__id", (F.col("y") + (F.col("y1") - F.col("y")) * (F.col("__c") - F.col("x")) / (F.col("x1") - F.col("x"))).alias("__y"))
+    out = rows.join(line, "__id", "left").crossJoin(F.broadcast(ends))
+    value = F.when(F.col("__c") <= F.col("first"), F.col("y_first")).when(F.col("__c") >= F.col("last"), F.col("y_last")).otherwise(F.col("__y"))
+    return out.withColumn("calibrated", value).select(*df.columns, "calibrated")
 
 
 #: Measures of the top label that are resampled.

@@ -32,9 +32,10 @@ def damaged(s, d):
 
 
 def isotonic(s, d):
-    model = C.fit_isotonic(P(s, d))
-    b, v = model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
-    return s.createDataFrame([(float(x), float(y)) for x, y in zip(b, v)], "confidence double, calibrated double")
+    """The map fitted on even samples, at the others' confidences."""
+    p = P(s, d)
+    blocks = C.fit_isotonic(p.filter("sample_id % 2 = 0"))
+    return C.apply_isotonic(p.filter("sample_id % 2 != 0").select("sample_id", "confidence"), blocks).select("sample_id", q("calibrated").alias("calibrated"))
 
 
 def platt(s, d):
@@ -113,6 +114,11 @@ SELECT label, n, positives, CASE WHEN positives >= 10 THEN {q9('e / n')} END AS
     "score_entropy": f"""WITH {PM}, u AS (SELECT sample_id, unnest(scores) AS p FROM p), r AS (SELECT sample_id, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS h, max(p) AS m1, (list_sort(list(p), 'DESC'))[2] AS m2 FROM u GROUP BY sample_id)
 SELECT sample_id, {q9('h')} AS entropy, {q9('h / ln(5)')} AS normalized, {q9('m1 - m2')} AS margin FROM r""",
     "hash_split": f"WITH {PB}, r AS (SELECT sample_id, row_number() OVER (ORDER BY sha256('5:' || sample_id), sample_id) AS r, count(*) OVER () AS n FROM p) SELECT sample_id, CASE WHEN r <= floor(0.3 * n + 0.5) THEN 'calibrate' ELSE 'test' END AS part FROM r",
+    "isotonic_regression": f"""WITH {PB}, g AS (SELECT confidence AS x, sum({_RIGHT}) AS k, count(*) AS n FROM p WHERE sample_id % 2 = 0 GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(k) OVER w AS ck, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT j.i AS j, e.i AS e, (e.ck - j.ck + j.k) / (e.cn - j.cn + j.n) AS a FROM o j JOIN o e ON e.i >= j.i), l AS (SELECT j, e, min(a) OVER (PARTITION BY j ORDER BY e DESC ROWS UNBOUNDED PRECEDING) AS low FROM m),
+f AS (SELECT e AS i, max(low) AS y FROM l GROUP BY e), kn AS (SELECT o.x, f.y FROM o JOIN f USING (i)), t AS (SELECT sample_id, confidence AS c FROM p WHERE sample_id % 2 <> 0),
+z AS (SELECT sample_id, c, max(x) FILTER (x <= c) AS x0, max(y) FILTER (x <= c) AS y0, min(x) FILTER (x > c) AS x1, min(y) FILTER (x > c) AS y1 FROM t, kn GROUP BY 1, 2)
+SELECT sample_id, {q9('CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (c - x0) / (x1 - x0) END')} AS calibrated FROM z""",
     "slice_membership": "WITH " + PB + ", n AS (SELECT count(*) AS n FROM p) "
     + " UNION ALL ".join(f"SELECT '{k}' AS slice, count(*) FILTER ({c}) AS members, count(*) FILTER (({c}) IS NULL) AS unknown, count(*) AS n, {q9(f'count(*) FILTER ({c}) / count(*)')} AS prevalence, 'COMPUTED' AS status FROM p" for k, c in _SL.items())
     + " UNION ALL SELECT 'wrong_kind', 0, n, n, 0.0, 'EMPTY' FROM n UNION ALL SELECT 'absent_field', 0, n, n, 0.0, 'MISSING_FIELD' FROM n",

@@ -114,13 +114,36 @@ def graded(spark, points):
     return spark.createDataFrame([(c, r, 1) for c, r in points], "confidence double, y_true int, y_pred int")
 
 
-def test_isotonic_equals_pooled_violators(spark):
-    draw = random.Random(3)
-    points = [(draw.randint(1, 19) / 20, int(draw.random() < 0.4)) for _ in range(150)]
-    model = calibration.fit_isotonic(graded(spark, points))
+@pytest.mark.parametrize("seed, ranges", [(3, 1), (4, 4), (5, 9), (6, 40)])
+def test_isotonic_equals_pooled_violators(spark, seed, ranges):
+    draw = random.Random(seed)
+    points = [(draw.randint(1, 99) / 100, int(draw.random() < 0.4)) for _ in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        blocks = calibration.fit_isotonic(graded(spark, points))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     want = plain_isotonic(points)
-    for c, v in zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()):
-        assert v == pytest.approx(want[c], abs=1e-9)
+    got = {c: r["k"] / r["n"] for r in blocks.collect() for c in want if r["lo"] <= c <= r["hi"]}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_a_falling_curve_is_one_block_and_is_applied(spark):
+    points = [(k / 200, int(k < 100)) for k in range(1, 200)]
+    blocks = calibration.fit_isotonic(graded(spark, points))
+    assert [(r["n"], r["lo"], r["hi"]) for r in blocks.collect()] == [(199, 0.005, 0.995)]
+    rows = spark.createDataFrame([(1, 0.0), (2, 0.3), (3, 1.0), (4, None), (5, float("nan"))], "id int, confidence double")
+    got = {r["id"]: r["calibrated"] for r in calibration.apply_isotonic(rows, blocks).collect()}
+    assert got == {1: pytest.approx(99 / 199), 2: pytest.approx(99 / 199), 3: pytest.approx(99 / 199), 4: None, 5: None}
+    none = calibration.fit_isotonic(graded(spark, []))
+    assert none.count() == 0 and [r["calibrated"] for r in calibration.apply_isotonic(rows, none).collect()] == [None] * 5
+
+
+def test_between_knots_the_map_is_a_straight_line(spark):
+    blocks = calibration.fit_isotonic(graded(spark, [(0.2, 0), (0.4, 1), (0.4, 0), (0.8, 1)]))
+    rows = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.4,), (0.5,), (0.9,)], "confidence double")
+    got = [r["calibrated"] for r in calibration.apply_isotonic(rows, blocks).orderBy("confidence").collect()]
+    assert got == pytest.approx([0, 0, 0.25, 0.5, 0.625, 1])
 
 
 def plain_platt(points):
