@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import framed
 from ..status import q9, ratio, wilson
+from .ordering import kept
 
 TOKENS = ("", "n/a", "na", "null", "none", "nan")
 
@@ -158,10 +159,38 @@ def temporal_order(reference: DataFrame, comparison: DataFrame, key: str) -> Dat
     return out.withColumn("status", F.when(F.col("not_after") + F.col("not_before") > 0, "WARNING").otherwise("PASS"))
 
 
+#: Words of an item by which documents that may hold it are found, and items of fewer than three words, which are looked for in every document.
+ANCHOR, SHORT_ITEMS = 8, 1000
+
+
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, documents): documents that contain an item's text whole. items is a small stated set, broadcast."""
-    hit = docs.select("doc_id", "text").join(F.broadcast(items.select("item_id", F.col("text").alias("needle"))), F.contains(F.col("text"), F.col("needle")))
-    return hit.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
+    """(item_id, documents): documents that contain an item's text whole.
+
+    All words of an item but its first and last stand in such a document as they are, between spaces. The first ANCHOR of these (or
+    as many as there are) are its anchor; runs of as many words of the documents meet it by their hash, and only what meets is compared whole. Items
+    without such words are compared with every document; more than SHORT_ITEMS of them are refused. Empty items and null texts are nowhere.
+    """
+    needles = items.filter("text is not null and text != ''").select("item_id", F.col("text").alias("needle"), F.split("text", " ").alias("w"))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    needles = kept(needles.withColumn("anchor", F.slice(inner, 1, ANCHOR)).withColumn("k", F.size("anchor")).select("item_id", "needle", "k", F.xxhash64("anchor").alias("h")))
+    lengths = [r["k"] for r in needles.select("k").distinct().collect()]  # at most ANCHOR + 1
+    short = needles.filter("k = 0")
+    if short.limit(SHORT_ITEMS + 1).count() > SHORT_ITEMS:
+        raise ValueError(f"more than {SHORT_ITEMS} items of fewer than three words")
+    texts = docs.filter("text is not null").select("doc_id", "text")
+    hits = texts.join(F.broadcast(short.select("item_id", "needle")), F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id")
+    longer = [k for k in lengths if k]
+    if longer:
+        words = texts.withColumn("w", F.split("text", " "))
+
+        def runs_of(k: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.slice("w", i, k)).alias("h")))
+
+        none = F.array().cast("array<struct<k:int,h:bigint>>")
+        every = F.array_distinct(F.flatten(F.array(*[F.when(F.size("w") >= k, runs_of(k)).otherwise(none) for k in longer])))
+        met = words.select("doc_id", "text", F.inline(every)).join(needles.filter("k > 0"), ["k", "h"])
+        hits = hits.unionByName(met.filter(F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id"))
+    return hits.distinct().groupBy("item_id").agg(F.count("doc_id").alias("documents"))
 
 
 def overall(findings: DataFrame) -> DataFrame:

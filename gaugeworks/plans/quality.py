@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import frames
 from ..operators import data_quality as Q
+from ..operators import quality_rules as R
 from .evaluation import q9
 from .shift import _wilson
 
@@ -35,7 +36,32 @@ def events_side(s, d, side):
     return frames.drift_events(s, d).filter(F.col("side") == side)
 
 
+TARGET = "t"
+
+
+def targets(s, d):
+    """Order status as a target: some missing, some numbers, one infinite, one class of its own."""
+    i = F.col("o_orderkey")
+    t = F.when(i % 41 == 0, F.lit(None)).when(i % 43 == 0, "7").when(i == 5, "inf").when(i == 6, "odd").otherwise(F.col("o_orderstatus"))
+    return T(s, d, "orders").select("o_orderkey", t.alias(TARGET), F.when(i % 47 == 0, "n/a").when(i % 5 == 0, F.concat(F.lit("k"), (i - 1).cast("string"))).otherwise(F.concat(F.lit("k"), i.cast("string"))).alias("key"), "o_orderpriority")
+
+
+def rules(s, d):
+    p = planted(s, d)
+    parts = (
+        R.missing_rules(p, KINDS, 0.05, 0.4), R.identifier_rules(targets(s, d), "key", ["o_orderpriority"]),
+        R.categorical_rules(p, KINDS, {"lang": ["en", "de", "fr"]}, 0.06, 100), R.distribution_rules(p.withColumn("none", F.lit(None).cast("string")), KINDS | {"none": "NUMERIC"}, 2.0, 0.45, 3),
+        R.target_rules(targets(s, d), TARGET, 0.02, 5, 0.05, ["O", "F", "P", "7"]),
+    )
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 QUERIES = {
+    "quality_rules": rules,
+    "quality_statuses": lambda s, d: R.statuses(rules(s, d), {"missingness": "RUN", "identifiers": "RUN", "categorical": "RUN", "distribution": "RUN", "target": "RUN", "target_leakage": "UNAVAILABLE", "group_comparison": "NOT_APPLICABLE", "duplicates": "RUN"}),
     "cell_classification": lambda s, d: Q.cells(planted(s, d), KINDS),
     "missingness": lambda s, d: Q.missingness(planted(s, d), KINDS, 0.05),
     "missing_patterns": lambda s, d: Q.missing_patterns(planted(s, d), KINDS),
@@ -65,7 +91,69 @@ cl AS (SELECT doc_id, feature, CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'n/
 _MISS = f"""{_PL}, m AS (SELECT feature, count(*) AS n, count(*) FILTER (class = 'missing') AS missing FROM cl GROUP BY feature),
 mi AS (SELECT feature, n, missing, {q9('missing / n')} AS rate, {q9(_wilson('missing', 'n', False))} AS lower, {q9(_wilson('missing', 'n', True))} AS upper, CASE WHEN missing / n > 0.05 THEN 'FAIL' ELSE 'PASS' END AS status FROM m)"""
 
+_MISS = lambda c: f"({c} IS NULL OR lower(trim({c})) IN ('', 'n/a', 'na', 'null', 'none', 'nan'))"
+_NUM = lambda c: f"regexp_full_match(lower(trim({c})), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?')"
+_INF = lambda c: f"regexp_full_match(lower(trim({c})), '[+-]?inf(inity)?')"
+
+
+def _v(check: str, subject: str, rule: str, level: str, affected: str, observed: str | None, configured: float | None, source: str) -> str:
+    return f"SELECT '{check}' AS \"check\", {subject} AS subject, '{rule}' AS rule, '{level}' AS level, CAST({affected} AS BIGINT) AS affected, {q9(observed) if observed else 'NULL::DOUBLE'} AS observed, {f'{configured}::DOUBLE' if configured is not None else 'NULL::DOUBLE'} AS configured FROM {source}"
+
+
+def _rules_sql() -> str:
+    f = list(KINDS)
+    lacking = " + ".join(f"CAST({_MISS(c)} AS INTEGER)" for c in f)
+    ctes = [_PLANTED, "mi AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({_MISS(c)}) AS k, count(*) AS n FROM pl" for c in f) + ")", f"mr AS (SELECT count(*) AS n, count(*) FILTER (({lacking}) / 4 > 0.4) AS k FROM pl)"]
+    parts = [_v("missingness", "feature", "feature_missing_rate_exceeded", "FAIL", "k", "k / n", 0.05, "mi WHERE k / n > 0.05"), _v("missingness", "'rows'", "row_missing_rate_exceeded", "FAIL", "k", "k / n", 0.4, "mr WHERE k > 0")]
+    ctes += ["""tg AS (SELECT o_orderkey, CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN '7' WHEN o_orderkey = 5 THEN 'inf' WHEN o_orderkey = 6 THEN 'odd' ELSE o_orderstatus END AS t,
+CASE WHEN o_orderkey % 47 = 0 THEN 'n/a' WHEN o_orderkey % 5 = 0 THEN 'k' || (o_orderkey - 1) ELSE 'k' || o_orderkey END AS key, o_orderpriority FROM orders)""",
+        f"kc AS (SELECT CASE WHEN NOT {_MISS('key')} THEN key END AS k, count(*) AS c, count(DISTINCT o_orderpriority) AS s FROM tg GROUP BY 1)"]
+    parts += [
+        _v("identifiers", "'key'", "duplicate_ids", "FAIL", "c", "g", None, "(SELECT sum(c) AS c, count(*) AS g FROM kc WHERE k IS NOT NULL AND c > 1) WHERE g > 0"),
+        _v("identifiers", "'key'", "conflicting_rows_share_id", "FAIL", "c", "g", None, "(SELECT sum(c) AS c, count(*) AS g FROM kc WHERE k IS NOT NULL AND s > 1) WHERE g > 0"),
+        _v("identifiers", "'key'", "missing_ids", "WARNING", "c", None, None, "(SELECT sum(c) AS c FROM kc WHERE k IS NULL) WHERE c > 0"),
+    ]
+    ctes += ["vc AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{k}' AS kind, CASE WHEN {_MISS(c)} THEN 'missing' " + (f"WHEN {_NUM(c)} THEN 'valid' WHEN {_INF(c)} THEN 'nonfinite' ELSE 'invalid' END AS class, CASE WHEN NOT {_MISS(c)} AND {_NUM(c)} THEN CAST(CAST({c} AS DOUBLE) AS VARCHAR) END AS v"
+        if k == "NUMERIC" else f"WHEN lower(trim({c})) IN ('true', 'false', '0', '1') THEN 'valid' ELSE 'invalid' END AS class, CASE WHEN lower(trim({c})) IN ('true', '1') THEN 'true' ELSE 'false' END AS v" if k == "BOOLEAN" else f"ELSE 'valid' END AS class, {c} AS v") + " FROM pl" for c, k in KINDS.items()) + ")",
+        "vv AS (SELECT feature, kind, v, count(*) AS c FROM vc WHERE class = 'valid' GROUP BY 1, 2, 3)", "vt AS (SELECT feature, kind, sum(c) AS n, count(*) AS d, max(c) AS top FROM vv GROUP BY 1, 2)",
+        "vk AS (SELECT feature, skewness(x) AS s0, avg(x) AS m, count(x) AS n FROM (SELECT feature, CAST(v AS DOUBLE) AS x FROM vc WHERE class = 'valid' AND kind = 'NUMERIC') GROUP BY feature)",
+        "vm AS (SELECT feature, any_value(n) AS n, (sum(power(x - m, 3)) / any_value(n)) / power(sum(power(x - m, 2)) / any_value(n), 1.5) AS skew FROM (SELECT feature, CAST(v AS DOUBLE) AS x FROM vc WHERE class = 'valid' AND kind = 'NUMERIC') JOIN vk USING (feature) GROUP BY feature)"]
+    cat = "kind <> 'NUMERIC'"
+    parts += [
+        _v("categorical", "feature", "invalid_type", "FAIL", "c", None, None, f"(SELECT feature, count(*) AS c FROM vc WHERE {cat} AND class IN ('invalid', 'nonfinite') GROUP BY 1)"),
+        _v("categorical", "feature", "invalid_category", "FAIL", "c", "k", None, "(SELECT feature, sum(c) AS c, count(*) AS k FROM vv WHERE feature = 'lang' AND v NOT IN ('en', 'de', 'fr') GROUP BY 1)"),
+        _v("categorical", "feature", "rare_categories", "WARNING", "c", "k", 0.06, f"(SELECT feature, sum(c) AS c, count(*) AS k FROM vv JOIN vt USING (feature, kind) WHERE {cat} AND c / n < 0.06 GROUP BY 1)"),
+        _v("categorical", "feature", "cardinality_exceeded", "FAIL", "n", "d", 100, f"vt WHERE {cat} AND d > 100"),
+        _v("distribution", "feature", "skew_exceeds_configured", "WARNING", "n", "skew", 2.0, "vm WHERE abs(skew) > 2.0"),
+        _v("distribution", "feature", "dominant_value", "WARNING", "top", "top / n", 0.45, "vt WHERE top / n > 0.45"),
+        _v("distribution", "feature", "few_distinct_values", "WARNING", "n", "d", 3, "vt WHERE d < 3"),
+        _v("distribution", "'none'", "no_valid_values", "INCONCLUSIVE", "0", None, None, "(SELECT 1)"),
+    ]
+    ctes += [f"ta AS (SELECT count(*) AS n, count(*) FILTER ({_MISS('t')}) AS missing, count(*) FILTER (NOT {_MISS('t')} AND {_NUM('t')}) AS valid, count(*) FILTER (NOT {_MISS('t')} AND {_INF('t')}) AS nonfinite, count(*) FILTER (NOT {_MISS('t')} AND NOT {_NUM('t')} AND NOT {_INF('t')}) AS invalid FROM tg)",
+        f"tk AS (SELECT trim(t) AS label, count(*) AS c, sum(count(*)) OVER () AS n FROM tg WHERE NOT {_MISS('t')} AND NOT {_INF('t')} GROUP BY 1)"]
+    parts += [
+        _v("target", "'target'", "missing_targets", "WARNING", "missing", None, None, "ta WHERE missing > 0"),
+        _v("target", "'target'", "missing_target_rate_exceeded", "FAIL", "missing", "missing / n", 0.02, "ta WHERE missing / n > 0.02"),
+        _v("target", "'target'", "inconsistent_target_types", "FAIL", "least(invalid, valid)", None, None, "ta WHERE least(invalid, valid) > 0"),
+        _v("target", "'target'", "nonfinite_target", "FAIL", "nonfinite", None, None, "ta WHERE nonfinite > 0"),
+        _v("target", "'target'", "invalid_target_value", "FAIL", "c", "k", None, "(SELECT sum(c) AS c, count(*) AS k FROM tk WHERE label NOT IN ('O', 'F', 'P', '7')) WHERE k > 0"),
+        _v("target", "'class:' || label", "singleton_class", "WARNING", "c", None, None, "tk WHERE c = 1"),
+        _v("target", "'class:' || label", "class_below_min_count", "FAIL", "c", "c", 5, "tk WHERE c < 5"),
+        _v("target", "'class:' || label", "class_below_min_proportion", "FAIL", "c", "c / n", 0.05, "tk WHERE c / n < 0.05"),
+    ]
+    return f"{', '.join(ctes)}, vio AS ({' UNION ALL '.join(parts)})"
+
+
+_PLANTED = """pl AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'n/a' ELSE text END AS text,
+CASE WHEN doc_id % 19 = 0 THEN 'inf' WHEN doc_id % 23 = 0 THEN 'many' WHEN doc_id % 29 = 0 THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS size,
+CASE WHEN doc_id % 31 = 0 THEN '' ELSE lang END AS lang, CASE WHEN doc_id % 7 = 0 THEN 'yes' ELSE CAST(doc_id % 2 AS VARCHAR) END AS flag FROM documents)"""
 SQL = {
+    "quality_rules": f"WITH {_rules_sql()} SELECT * FROM vio",
+    "quality_statuses": f"""WITH {_rules_sql()}, st AS (SELECT * FROM (VALUES ('missingness', 'RUN'), ('identifiers', 'RUN'), ('categorical', 'RUN'), ('distribution', 'RUN'), ('target', 'RUN'), ('target_leakage', 'UNAVAILABLE'), ('group_comparison', 'NOT_APPLICABLE'), ('duplicates', 'RUN')) t("check", state)),
+w AS (SELECT "check", count(*) AS k, min(list_position(['FAIL', 'WARNING', 'INCONCLUSIVE', 'UNAVAILABLE', 'NOT_APPLICABLE', 'PASS'], level)) AS p FROM vio GROUP BY 1),
+e AS (SELECT "check", coalesce(k, 0) AS violations, CASE WHEN state <> 'RUN' THEN list_position(['FAIL', 'WARNING', 'INCONCLUSIVE', 'UNAVAILABLE', 'NOT_APPLICABLE', 'PASS'], state) ELSE coalesce(p, 6) END AS p FROM st LEFT JOIN w USING ("check")),
+z AS (SELECT * FROM e UNION ALL SELECT '(all)', sum(violations), min(p) FROM e) SELECT "check", CAST(violations AS BIGINT) AS violations, ['FAIL', 'WARNING', 'INCONCLUSIVE', 'UNAVAILABLE', 'NOT_APPLICABLE', 'PASS'][p] AS status FROM z""",
     "cell_classification": f"WITH {_PL} SELECT feature, class, count(*) AS n FROM cl GROUP BY ALL",
     "missingness": f"WITH {_MISS} SELECT * FROM mi",
     "missing_patterns": f"""WITH {_PL}, p AS (SELECT doc_id, string_agg(CASE WHEN class = 'missing' THEN 'M' ELSE '.' END, '' ORDER BY CASE feature WHEN 'text' THEN 1 WHEN 'size' THEN 2 WHEN 'lang' THEN 3 ELSE 4 END) AS pattern FROM cl GROUP BY doc_id)
