@@ -91,7 +91,7 @@ cl AS (SELECT doc_id, feature, CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'n/
 _MISS = f"""{_PL}, m AS (SELECT feature, count(*) AS n, count(*) FILTER (class = 'missing') AS missing FROM cl GROUP BY feature),
 mi AS (SELECT feature, n, missing, {q9('missing / n')} AS rate, {q9(_wilson('missing', 'n', False))} AS lower, {q9(_wilson('missing', 'n', True))} AS upper, CASE WHEN missing / n > 0.05 THEN 'FAIL' ELSE 'PASS' END AS status FROM m)"""
 
-_MISS = lambda c: f"({c} IS NULL OR lower(trim({c})) IN ('', 'n/a', 'na', 'null', 'none', 'nan'))"
+_GONE = lambda c: f"({c} IS NULL OR lower(trim({c})) IN ('', 'n/a', 'na', 'null', 'none', 'nan'))"
 _NUM = lambda c: f"regexp_full_match(lower(trim({c})), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?')"
 _INF = lambda c: f"regexp_full_match(lower(trim({c})), '[+-]?inf(inity)?')"
 
@@ -102,19 +102,19 @@ def _v(check: str, subject: str, rule: str, level: str, affected: str, observed:
 
 def _rules_sql() -> str:
     f = list(KINDS)
-    lacking = " + ".join(f"CAST({_MISS(c)} AS INTEGER)" for c in f)
-    ctes = [_PLANTED, "mi AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({_MISS(c)}) AS k, count(*) AS n FROM pl" for c in f) + ")", f"mr AS (SELECT count(*) AS n, count(*) FILTER (({lacking}) / 4 > 0.4) AS k FROM pl)"]
+    lacking = " + ".join(f"CAST({_GONE(c)} AS INTEGER)" for c in f)
+    ctes = [_PLANTED, "mi AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({_GONE(c)}) AS k, count(*) AS n FROM pl" for c in f) + ")", f"mr AS (SELECT count(*) AS n, count(*) FILTER (({lacking}) / 4 > 0.4) AS k FROM pl)"]
     parts = [_v("missingness", "feature", "feature_missing_rate_exceeded", "FAIL", "k", "k / n", 0.05, "mi WHERE k / n > 0.05"), _v("missingness", "'rows'", "row_missing_rate_exceeded", "FAIL", "k", "k / n", 0.4, "mr WHERE k > 0")]
     ctes += ["""tg AS (SELECT o_orderkey, CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN '7' WHEN o_orderkey = 5 THEN 'inf' WHEN o_orderkey = 6 THEN 'odd' ELSE o_orderstatus END AS t,
 CASE WHEN o_orderkey % 47 = 0 THEN 'n/a' WHEN o_orderkey % 5 = 0 THEN 'k' || (o_orderkey - 1) ELSE 'k' || o_orderkey END AS key, o_orderpriority FROM orders)""",
-        f"kc AS (SELECT CASE WHEN NOT {_MISS('key')} THEN key END AS k, count(*) AS c, count(DISTINCT o_orderpriority) AS s FROM tg GROUP BY 1)"]
+        f"kc AS (SELECT CASE WHEN NOT {_GONE('key')} THEN key END AS k, count(*) AS c, count(DISTINCT o_orderpriority) AS s FROM tg GROUP BY 1)"]
     parts += [
         _v("identifiers", "'key'", "duplicate_ids", "FAIL", "c", "g", None, "(SELECT sum(c) AS c, count(*) AS g FROM kc WHERE k IS NOT NULL AND c > 1) WHERE g > 0"),
         _v("identifiers", "'key'", "conflicting_rows_share_id", "FAIL", "c", "g", None, "(SELECT sum(c) AS c, count(*) AS g FROM kc WHERE k IS NOT NULL AND s > 1) WHERE g > 0"),
         _v("identifiers", "'key'", "missing_ids", "WARNING", "c", None, None, "(SELECT sum(c) AS c FROM kc WHERE k IS NULL) WHERE c > 0"),
     ]
     ctes += ["vc AS (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, '{k}' AS kind, CASE WHEN {_MISS(c)} THEN 'missing' " + (f"WHEN {_NUM(c)} THEN 'valid' WHEN {_INF(c)} THEN 'nonfinite' ELSE 'invalid' END AS class, CASE WHEN NOT {_MISS(c)} AND {_NUM(c)} THEN CAST(CAST({c} AS DOUBLE) AS VARCHAR) END AS v"
+        f"SELECT '{c}' AS feature, '{k}' AS kind, CASE WHEN {_GONE(c)} THEN 'missing' " + (f"WHEN {_NUM(c)} THEN 'valid' WHEN {_INF(c)} THEN 'nonfinite' ELSE 'invalid' END AS class, CASE WHEN NOT {_GONE(c)} AND {_NUM(c)} THEN CAST(CAST({c} AS DOUBLE) AS VARCHAR) END AS v"
         if k == "NUMERIC" else f"WHEN lower(trim({c})) IN ('true', 'false', '0', '1') THEN 'valid' ELSE 'invalid' END AS class, CASE WHEN lower(trim({c})) IN ('true', '1') THEN 'true' ELSE 'false' END AS v" if k == "BOOLEAN" else f"ELSE 'valid' END AS class, {c} AS v") + " FROM pl" for c, k in KINDS.items()) + ")",
         "vv AS (SELECT feature, kind, v, count(*) AS c FROM vc WHERE class = 'valid' GROUP BY 1, 2, 3)", "vt AS (SELECT feature, kind, sum(c) AS n, count(*) AS d, max(c) AS top FROM vv GROUP BY 1, 2)",
         "vk AS (SELECT feature, skewness(x) AS s0, avg(x) AS m, count(x) AS n FROM (SELECT feature, CAST(v AS DOUBLE) AS x FROM vc WHERE class = 'valid' AND kind = 'NUMERIC') GROUP BY feature)",
@@ -130,8 +130,8 @@ CASE WHEN o_orderkey % 47 = 0 THEN 'n/a' WHEN o_orderkey % 5 = 0 THEN 'k' || (o_
         _v("distribution", "feature", "few_distinct_values", "WARNING", "n", "d", 3, "vt WHERE d < 3"),
         _v("distribution", "'none'", "no_valid_values", "INCONCLUSIVE", "0", None, None, "(SELECT 1)"),
     ]
-    ctes += [f"ta AS (SELECT count(*) AS n, count(*) FILTER ({_MISS('t')}) AS missing, count(*) FILTER (NOT {_MISS('t')} AND {_NUM('t')}) AS valid, count(*) FILTER (NOT {_MISS('t')} AND {_INF('t')}) AS nonfinite, count(*) FILTER (NOT {_MISS('t')} AND NOT {_NUM('t')} AND NOT {_INF('t')}) AS invalid FROM tg)",
-        f"tk AS (SELECT trim(t) AS label, count(*) AS c, sum(count(*)) OVER () AS n FROM tg WHERE NOT {_MISS('t')} AND NOT {_INF('t')} GROUP BY 1)"]
+    ctes += [f"ta AS (SELECT count(*) AS n, count(*) FILTER ({_GONE('t')}) AS missing, count(*) FILTER (NOT {_GONE('t')} AND {_NUM('t')}) AS valid, count(*) FILTER (NOT {_GONE('t')} AND {_INF('t')}) AS nonfinite, count(*) FILTER (NOT {_GONE('t')} AND NOT {_NUM('t')} AND NOT {_INF('t')}) AS invalid FROM tg)",
+        f"tk AS (SELECT trim(t) AS label, count(*) AS c, sum(count(*)) OVER () AS n FROM tg WHERE NOT {_GONE('t')} AND NOT {_INF('t')} GROUP BY 1)"]
     parts += [
         _v("target", "'target'", "missing_targets", "WARNING", "missing", None, None, "ta WHERE missing > 0"),
         _v("target", "'target'", "missing_target_rate_exceeded", "FAIL", "missing", "missing / n", 0.02, "ta WHERE missing / n > 0.02"),
