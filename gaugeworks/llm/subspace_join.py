@@ -21,7 +21,7 @@ BLOCK = 8
 #: Coordinates are kept as whole numbers of this part of the unit length.
 SCALE = 1 << 14
 #: Vectors a cell of a label's block is to hold, roughly; cells of more rows than PART are cut into parts that meet pair by pair.
-LEAF, PART = 1024, 1024
+LEAF, PART = 1024, 4096
 #: Vectors of which the cells' borders are taken. They decide where vectors meet, not which link.
 SAMPLE = 10_000
 #: Rows compared at once, and candidates verified at once.
