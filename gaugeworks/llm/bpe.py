@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Bounds the distinct pieces a worker remembers.
-MEMO = 800_000
+MEMO = 300_000
 #: Later than every rank.
 NONE = 1 << 60
 #: Words of more bytes are merged one by one, with a heap.
