@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cells, evaluation, evidence, inference, quality, replicated, reports, resampled, shift, slicing, storage, stream, stress
+from .plans import cells, compared, evaluation, evidence, inference, quality, replicated, reports, resampled, shift, slicing, storage, stream, stress
 
-PLANS = (evaluation, inference, resampled, replicated, cells, reports, shift, quality, slicing, stress, evidence, storage, stream)
+PLANS = (evaluation, inference, resampled, replicated, cells, compared, reports, shift, quality, slicing, stress, evidence, storage, stream)
 FLAGSHIP = "slice_metrics"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 SQL: dict[str, str] = {k: v for p in PLANS for k, v in p.SQL.items()}

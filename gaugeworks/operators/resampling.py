@@ -82,7 +82,7 @@ def _corrected(rows: DataFrame) -> DataFrame:
     if "a" not in rows.columns:
         rows = rows.withColumn("a", F.try_divide(F.col("s3"), 6 * F.pow("s2", F.lit(1.5))))
     below = F.aggregate("draws", F.lit(0.0), lambda a, x: a + F.when(x < F.col("m") - 1e-12, 1.0).when(x <= F.col("m") + 1e-12, 0.5).otherwise(0.0))
-    rows = rows.withColumn("p0", below / F.size("draws"))
+    rows = rows.withColumn("p0", F.try_divide(below, F.size("draws")))
     inside = (F.col("p0") > 0) & (F.col("p0") < 1)
     rows = rows.withColumn("z0", F.when(inside, normal_quantile(F.col("p0"))))
     for name, z in (("low", -Z95), ("high", Z95)):
