@@ -167,12 +167,13 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, documents): documents that contain an item's text whole.
 
     All words of an item but its first and last stand in such a document as they are, between spaces. The first ANCHOR of these (or
-    as many as there are) are its anchor; runs of as many words of the documents meet it by their hash, and only what meets is compared whole. Items
-    without such words are compared with every document; more than SHORT_ITEMS of them are refused. Empty items and null texts are nowhere.
+    as many as there are) are its anchor; runs of as many words of the documents meet it by their hash, without the texts, and only documents that
+    meet an item are compared whole. Items without such words are compared with every document; more than SHORT_ITEMS of them are refused. Empty items and null texts are nowhere.
     """
     needles = items.filter("text is not null and text != ''").select("item_id", F.col("text").alias("needle"), F.split("text", " ").alias("w"))
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    needles = kept(needles.withColumn("anchor", F.slice(inner, 1, ANCHOR)).withColumn("k", F.size("anchor")).select("item_id", "needle", "k", F.xxhash64("anchor").alias("h")))
+    needles = needles.withColumn("anchor", F.transform(F.slice(inner, 1, ANCHOR), lambda w: F.xxhash64(w)))
+    needles = kept(needles.select("item_id", "needle", F.size("anchor").alias("k"), F.xxhash64("anchor").alias("h")))
     lengths = [r["k"] for r in needles.select("k").distinct().collect()]  # at most ANCHOR + 1
     short = needles.filter("k = 0")
     if short.limit(SHORT_ITEMS + 1).count() > SHORT_ITEMS:
@@ -181,15 +182,17 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = texts.join(F.broadcast(short.select("item_id", "needle")), F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id")
     longer = [k for k in lengths if k]
     if longer:
-        words = texts.withColumn("w", F.split("text", " "))
+        words = texts.withColumn("w", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
 
         def runs_of(k: int) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.slice("w", i, k)).alias("h")))
-
-        none = F.array().cast("array<struct<k:int,h:bigint>>")
-        every = F.array_distinct(F.flatten(F.array(*[F.when(F.size("w") >= k, runs_of(k)).otherwise(none) for k in longer])))
-        met = words.select("doc_id", "text", F.inline(every)).join(needles.filter("k > 0"), ["k", "h"])
-        hits = hits.unionByName(met.filter(F.contains(F.col("text"), F.col("needle"))).select("item_id", "doc_id"))
+            return F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice("w", i, k)))
+
+        none = F.array().cast("array<bigint>")
+        every = F.array_distinct(F.flatten(F.array(*[F.when(F.size("w") >= k, runs_of(k)).otherwise(none) for k in longer])))  # of numbers: by a hash set
+        met = words.select("doc_id", F.explode(every).alias("h")).join(needles.filter("k > 0"), "h")
+        met = met.select(F.col("doc_id").alias("met_id"), "item_id", "needle").distinct()
+        found = texts.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & F.contains(F.col("text"), F.col("needle")))
+        hits = hits.unionByName(found.select("item_id", "doc_id"))
     return hits.distinct().groupBy("item_id").agg(F.count("doc_id").alias("documents"))
 
 

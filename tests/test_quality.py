@@ -1,6 +1,7 @@
 """Containment and rules of data quality at their edges."""
 
 import random
+import time
 
 import pytest
 
@@ -18,6 +19,15 @@ def test_containment_equals_looking_in_every_text(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_containment_of_long_texts_takes_time_in_proportion(spark):
+    text = " ".join(f"w{k}" for k in range(80_000))
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text)], "doc_id long, text string")
+    items = spark.createDataFrame([("in", " ".join(f"w{k}" for k in range(500, 520))), ("out", " ".join(f"w{k}" for k in range(520, 500, -1)))], "item_id string, text string")
+    began = time.monotonic()
+    assert [tuple(r) for r in data_quality.containment(docs, items).collect()] == [("in", 2)]
+    assert time.monotonic() - began < 60  # comparing every run with every other is 3 * 10^9 comparisons a text
+
+
 def test_too_many_short_items_are_refused(spark, monkeypatch):
     monkeypatch.setattr(data_quality, "SHORT_ITEMS", 2)
     docs, items = spark.createDataFrame([(1, "x y")], "doc_id long, text string"), spark.createDataFrame([(str(k), "x") for k in range(3)], "item_id string, text string")
