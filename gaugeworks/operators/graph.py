@@ -74,13 +74,48 @@ def _with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
     return rows.join(F.broadcast(hot), "a").unionByName(cold)
 
 
+def _peeled(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaves, rest) of edges now(a, b), a > b, each once: leaves are the edges of nodes whose only neighbour is less, so that none is the least of its component."""
+    tops = now.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+    below = now.select(F.col("b").alias("a"), F.lit(True).alias("below")).distinct()
+    tops = kept(tops.join(below, "a", "left").withColumn("leaf", (F.col("n") == 1) & F.col("below").isNull()))
+    many = kept(tops.filter("n > 1").select("a"))
+    rest = kept(tops.filter("n = 1 and not leaf").select("a", "b").unionByName(now.join(many, "a", "left_semi")))
+    return tops.filter("leaf").select("a", "b"), rest
+
+
+def _with_leaves(found: DataFrame, leaves: DataFrame, total: int) -> DataFrame:
+    """found(node, component) with leaves(a, b), and with those b that are in no edge but theirs."""
+    size = leaves.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("degree"))
+    core = size.join(found.withColumnRenamed("node", "a"), "a", "left")
+    low = kept(core.select("a", F.coalesce("component", "a").alias("low"), "degree", F.col("component").isNull().alias("alone")))
+    hung = _with_low(leaves.select(F.col("b").alias("a"), F.col("a").alias("b")), low.drop("alone"), total)
+    return found.unionByName(low.filter("alone").select(F.col("a").alias("node"), F.col("low").alias("component"))).unionByName(hung.select(F.col("b").alias("node"), F.col("low").alias("component")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): least reachable node, by moving stars to larger and smaller nodes in turn until all edges are stars.
 
+    Nodes whose only neighbour is less take its component at the end: while they are at least half of the edges, they
+    are taken away, and only what is left goes through the rounds.
     As every round keeps what is connected, a graph in which no node that others point to points on has come to its end.
     """
     now = kept(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a != b").distinct())
-    total = now.count()
+    total, hung = now.count(), []
+    while total:
+        leaves, rest = _peeled(now)
+        left = rest.count()
+        hung.append((leaves, total))
+        now, before, total = rest, total, left
+        if 2 * left > before:
+            break
+    found = _stars(now, total)
+    for leaves, count in reversed(hung):
+        found = _with_leaves(found, leaves, count)
+    return found
+
+
+def _stars(now: DataFrame, total: int) -> DataFrame:
     while total:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("degree"))

@@ -179,6 +179,28 @@ def test_long_chains_are_followed_to_the_end(spark):
     assert {r["component"] for r in graph.components(edges).collect()} == {"n000"}
 
 
+def test_components_leave_leaves_out_of_their_rounds(spark, monkeypatch):
+    seen, stars = [], graph._stars
+    monkeypatch.setattr(graph, "_stars", lambda now, total: seen.append(total) or stars(now, total))
+    rows = [("a", "b"), ("b", "c"), ("c", "a")] + [("b", f"z{k}") for k in range(60)] + [("x1", "x2"), ("a", "a"), ("z7", "b"), ("c", "0")]
+    got = dict(graph.components(spark.createDataFrame(rows, "src string, dst string")).collect())
+    assert seen == [4]  # 61 edges of leaves, of the pair x1 and x2 one, are gone; "0" is less than its neighbour and stays
+    assert got == {n: "0" for n in ["0", "a", "b", "c", *(f"z{k}" for k in range(60))]} | {"x1": "x1", "x2": "x1"}
+    assert graph.components(spark.createDataFrame([("a", "a")], "src string, dst string")).collect() == []
+
+
+def test_components_of_random_graphs_equal_a_plain_search(spark):
+    r = random.Random(5)
+    for nodes, count in ((40, 25), (60, 45), (12, 30)):
+        rows = [(f"n{r.randrange(nodes):02}", f"n{r.randrange(nodes):02}") for _ in range(count)]
+        low = {n: n for e in rows if e[0] != e[1] for n in e}
+        for _ in low:
+            for a, b in (e for e in rows if e[0] != e[1]):
+                low[a] = low[b] = min(low[a], low[b])
+        found = graph.components(spark.createDataFrame(rows, "src string, dst string")).collect()
+        assert len(found) == len(low) and dict(found) == low
+
+
 def test_joined_fields_are_told_apart(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "-;")], "x string, y string")
     ids = [r[0] for r in df.select(identity.entity_id("t", "T", F.col("x"), F.col("y"))).collect()]
