@@ -98,7 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes whose only neighbour is less take its component at the end: while they are at least half of the edges, they
     are taken away, and only what is left goes through the rounds.
-    As every round keeps what is connected, a graph in which no node that others point to points on has come to its end.
+    As every round keeps what is connected, a graph in which each node points to one other, and that to none, has come to its end.
     """
     now = kept(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a != b").distinct())
     total, hung = now.count(), []
@@ -123,7 +123,7 @@ def _stars(now: DataFrame, total: int) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
         moved = _with_low(large, least, total).filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         now = kept(moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
-        if not now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
+        if now.groupBy("a").count().filter("count > 1").isEmpty() and now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
         total = now.count()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
