@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from .ordering import kept
 MAX_DEPTH = 12
 #: A node of more edges than this, and than one in HOT_SHARE of all, is hot.
 HOT_EDGES, HOT_SHARE = 1000, 100_000
+#: Edges of two snapshots that one task compares.
+TASK_EDGES = 500_000
 
 
 def oriented(edges: DataFrame, direction: str, relations: Sequence[str] = ()) -> DataFrame:
@@ -130,10 +133,16 @@ def _stars(now: DataFrame, total: int) -> DataFrame:
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(src, dst, relation, change): edges added and removed between snapshots."""
-    key = ["src", "dst", "relation"]
-    added = new.select(*key).distinct().join(old.select(*key), key, "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(old.select(*key).distinct().join(new.select(*key), key, "left_anti").withColumn("change", F.lit("removed")))
+    """(src, dst, relation, change): edges added and removed between snapshots, each once; nulls are equal.
+
+    Both snapshots are dealt by edge over so many tasks that each holds TASK_EDGES of them, about, whatever
+    their number; edges that repeat take no more memory. Nothing is made distinct before, where a task's memory would grow with its part of a file.
+    """
+    key, spark = ["src", "dst", "relation"], old.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((old.count() + new.count()) / TASK_EDGES))
+    both = old.select(*key, F.lit(True).alias("old")).unionByName(new.select(*key, F.lit(False).alias("old")))
+    sides = both.repartition(tasks, *key).groupBy(*key).agg(F.bool_or("old").alias("was"), F.bool_and("old").alias("only"))
+    return sides.filter(F.col("was") == F.col("only")).select(*key, F.when(F.col("was"), "removed").otherwise("added").alias("change"))
 
 
 def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -201,6 +201,17 @@ def test_components_of_random_graphs_equal_a_plain_search(spark):
         assert len(found) == len(low) and dict(found) == low
 
 
+def test_difference_of_snapshots_is_each_edge_once_over_enough_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 10)
+    kind = "src string, dst string, relation string"
+    old = spark.createDataFrame([("a", f"b{k}", "r") for k in range(60)] * 2 + [(None, "x", "r")], kind)
+    new = spark.createDataFrame([("a", f"b{k}", "r") for k in range(2, 62)] + [("a", "b61", "r"), ("a", "b5", "s"), (None, "x", "r")], kind)
+    found = graph.difference(old, new)
+    assert found.rdd.getNumPartitions() == 19  # 184 rows
+    want = {("a", "b0", "r", "removed"), ("a", "b1", "r", "removed"), ("a", "b60", "r", "added"), ("a", "b61", "r", "added"), ("a", "b5", "s", "added")}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_joined_fields_are_told_apart(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "-;")], "x string, y string")
     ids = [r[0] for r in df.select(identity.entity_id("t", "T", F.col("x"), F.col("y"))).collect()]
