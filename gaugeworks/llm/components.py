@@ -11,29 +11,37 @@ from . import common
 HOT_EDGES, HOT_SHARE = 1000, 100_000
 
 
-def _with_low(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """edges(a, b) with column low of low(a, low, degree), never all edges of a hot node in one task.
+def _with_low(edges: DataFrame, low: DataFrame, hot_edges: int) -> DataFrame:
+    """edges(a, b) with column low of low(a, low, degree), never all edges of a hot node, which has more than hot_edges (0: there is none), in one task.
 
     At most 2 * HOT_SHARE nodes are hot, whatever the graph.
     """
-    limit = max(HOT_EDGES, total // HOT_SHARE)
-    if total <= limit:
+    if not hot_edges:
         return edges.join(low.drop("degree"), "a")
-    hot = low.filter(F.col("degree") > limit).select("a", "low")
+    hot = low.filter(F.col("degree") > hot_edges).select("a", "low")
     cold = edges.join(F.broadcast(hot.select("a")), "a", "left_anti").join(low.drop("degree"), "a")
     return edges.join(F.broadcast(hot), "a").unionByName(cold)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _state(now: DataFrame) -> tuple[int, int, int]:
+    """(edges, most edges of a node, nodes whose stars must still be moved) of edges(a, b), a > b, each once: none, if each node points to one other, and that to none."""
+    ends = now.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("degree"))
+    moving = (F.col("up") > 1) | (F.col("up") == 1) & (F.col("degree") > 1)
+    zero = F.lit(0)
+    return tuple(nodes.agg(F.coalesce(F.sum("up"), zero), F.coalesce(F.max("degree"), zero), F.count_if(moving)).first())
+
+
+def _large_star(edges: DataFrame, hot_edges: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("degree"))
-    return _with_low(both.filter("b > a"), low, total).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return _with_low(both.filter("b > a"), low, hot_edges).select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_edges: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     low = down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
-    moved = _with_low(down, low, total).filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = _with_low(down, low, hot_edges).filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(low.select("a", F.col("low").alias("b")))
 
 
@@ -41,9 +49,9 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(a, b): component is the least node reachable.
 
     Stars are moved towards the least neighbour, in turn to larger and to
-    smaller nodes, until nothing changes: O(log^2 n) rounds. No node's
+    smaller nodes, until all edges are stars: O(log^2 n) rounds; no further one confirms it. No node's
     neighbours are gathered in one place: minima are aggregated before the
-    shuffle, and the few nodes of very many edges are broadcast (see _with_low). Each round's edges are
+    shuffle, and the few nodes of very many edges, if there are any, are broadcast (see _with_low). Each round's edges are
     written to the shared folder, which cuts the lineage, and the round before
     is deleted. Null ends and loops are ignored.
     """
@@ -52,15 +60,15 @@ def connected(edges: DataFrame) -> DataFrame:
     path = common.scratch(spark, "edges")
     clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().write.parquet(path)
     schema = "a long, b long"
-    before = None
     while True:
         now = spark.read.schema(schema).parquet(path)
-        state = now.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        if state == before:
+        total, most, moving = _state(now)
+        if not moving:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before, old, path = state, path, common.scratch(spark, "edges")
-        total = state[0]
-        _small_star(_large_star(now, total).distinct(), total).distinct().write.parquet(path)
+        limit = max(HOT_EDGES, total // HOT_SHARE)
+        hot_edges = limit if most > limit else 0
+        old, path = path, common.scratch(spark, "edges")
+        _small_star(_large_star(now, hot_edges).distinct(), hot_edges).distinct().write.parquet(path)
         common.remove(spark, old)

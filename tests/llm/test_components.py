@@ -21,3 +21,10 @@ def test_hot_nodes_are_joined_apart(spark, monkeypatch):
         root[b] = a
     loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert dict(components.connected(spark.createDataFrame(edges, "a long, b long")).collect()) == {x: top(x) for x in root if x not in loops}
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(components, "_large_star", None)  # not called: nothing is left to move
+    edges = [(9, 1), (1, 5), (7, 1), (8, 2), (2, 2), (None, 3)]
+    assert dict(components.connected(spark.createDataFrame(edges, "a long, b long")).collect()) == {1: 1, 5: 1, 7: 1, 9: 1, 2: 2, 8: 2}
+    assert components.connected(spark.createDataFrame([(2, 2)], "a long, b long")).collect() == []
