@@ -28,3 +28,29 @@ def test_stars_need_no_round(spark, monkeypatch):
     edges = [(9, 1), (1, 5), (7, 1), (8, 2), (2, 2), (None, 3)]
     assert dict(components.connected(spark.createDataFrame(edges, "a long, b long")).collect()) == {1: 1, 5: 1, 7: 1, 9: 1, 2: 2, 8: 2}
     assert components.connected(spark.createDataFrame([(2, 2)], "a long, b long")).collect() == []
+
+
+def test_settled_edges_are_not_joined_in_every_round(spark, monkeypatch):
+    monkeypatch.setattr(components, "PEEL_EDGES", 20)
+    joined, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda now, hot: (joined.append(now.count()), star(now, hot))[1])
+    settled = [(1000 * c + k, 1000 * c) for c in range(1, 5) for k in range(1, 200)]  # stars
+    chain = [(k + 1, k) for k in range(12)] + [(500 + k, k) for k in range(13)]  # a path with a leaf at each node
+    got = dict(components.connected(spark.createDataFrame(settled + chain, "a long, b long")).collect())
+    assert got == {**{1000 * c + k: 1000 * c for c in range(1, 5) for k in range(200)}, **{k: 0 for k in range(13)}, **{500 + k: 0 for k in range(13)}}
+    assert joined and sum(joined) < len(settled + chain) / 4
+
+
+def test_leaves_of_hot_nodes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(components, "PEEL_EDGES", 2)
+    monkeypatch.setattr(components, "HOT_EDGES", 5)
+    r = random.Random(7)
+    for _ in range(3):
+        edges = [(50, k) for k in range(51, 90)] + [(7, k) for k in range(100, 130)] + [(r.randint(0, 300), r.randint(0, 300)) for _ in range(70)]
+        low = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in low:
+            for a, b in edges:
+                if a != b:
+                    low[a] = low[b] = min(low[a], low[b])
+        rows = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(rows) == len(low) and dict(rows) == low
