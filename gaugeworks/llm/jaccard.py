@@ -16,11 +16,13 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: Keys that a task gathers before it sorts and sends them.
 FLUSH = 500_000
 #: Bytes of keys under one reducer.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Shards of a small table. Documents that resemble each other meet in most shards, so more of them than memory asks for repeat links.
 LEAST_SHARDS = 8
 #: Sets under one prefix tree; larger candidate blocks are split and their parts paired.
 BLOCK_SETS = 1000
+#: Shingles under one prefix tree, likewise: a join takes about 100 bytes for each.
+BLOCK_SHINGLES = 500_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, hasher: common.WordHasher, n: int) -> list[np.ndarray]:
@@ -202,12 +204,14 @@ def _send(n: int, bands: Bands, shards: np.ndarray, usual: np.ndarray) -> Callab
 def _meet(table: pa.Table) -> pa.Table:
     """Links between the documents of each key of a shard."""
     linked = table.column("linked").to_pylist()
-    x, y = table.column("x").to_pylist(), table.column("y").to_pylist()
-    keys = np.frombuffer(b"".join(v for v, on in zip(x, linked) if not on), np.uint64)
-    ids = np.frombuffer(b"".join(v for v, on in zip(y, linked) if not on), np.int64)
-    _, _, a, b = _least(keys, ids)
-    a = np.concatenate([a, *(np.frombuffer(v, np.int64) for v, on in zip(x, linked) if on)])
-    b = np.concatenate([b, *(np.frombuffer(v, np.int64) for v, on in zip(y, linked) if on)])
+
+    def gathered(name: str, on: bool, kind: type) -> np.ndarray:
+        views = [np.frombuffer(v.as_buffer(), kind) for v, is_link in zip(table.column(name), linked) if is_link == on]
+        return np.concatenate(views) if views else np.zeros(0, kind)
+
+    _, _, a, b = _least(gathered("x", False, np.uint64), gathered("y", False, np.int64))
+    a = np.concatenate([a, gathered("x", True, np.int64)])
+    b = np.concatenate([b, gathered("y", True, np.int64)])
     a, b = _forest(a, b)
     return pa.table({"a": a, "b": b})
 
@@ -387,15 +391,16 @@ def _usual(docs: DataFrame, n: int, count: int) -> np.ndarray:
 
 
 def _parts(inside: DataFrame) -> DataFrame:
-    """(doc_id, component, left, right, part) from inside(node, component, band): under which pairs of parts a set is joined.
+    """(doc_id, component, left, right, part) from inside(node, component, band, n_shingles): under which pairs of parts a set is joined.
 
-    A block of up to BLOCK_SETS sets is one part. A larger one has parts by size
+    A block of up to BLOCK_SETS sets and BLOCK_SHINGLES shingles is one part. A larger one has parts by size
     band, and within a band at random; a part meets the parts of its own band and
     of the next, the only ones whose sizes allow a link.
     """
-    size = inside.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1")
-    whole = inside.join(size, "component").withColumn("band", F.when(F.col("sets") > BLOCK_SETS, F.col("band")).otherwise(0))
-    count = whole.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
+    load = F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)
+    size = inside.groupBy("component").agg(F.count("*").alias("sets"), load.alias("load")).filter("sets > 1")
+    whole = inside.join(size, "component").withColumn("band", F.when(F.col("load") > 1, F.col("band")).otherwise(0))
+    count = whole.groupBy("component", "band").agg(F.ceil(load).alias("parts"))
     below = count.select("component", (F.col("band") + 1).alias("band"), F.col("parts").alias("lower"))
     above = count.select("component", (F.col("band") - 1).alias("band"), F.col("parts").alias("upper"))
     placed = whole.join(count, ["component", "band"]).join(below, ["component", "band"], "left").join(above, ["component", "band"], "left")
@@ -442,7 +447,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
        sorted and made distinct in each task first, and give links to the least
        document of the key, never all pairs. Components of these links are blocks.
     3. Each block's sets become a prefix tree that every set probes; of equal rows of an id one takes part. A block of
-       more than BLOCK_SETS sets is split, and its parts are joined two by two.
+       more than BLOCK_SETS sets or BLOCK_SHINGLES shingles is split, and its parts are joined two by two.
     4. Components of the links found.
 
     A null or empty text and one without words have no shingles and link with
@@ -456,7 +461,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     bands = Bands(threshold)
     profiles = common.stored(rows.mapInArrow(_profiles(n, bands), "doc_id long, n_shingles long, band long, content binary"), "profiles")
     sized = profiles.filter("n_shingles > 0 and doc_id is not null")
-    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"), F.count("*").alias("copies"))
+    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     share = 2.6 * (100 - threshold) / (100 + threshold) * 2  # keys for each shingle, about
     shards = common.shard_numbers(spark, max(LEAST_SHARDS, math.ceil(total[0] * share * 16 / SHARD_BYTES)))
@@ -464,7 +469,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     met = sent.repartition(len(shards), "shard").groupBy("shard").applyInArrow(_meet, "a long, b long")
     blocks = components.connected(met)
     # representatives of blocks with at least two different sets
-    first = least.select(F.col("least").alias("node"), "band")
+    first = least.select(F.col("least").alias("node"), "band", "n_shingles")
     inside = common.stored(blocks.dropDuplicates(["node"]).join(first, "node"), "blocks")
     pairs = _parts(inside)
     # trees are work for the processors, not bytes: as many partitions as asked for, not fewer by size

@@ -54,3 +54,18 @@ def test_leaves_of_hot_nodes_are_joined_apart(spark, monkeypatch):
                     low[a] = low[b] = min(low[a], low[b])
         rows = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
         assert len(rows) == len(low) and dict(rows) == low
+
+
+def test_blocks_of_many_shingles_are_split(spark, monkeypatch):
+    from gaugeworks.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 5000)
+    rows = [(k, 0, 30, 1000) for k in range(40)] + [(100 + k, 100, 1, 2) for k in range(40)]  # one block of 40,000 shingles, one of 80
+    got = jaccard._parts(spark.createDataFrame(rows, "node long, component long, band long, n_shingles long")).collect()
+    small, large = ([r for r in got if r["component"] == c] for c in (100, 0))
+    assert len(small) == 40 and len({(r["left"], r["right"]) for r in small}) == 1
+    met = {}
+    for r in large:
+        met.setdefault((r["left"], r["right"]), set()).add(r["doc_id"])
+    assert max(map(len, met.values())) < 30
+    assert {(a, b) for at in met.values() for a in at for b in at} == {(a, b) for a in range(40) for b in range(40)}
