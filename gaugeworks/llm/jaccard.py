@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -15,9 +16,12 @@ from . import common, components
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: Keys that a task gathers before it sorts and sends them.
 FLUSH = 500_000
-#: Bytes of keys under one reducer.
-SHARD_BYTES = 16 << 20
-#: Shards of a small table. Documents that resemble each other meet in most shards, so more of them than memory asks for repeat links.
+#: Bytes of keys that meet at once, and how many such slices a task takes one after another. Sets that resemble each other
+#: meet in most slices, and a task gives their link once.
+SLICE_BYTES, SLICES = 16 << 20, 4
+#: Bytes of a key and of a set's number that are sent. What they can't tell apart only becomes a candidate.
+KEY_BYTES, NODE_BYTES = 6, 5
+#: Tasks in which the keys of a small table meet.
 LEAST_SHARDS = 8
 #: Sets under one prefix tree; larger candidate blocks are split and their parts paired.
 BLOCK_SETS = 1000
@@ -115,105 +119,119 @@ def range_keys(sets: list[np.ndarray], ids: np.ndarray, bands: Bands, usual: np.
     return np.concatenate(keys), np.concatenate(whose)
 
 
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _node(digest: bytes) -> int:
+    """Number of a set among candidates: equal sets have one, whichever documents hold them. Two sets of one number only share a block."""
+    return int.from_bytes(digest[:NODE_BYTES], "little")
+
+
 def _profiles(n: int, bands: Bands) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         hasher = common.WordHasher(SEPARATORS)
         for batch in batches:
             raw, offsets = common.text_buffers(batch.column("text"))
             for i, j in common.row_chunks(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher, n)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                digest = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([bands.band(len(s)) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+                        batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands.band(len(s)) for s in sets], pa.int64()),
+                        pa.array(digest, pa.binary()), pa.array([_node(d) for d in digest], pa.int64()),
                     ],
-                    names=["doc_id", "n_shingles", "band", "content"],
+                    names=["doc_id", "n_shingles", "band", "content", "node"],
                 )
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same components: each node's to the least of its component."""
-    if not len(a):
-        return a, b
-    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, label = index[: len(a)], index[len(a) :], np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        after = label.copy()
-        np.minimum.at(after, x, low)
-        np.minimum.at(after, y, low)
-        np.minimum.at(after, label[x], low)
-        np.minimum.at(after, label[y], low)
-        after = after[after]
-        if (after == label).all():
-            break
-        label = after
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
-def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the least id of each, and links that join the other ids to it."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-    least = ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(keys) else ids
-    other = ids != least
-    return (keys[new], ids[new], *_forest(ids[other], least[other]))
-
-
-def _send(n: int, bands: Bands, shards: np.ndarray, usual: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["shard", "linked", "x", "y"]
-
-    def flush(keys: list[np.ndarray], ids: list[np.ndarray], count: int) -> pa.RecordBatch:
-        k, i, a, b = _least(np.concatenate(keys), np.concatenate(ids))
-        to = (((k >> np.uint64(32)) * np.uint64(len(shards))) >> np.uint64(32)).astype(np.int64)  # ascending, as k is
-        at = np.searchsorted(to, np.arange(len(shards) + 1))
-        rows = [(int(shards[s]), False, k[at[s] : at[s + 1]].tobytes(), i[at[s] : at[s + 1]].tobytes()) for s in np.flatnonzero(at[1:] > at[:-1])]
-        if len(a):
-            rows.append((int(shards[count % len(shards)]), True, a.tobytes(), b.tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
+def _pairs_once(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in ascending order."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+    return x[new], y[new]
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Byte by byte, so that the first ones of ascending keys compress: all first bytes, then all second ones."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T.tobytes() + nodes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES].T.tobytes()
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    columns = packed.reshape(KEY_BYTES + NODE_BYTES, -1)
+    out = np.zeros((2, columns.shape[1], 8), np.uint8)
+    out[0, :, :KEY_BYTES], out[1, :, :NODE_BYTES] = columns[:KEY_BYTES].T, columns[KEY_BYTES:].T
+    return out[0].view(">u8")[:, 0].astype(np.uint64), out[1].view("<i8")[:, 0].astype(np.int64)
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node beside the least node of its key, where that is another."""
+    keys, nodes = _pairs_once(keys, nodes)
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    least = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return _pairs_once(nodes[nodes != least], least[nodes != least])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        hasher, keys, ids, held, count = common.WordHasher(SEPARATORS), [], [], 0, TaskContext.get().partitionId()
+CUT = np.uint64(64 - 8 * KEY_BYTES)
+
+
+def _send(n: int, bands: Bands, slices: int, shards: np.ndarray, usual: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def flush(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        k, i = _pairs_once(np.concatenate(keys) >> CUT << CUT, np.concatenate(nodes))
+        to = (((k >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int64)  # ascending, as k is
+        at = np.searchsorted(to, np.arange(slices + 1))
+        rows = [(int(shards[s * len(shards) // slices]), s, _packed(k[at[s] : at[s + 1]], i[at[s] : at[s + 1]])) for s in np.flatnonzero(at[1:] > at[:-1]).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["shard", "slice", "packed"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, keys, nodes, held = common.WordHasher(SEPARATORS), [], [], 0
         for batch in batches:
             raw, offsets = common.text_buffers(batch.column("text"))
-            doc = np.asarray(batch.column("doc_id"))
             for i, j in common.row_chunks(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher, n)
-                k, d = range_keys(sets, doc[i:j], bands, usual)
+                k, d = range_keys(sets, np.array([_node(_digest(s)) for s in sets], np.int64), bands, usual)
                 keys.append(k)
-                ids.append(d)
+                nodes.append(d)
                 held += len(k)
                 if held >= FLUSH:
-                    yield flush(keys, ids, count)
-                    keys, ids, held, count = [], [], 0, count + 1
+                    yield flush(keys, nodes)
+                    keys, nodes, held = [], [], 0
         if held:
-            yield flush(keys, ids, count)
+            yield flush(keys, nodes)
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Links between the documents of each key of a shard."""
-    linked = table.column("linked").to_pylist()
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (see _stars) of the keys of a task's slices, which come one after another, each link once."""
+    at, keys, nodes = -1, [], []
+    a = b = np.zeros(0, np.int64)
+
+    def more() -> tuple[np.ndarray, np.ndarray]:
+        x, y = _stars(np.concatenate(keys), np.concatenate(nodes))
+        return _pairs_once(np.concatenate([a, x]), np.concatenate([b, y]))
 
-    def gathered(name: str, on: bool, kind: type) -> np.ndarray:
-        views = [np.frombuffer(v.as_buffer(), kind) for v, is_link in zip(table.column(name), linked) if is_link == on]
-        return np.concatenate(views) if views else np.zeros(0, kind)
+    def links() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    _, _, a, b = _least(gathered("x", False, np.uint64), gathered("y", False, np.int64))
-    a = np.concatenate([a, gathered("x", True, np.int64)])
-    b = np.concatenate([b, gathered("y", True, np.int64)])
-    a, b = _forest(a, b)
-    return pa.table({"a": a, "b": b})
+    for batch in batches:
+        for s, packed in zip(batch.column("slice").to_pylist(), batch.column("packed")):
+            if s != at and keys:
+                a, b = more()
+                keys, nodes = [], []
+                if len(a) >= FLUSH:
+                    yield links()
+                    a = b = a[:0]
+            at = s
+            k, i = _unpacked(np.frombuffer(packed.as_buffer(), np.uint8))
+            keys.append(k)
+            nodes.append(i)
+    if keys:
+        a, b = more()
+    yield links()
 
 
 class PrefixTree:
@@ -390,6 +408,11 @@ def _usual(docs: DataFrame, n: int, count: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
+def _load() -> Column:
+    """Of how many parts the rows must be."""
+    return F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)
+
+
 def _parts(inside: DataFrame) -> DataFrame:
     """(doc_id, component, left, right, part) from inside(node, component, band, n_shingles): under which pairs of parts a set is joined.
 
@@ -397,7 +420,7 @@ def _parts(inside: DataFrame) -> DataFrame:
     band, and within a band at random; a part meets the parts of its own band and
     of the next, the only ones whose sizes allow a link.
     """
-    load = F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)
+    load = _load()
     size = inside.groupBy("component").agg(F.count("*").alias("sets"), load.alias("load")).filter("sets > 1")
     whole = inside.join(size, "component").withColumn("band", F.when(F.col("load") > 1, F.col("band")).otherwise(0))
     count = whole.groupBy("component", "band").agg(F.ceil(load).alias("parts"))
@@ -427,6 +450,26 @@ def _parts(inside: DataFrame) -> DataFrame:
     return placed.select("doc_id", "component", F.explode(met).alias("pair")).select("doc_id", "component", "pair.left", "pair.right", "pair.part")
 
 
+def _blocks(stars: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, component, band, n_shingles) of stars(a, b) over the numbers of first(number, node, band, n_shingles): sets by block.
+
+    Two sets with a common key are in the star of its least set. Components of stars
+    hold each set once, but chains join sets that have nothing in common, and the
+    more, the larger the table is. A component that is more than a part (see _parts) is
+    replaced by its stars where these send fewer shingles to joins.
+    """
+    sent = (F.sum("n_shingles") * F.ceil(_load())).alias("sent")
+    chained = common.stored(components.connected(stars).withColumnRenamed("node", "number").withColumnRenamed("component", "chain").join(first, "number"), "blocks")
+    large = common.stored(chained.groupBy("chain").agg(_load().alias("load"), sent).filter("load > 1"), "large")
+    ends = (F.struct(F.col(x).alias("number"), F.col("b").alias("component")) for x in "ab")
+    inside = chained.join(large.select("chain"), "chain", "left_semi")
+    starred = common.stored(stars.select(F.inline(F.array(*ends))).distinct().join(inside, "number"), "starred")
+    apart = starred.groupBy("chain", "component").agg(sent).groupBy("chain").agg(F.sum("sent").alias("apart"))
+    better = common.stored(apart.join(large, "chain").filter("apart < sent").select("chain"), "better")
+    whole = chained.join(better, "chain", "left_anti").select("node", F.col("chain").alias("component"), "band", "n_shingles")
+    return common.stored(whole.unionByName(starred.join(better, "chain", "left_semi").select(*whole.columns)), "inside")
+
+
 def _rows_once(known: DataFrame, sized: DataFrame) -> DataFrame:
     """Rows of known with each (doc_id, text) once; only rows of ids that occur more than once are compared."""
     doubled = common.stored(sized.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "doubled")
@@ -445,7 +488,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     2. Candidates: each set's shingles, in global (hash) order, are cut into
        ranges; sets that link agree in a range (see Bands). Keys meet by shuffle,
        sorted and made distinct in each task first, and give links to the least
-       document of the key, never all pairs. Components of these links are blocks.
+       set of the key, never all pairs. Components of these links are blocks, or where these are large, the stars of links around a least set.
     3. Each block's sets become a prefix tree that every set probes; of equal rows of an id one takes part. A block of
        more than BLOCK_SETS sets or BLOCK_SHINGLES shingles is split, and its parts are joined two by two.
     4. Components of the links found.
@@ -459,18 +502,18 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFra
     rows = common.texts(docs)
     known = rows.filter("doc_id is not null")
     bands = Bands(threshold)
-    profiles = common.stored(rows.mapInArrow(_profiles(n, bands), "doc_id long, n_shingles long, band long, content binary"), "profiles")
+    profiles = common.stored(rows.mapInArrow(_profiles(n, bands), "doc_id long, n_shingles long, band long, content binary, node long"), "profiles")
     sized = profiles.filter("n_shingles > 0 and doc_id is not null")
-    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    least = sized.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("band").alias("band"), F.first("n_shingles").alias("n_shingles"), F.first("node").alias("number"), F.count("*").alias("copies"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     share = 2.6 * (100 - threshold) / (100 + threshold) * 2  # keys for each shingle, about
-    shards = common.shard_numbers(spark, max(LEAST_SHARDS, math.ceil(total[0] * share * 16 / SHARD_BYTES)))
-    sent = known.mapInArrow(_send(n, bands, shards, _usual(known, n, total[1])), "shard int, linked boolean, x binary, y binary")
-    met = sent.repartition(len(shards), "shard").groupBy("shard").applyInArrow(_meet, "a long, b long")
-    blocks = components.connected(met)
-    # representatives of blocks with at least two different sets
-    first = least.select(F.col("least").alias("node"), "band", "n_shingles")
-    inside = common.stored(blocks.dropDuplicates(["node"]).join(first, "node"), "blocks")
+    slices = max(LEAST_SHARDS, math.ceil(total[0] * share * 16 / SLICE_BYTES))
+    shards = common.shard_numbers(spark, max(LEAST_SHARDS, math.ceil(slices / SLICES)))
+    sent = known.mapInArrow(_send(n, bands, slices, shards, _usual(known, n, total[1])), "shard int, slice int, packed binary")
+    met = sent.repartition(len(shards), "shard").sortWithinPartitions("slice").mapInArrow(_meet, "a long, b long")
+    stars = common.stored(met.distinct(), "stars")
+    # one set of equal ones goes on
+    inside = _blocks(stars, least.select("number", F.col("least").alias("node"), "band", "n_shingles"))
     pairs = _parts(inside)
     # trees are work for the processors, not bytes: as many partitions as asked for, not fewer by size
     dealt = _rows_once(known, sized).join(pairs, "doc_id").repartition(common.partitions(spark), "component", "left", "right")
